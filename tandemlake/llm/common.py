@@ -7,9 +7,12 @@ an ASCII class, hence byte classes and character classes agree.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; bounds a Python worker's memory (longer texts go alone).
 SLICE_BYTES = 2 << 20
@@ -126,3 +129,46 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where the session names none (tests), one of our own in the local temp folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not given:
+        given = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(given)
+    return given
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder: later reads survive the loss of any executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node that (u, v) names: label is the least node it is connected with.
+
+    Alternates large and small stars; each round is two aggregations with map-side minima and two equi-joins
+    on the edges, so no group is ever held in one task. The number of rounds grows with the logarithm of the
+    longest path.
+    """
+    both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = state(edges)
+    while True:
+        near = both(edges)
+        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        after = state(edges)
+        if after == before:
+            break
+        before = after
+    own = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
+    return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").union(own)

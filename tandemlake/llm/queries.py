@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tandemlake.llm.op10_minhash_dedup import op10_minhash_dedup
+from tandemlake.llm.op4_decontamination import op4_decontamination
 from tandemlake.llm.op5_quality_rules import op5_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op10_minhash_dedup": op10_minhash_dedup,
 }

@@ -6,8 +6,10 @@ results; an empty table gives an empty result; other columns pass through `encod
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,20 +28,24 @@ def ready(model: PieceModel) -> Pieces:
     return _ready[model]
 
 
-def encoded(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with `ids` (array<int>) of each whole text."""
+def encoded(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """docs with `ids` (array<int>) of each whole text, and on demand what they decode to."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = ready(shared.value)
         for batch in batches:
             for part, _, _ in text_slices(batch, text):
-                found = [pieces.encode(x or "") for x in part.column(text).to_pylist()]
-                yield part.append_column(ids, pa.array(found, pa.list_(pa.int32())))
-
-    own = docs.drop(ids)
+                found = [pieces.packed(x or "") for x in part.column(text).to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+                part = part.append_column(ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32))))
+                if decoded:
+                    part = part.append_column(decoded, pa.array([pieces.decode(array("i", x).tolist()) for x in found], pa.string()))
+                yield part
+
+    own = docs.drop(ids, *([decoded] if decoded else []))
     schema = own.schema.add(ids, "array<int>")
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
 
 
 def decoded(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -60,7 +66,7 @@ def decoded(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "d
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = read_model(spark, DEFAULT_MODEL)
-    back = decoded(encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    back = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
 

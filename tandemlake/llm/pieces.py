@@ -10,8 +10,8 @@ log-probabilities; for such a file piece number r in order of priority gets the
 -log((r + 1) * H), H the harmonic sum over all pieces, rounded to 1/16. Sums of sixteenths are exact in
 floating point, so results depend neither on the length of a text nor on where it is cut.
 
-Where no piece holds a space mark behind another character, words are segmented one by one with the same
-result, and each distinct word once (see `Pieces.words`). A text without spaces is one word, of any length.
+A text is cut, with the same result, wherever no piece has the two neighbouring characters within it; so words
+and parts of words are segmented one by one, and each distinct one once. A part may be of any length.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from __future__ import annotations
 import math
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -99,6 +100,22 @@ def read_model(spark: SparkSession, path: str) -> PieceModel:
     return PieceModel.parse(bytes(found[0]))
 
 
+class _Memo(dict):
+    """Values of a function, kept for the shorter words until there are CACHE_WORDS of them."""
+
+    def __init__(self, compute: Callable):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, word: str):
+        value = self.compute(word)
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = value
+        return value
+
+
 class Pieces:
     """A model ready for use in a worker."""
 
@@ -106,152 +123,138 @@ class Pieces:
         self.model = model
         self.automaton = ahocorasick.Automaton()
         normal = [s for _, s, kind in model.pieces if kind == NORMAL]
-        self.least, most = min(normal, default=0.0), max(normal, default=0.0)
-        self.bytes = {int(t[3:5], 16): k for k, (t, _, kind) in enumerate(model.pieces) if kind == BYTE}
+        least, most = min(normal, default=0.0), max(normal, default=0.0)
+        self.unknown_score = least - 10
         self.unknown = next((k for k, p in enumerate(model.pieces) if p[2] == UNKNOWN), 0)
         usable = [(k, t, s if kind == NORMAL else len(t.encode()) * most - 0.1) for k, (t, s, kind) in enumerate(model.pieces) if kind in (NORMAL, USER) and t]
-        for k, t, s in usable:
+        for k, t, s in usable or [(self.unknown, "\0\0", -math.inf)]:
             self.automaton.add_word(t, (len(t), s, k))
-        if usable:
-            self.automaton.make_automaton()
-        self.usable = bool(usable)
-        self.separable = all(SPACE not in t.lstrip(SPACE) for _, t, _ in usable)
-        self._ids: dict[str, tuple[int, ...]] = {}
-        self._counts: dict[str, tuple[float, int]] = {}
+        self.automaton.make_automaton()
+        self.singles = {t for _, t, _ in usable if len(t) == 1}
+        #: Neighbours within some piece: between any others a text can be cut without changing the best segmentation.
+        self.inside = {t[i : i + 2] for _, t, _ in usable for i in range(len(t) - 1)}
+        self.bytes = {int(t[3:5], 16): k for k, (t, _, kind) in enumerate(model.pieces) if kind == BYTE} if model.byte_fallback else {}
+        self.separable = SPACE in self.singles and all(p[0] == SPACE == p[1] or p[1] != SPACE for p in self.inside)
         self._cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self._part_ids, self._part_counts = _Memo(self._segment), _Memo(self._count)
+        self._ids = _Memo(lambda w: b"".join(map(self._part_ids.__getitem__, self._parts(w))))
+        self._counts = _Memo(lambda w: tuple(map(sum, zip(*map(self._part_counts.__getitem__, self._parts(w)), strict=True))))
+        self._texts = [self._shown(t, kind) for t, _, kind in model.pieces]
 
-    def prepared(self, text: str) -> str:
+    def _words(self, text: str) -> list[str]:
+        """Parts of a text, prepared, that no piece crosses."""
         if self.model.squeeze_spaces:
             text = " ".join(x for x in text.split(" ") if x)
-        if self.model.dummy_prefix and text:
-            text = " " + text
-        return text.replace(" ", SPACE)
-
-    def words(self, text: str) -> list[str]:
-        """Parts of a prepared text that no piece crosses."""
-        return self._cut.findall(text) if self.separable else [text] if text else []
-
-    def viterbi(self, part: str) -> tuple[list[float], list[int], list[int]]:
-        """Best score of each place, and the start and id of the last piece there."""
-        n = len(part)
-        best, start, piece = [-math.inf] * (n + 1), [0] * (n + 1), [self.unknown] * (n + 1)
-        best[0] = 0.0
-        unknown_score = self.least - 10
-        done = 0
-
-        def leave(upto: int) -> None:
-            # a place that no piece of one character reaches also gets the unknown piece; starts that come later lose ties
-            for end in range(done + 1, upto + 1):
-                if not single[end]:
-                    score = best[end - 1] + unknown_score
-                    if score > best[end]:
-                        best[end], start[end], piece[end] = score, end - 1, self.unknown
-
-        single = [False] * (n + 1)
-        for last, (size, score, k) in self.automaton.iter(part) if self.usable else ():
-            end = last + 1
-            if end - 1 > done:
-                leave(end - 1)
-                done = end - 1
-            score += best[end - size]
-            if score > best[end]:
-                best[end], start[end], piece[end] = score, end - size, k
-            if size == 1:
-                single[end] = True
-        leave(n)
-        return best, start, piece
-
-    def _segment(self, part: str) -> tuple[int, ...]:
-        _, start, piece = self.viterbi(part)
+        if not text:
+            return []
+        if self.separable and self.model.dummy_prefix:
+            words = text.split(" ")
+            if "" not in words and SPACE not in text:
+                return [SPACE + w for w in words]
+        text = (" " + text if self.model.dummy_prefix else text).replace(" ", SPACE)
+        return self._cut.findall(text) if self.separable else [text]
+
+    def _parts(self, word: str) -> list[str]:
+        """A word cut where no piece has such neighbours; whole if unknown characters have to be merged over cuts."""
+        if not self.bytes:
+            return [word]
+        inside = self.inside
+        cuts = [i for i, pair in enumerate(map(str.__add__, word, word[1:]), 1) if pair not in inside]
+        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+
+    def _matches(self, part: str) -> Iterator[tuple[int, tuple[int, float, int]]]:
+        """(last place, (length, score, id)) in order of the end, longer ones first. Where no piece is a character alone,
+        the unknown piece stands as the last match there."""
+        if self.singles.issuperset(part):
+            yield from self.automaton.iter(part)
+            return
+        place = 0
+        unknown = (1, self.unknown_score, -1)
+        for last, match in self.automaton.iter(part):
+            while place < last:
+                if part[place] not in self.singles:
+                    yield place, unknown
+                place += 1
+            yield last, match
+        for rest in range(place, len(part)):
+            if part[rest] not in self.singles:
+                yield rest, unknown
+
+    def _segment(self, part: str) -> bytes:
+        """Ids of the best segmentation, as packed 32-bit integers."""
+        best = [0.0] + [-math.inf] * len(part)
+        back: list[tuple[int, float, int]] = [(0, 0.0, 0)] * (len(part) + 1)
+        for last, match in self.automaton.iter(part) if self.singles.issuperset(part) else self._matches(part):
+            score = best[last + 1 - match[0]] + match[1]
+            if score > best[last + 1]:
+                best[last + 1] = score
+                back[last + 1] = match
         out: list[int] = []
         end = len(part)
         while end:
-            k, at = piece[end], start[end]
-            if k == self.unknown:
-                if self.model.byte_fallback and self.bytes:
-                    out.extend(self.bytes[b] for b in reversed(part[at:end].encode()))
-                elif not (out and out[-1] == k):  # neighbouring unknown characters are one piece
-                    out.append(k)
-            else:
+            size, _, k = back[end]
+            if k >= 0:
                 out.append(k)
-            end = at
-        return tuple(reversed(out))
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self._ids
-        for word in self.words(self.prepared(text)):
-            ids = known.get(word)
-            if ids is None:
-                ids = self._segment(word)
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = ids
-            out.extend(ids)
-        return out
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in reversed(part[end - size : end].encode()))
+            elif not (out and out[-1] == self.unknown):  # neighbouring unknown characters are one piece
+                out.append(self.unknown)
+            end -= size
+        out.reverse()
+        return array("i", out).tobytes()
 
     def _count(self, part: str) -> tuple[float, int]:
-        """Best score and its number of pieces, from scores and counts alone: no pieces are kept, no way is walked back."""
-        n = len(part)
-        best, count = [-math.inf] * (n + 1), [0] * (n + 1)
-        best[0] = 0.0
-        fallback = self.model.byte_fallback and bool(self.bytes)
-        unknown_score = self.least - 10
-        ends_unknown = [False] * (n + 1)
-        single = [False] * (n + 1)
-        done = 0
-
-        def leave(upto: int) -> None:
-            for end in range(done + 1, upto + 1):
-                if not single[end] and best[end - 1] + unknown_score > best[end]:
-                    best[end] = best[end - 1] + unknown_score
-                    more = len(part[end - 1].encode()) if fallback else 0 if ends_unknown[end - 1] else 1
-                    count[end], ends_unknown[end] = count[end - 1] + more, True
-
-        for last, (size, score, _) in self.automaton.iter(part) if self.usable else ():
-            end = last + 1
-            if end - 1 > done:
-                leave(end - 1)
-                done = end - 1
-            score += best[end - size]
+        """Best score and its number of pieces: these two are carried, no piece is kept and no way walked back."""
+        best = [0.0] + [-math.inf] * len(part)
+        count = [0] * (len(part) + 1)
+        if self.singles.issuperset(part):
+            for last, (size, score, _) in self.automaton.iter(part):
+                score += best[last + 1 - size]
+                if score > best[last + 1]:
+                    best[last + 1] = score
+                    count[last + 1] = count[last + 1 - size] + 1
+            return best[-1], count[-1]
+        unknown = [False] * (len(part) + 1)
+        for last, (size, score, k) in self._matches(part):
+            end, start = last + 1, last + 1 - size
+            score += best[start]
             if score > best[end]:
-                best[end], count[end], ends_unknown[end] = score, count[end - size] + 1, False
-            if size == 1:
-                single[end] = True
-        leave(n)
-        return best[n], count[n]
+                best[end], unknown[end] = score, k < 0
+                more = 1 if k >= 0 else len(part[start:end].encode()) if self.bytes else int(not unknown[start])
+                count[end] = count[start] + more
+        return best[-1], count[-1]
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit integers."""
+        return b"".join(map(self._ids.__getitem__, self._words(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
     def count(self, text: str) -> tuple[int, float]:
         """Number of pieces and total score."""
-        known = self._counts
-        total, score = 0, 0.0
-        for word in self.words(self.prepared(text)):
-            found = known.get(word)
-            if found is None:
-                found = self._count(word)
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                if len(word) <= 64:
-                    known[word] = found
-            score += found[0]
-            total += found[1]
-        return total, score
+        found = list(map(self._counts.__getitem__, self._words(text)))
+        return sum(n for _, n in found), sum((s for s, _ in found), 0.0)
+
+    @staticmethod
+    def _shown(text: str, kind: int) -> str | None:
+        """What a piece stands for in a text; None for a byte that is no character alone."""
+        if kind == BYTE:
+            value = int(text[3:5], 16)
+            return chr(value) if value < 0x80 else None
+        return " \u2047 " if kind == UNKNOWN else "" if kind == CONTROL else text.replace(SPACE, " ")
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; bytes that are not UTF-8 become U+FFFD, as the library has it."""
-        out: list[str] = []
-        held = bytearray()
-        for k in ids:
-            text, _, kind = self.model.pieces[k]
-            if kind == BYTE:
-                held.append(int(text[3:5], 16))
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(" ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else text)
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        shown = list(map(self._texts.__getitem__, ids))
+        if None in shown:
+            held = bytearray()
+            for i, k in enumerate(ids):
+                if shown[i] is None:
+                    held.append(int(self.model.pieces[k][0][3:5], 16))
+                    shown[i] = ""
+                    if i + 1 == len(ids) or shown[i + 1] is not None:
+                        shown[i] = held.decode("utf-8", "replace")
+                        held.clear()
+        text = "".join(shown)
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text

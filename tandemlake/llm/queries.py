@@ -10,6 +10,8 @@ from tandemlake.llm.op10_minhash_dedup import op10_minhash_dedup
 from tandemlake.llm.op2_sentencepiece import op2_sentencepiece
 from tandemlake.llm.op4_decontamination import op4_decontamination
 from tandemlake.llm.op5_quality_rules import op5_quality_rules
+from tandemlake.llm.op6_warc_revisits import SQL as WARC_SQL
+from tandemlake.llm.op6_warc_revisits import op6_warc_revisits
 from tandemlake.llm.op7_sharding import op7_sharding
 from tandemlake.llm.op9_token_counts import op9_token_counts
 
@@ -17,9 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_sharding": op7_sharding,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc_revisits": WARC_SQL,
+}

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tandemlake.llm.common import free_name, table, text_slices
 from tandemlake.llm.pieces import DEFAULT_MODEL, PieceModel, Pieces, read_model
@@ -44,8 +45,8 @@ def encoded(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "
                 yield part
 
     own = docs.drop(ids, *([decoded] if decoded else []))
-    schema = own.schema.add(ids, "array<int>")
-    return own.mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
+    added = [StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
+    return own.mapInArrow(run, StructType([*own.schema.fields, *added]))
 
 
 def decoded(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -61,7 +62,7 @@ def decoded(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "d
                 yield part.append_column(text, pa.array(found, pa.string()))
 
     own = rows.drop(text)
-    return own.mapInArrow(run, own.schema.add(text, "string"))
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField(text, StringType())]))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

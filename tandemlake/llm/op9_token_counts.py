@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tandemlake.llm.common import table, text_slices
 from tandemlake.llm.op2_sentencepiece import ready
@@ -30,7 +31,7 @@ def counted(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame
                 yield part.append_column("score", pa.array([s for _, s in found], pa.float64()))
 
     own = docs.drop("n_tokens", "score")
-    return own.mapInArrow(run, own.schema.add("n_tokens", "long").add("score", "double"))
+    return own.mapInArrow(run, StructType([*own.schema.fields, StructField("n_tokens", LongType()), StructField("score", DoubleType())]))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tandemlake.llm.op10_minhash_dedup import op10_minhash_dedup
 from tandemlake.llm.op1_language_id import op1_language_id
 from tandemlake.llm.op2_sentencepiece import op2_sentencepiece
+from tandemlake.llm.op3_pii import op3_pii
 from tandemlake.llm.op4_decontamination import op4_decontamination
 from tandemlake.llm.op5_quality_rules import op5_quality_rules
 from tandemlake.llm.op6_warc_revisits import SQL as WARC_SQL
@@ -19,6 +20,7 @@ from tandemlake.llm.op9_token_counts import op9_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_pii": op3_pii,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc_revisits": op6_warc_revisits,

@@ -15,6 +15,7 @@ from tandemlake.llm.op5_quality_rules import op5_quality_rules
 from tandemlake.llm.op6_warc_revisits import SQL as WARC_SQL
 from tandemlake.llm.op6_warc_revisits import op6_warc_revisits
 from tandemlake.llm.op7_sharding import op7_sharding
+from tandemlake.llm.op8_html_extraction import op8_html_extraction
 from tandemlake.llm.op9_token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_sharding": op7_sharding,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
 }

@@ -15,13 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; bounds a Python worker's memory (longer texts go alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that Spark hands to a Python worker at once; long texts would make larger batches too large.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to BATCH_ROWS."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def byte_class(chars: bytes, invert: bool = False) -> np.ndarray:
     """256 flags: True for the given bytes (or for all others)."""
     flags = np.zeros(256, bool)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import LOWER, SPACED_WORD, PrefixHash, components, cut, find_words, free_name, mix, table, text_slices, window_hashes
+from tandemlake.llm.common import LOWER, SPACED_WORD, PrefixHash, components, cut, find_words, free_name, mix, small_batches, table, text_slices, window_hashes
 
 BANDS, ROWS = 48, 8
 #: Shingles in one block of step 4, on either side.
@@ -169,7 +169,7 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
 
     docs needs doc_id and text. Documents are linked where den * |intersection| >= num * |union|.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     hashed = docs.withColumn("t", F.xxhash64("text"))
     sketches = cut(hashed.mapInArrow(lambda x: _sketched(x, words), "doc_id long, t long, n_shingles long, a long, b long, bands array<long>"))
     full = sketches.filter("n_shingles > 0")

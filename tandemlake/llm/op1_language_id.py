@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import table, text_slices
+from tandemlake.llm.common import small_batches, table, text_slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 17
@@ -172,7 +172,7 @@ def held_out() -> Column:
 
 def train(docs: DataFrame) -> Model | None:
     """From the labelled documents of the training folds; None if there are none."""
-    folds = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    folds = small_batches(docs).select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = dict(folds.groupBy("lang").count().collect())
     if not sizes:
         return None
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "
                         names[k] = languages[x]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    source = docs.select(*dict.fromkeys([*keep, text]))
+    source = small_batches(docs).select(*dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
     return source.mapInArrow(run, schema)
 

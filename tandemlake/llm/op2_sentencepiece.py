@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tandemlake.llm.common import free_name, table, text_slices
+from tandemlake.llm.common import free_name, small_batches, table, text_slices
 from tandemlake.llm.pieces import DEFAULT_MODEL, PieceModel, Pieces, read_model
 
 _ready: dict[PieceModel, Pieces] = {}
@@ -44,7 +44,7 @@ def encoded(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "
                     part = part.append_column(decoded, pa.array([pieces.decode(array("i", x).tolist()) for x in found], pa.string()))
                 yield part
 
-    own = docs.drop(ids, *([decoded] if decoded else []))
+    own = small_batches(docs).drop(ids, *([decoded] if decoded else []))
     added = [StructField(ids, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
     return own.mapInArrow(run, StructType([*own.schema.fields, *added]))
 
@@ -61,7 +61,7 @@ def decoded(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "d
                 found = [None if x is None else pieces.decode(x) for x in part.column(ids).to_pylist()]
                 yield part.append_column(text, pa.array(found, pa.string()))
 
-    own = rows.drop(text)
+    own = small_batches(rows).drop(text)
     return own.mapInArrow(run, StructType([*own.schema.fields, StructField(text, StringType())]))
 
 

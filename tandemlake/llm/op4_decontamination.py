@@ -25,11 +25,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import ALNUM_WORD, LOWER, PrefixHash, find_words, table, text_slices
+from tandemlake.llm.common import ALNUM_WORD, LOWER, PrefixHash, find_words, small_batches, table, text_slices
 
 WINDOW = 10
 #: Text bytes of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Text bytes of a block of the benchmark, which bounds what is broadcast at once.
 BLOCK_BYTES = 8 << 20
 #: Every so many places of the text the index keeps a suffix position.
@@ -267,7 +267,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text:
     """`keep` columns, n_words, n_hit, items (ids with occurring windows) and spans (code points to remove, end
     exclusive), and with `clean` clean_text without these spans. A row per row of docs."""
     blocks = read_blocks(docs.sparkSession, benchmark)
-    source = docs.select(*dict.fromkeys([*keep, text]))
+    source = small_batches(docs).select(*dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), *(["clean_text string"] if clean else []), FOUND])
     return source.mapInArrow(lambda x: _found(x, blocks, text, keep, clean), schema)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import SPACED_WORD, PrefixHash, byte_class, counts_between, find_words, table, text_slices, window_hashes
+from tandemlake.llm.common import SPACED_WORD, PrefixHash, byte_class, counts_between, find_words, small_batches, table, text_slices, window_hashes
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 UPPER = byte_class(bytes(range(0x41, 0x5B)))
@@ -137,7 +137,7 @@ def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None, r
     """`keep` columns (default all), MEASURES and fail_bits, a row per row of docs. One narrow pass, no shuffle."""
     taken = {*MEASURES, "fail_bits"}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in taken]
-    source = docs.select(*dict.fromkeys([*keep, text]))
+    source = small_batches(docs).select(*dict.fromkeys([*keep, text]))
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), *(f"{m} long" for m in MEASURES)])
     return source.mapInArrow(lambda batches: _measured(batches, text, keep), schema).withColumn("fail_bits", failure_bits(rules))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import table, text_slices
+from tandemlake.llm.common import small_batches, table, text_slices
 from tandemlake.llm.dom import Tree, node_features
 
 TRAINING_PAGES = 500
@@ -251,7 +251,7 @@ def main_texts(pages: DataFrame, keep: list[str], source: str = "html", model: B
                 found = extract([x or "" for x in part.column(source).to_pylist()], shared.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.string())], [*keep, "text"])
 
-    chosen = pages.select(*dict.fromkeys([*keep, source]))
+    chosen = small_batches(pages).select(*dict.fromkeys([*keep, source]))
     schema = ", ".join([*(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep), "text string"])
     return chosen.mapInArrow(run, schema)
 

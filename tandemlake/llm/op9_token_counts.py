@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tandemlake.llm.common import table, text_slices
+from tandemlake.llm.common import small_batches, table, text_slices
 from tandemlake.llm.op2_sentencepiece import ready
 from tandemlake.llm.pieces import DEFAULT_MODEL, PieceModel, read_model
 
@@ -30,7 +30,7 @@ def counted(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame
                 part = part.append_column("n_tokens", pa.array([n for n, _ in found], pa.int64()))
                 yield part.append_column("score", pa.array([s for _, s in found], pa.float64()))
 
-    own = docs.drop("n_tokens", "score")
+    own = small_batches(docs).drop("n_tokens", "score")
     return own.mapInArrow(run, StructType([*own.schema.fields, StructField("n_tokens", LongType()), StructField("score", DoubleType())]))
 
 

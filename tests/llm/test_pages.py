@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from tandemlake.llm import op6_warc_revisits as op6
+from tandemlake.llm import op8_html_extraction as op8
+from tandemlake.llm.dom import Tree
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>t</title><script>var t="</p>";</script><style>p{}</style></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News now</a></li></ul></nav>'
+    '<!-- ad --><div class="ad">Buy this thing today, it is cheap.</div><article><h1>The   title &amp; more</h1><p><b>First part of it.<br><p>Second &lt;part&gt;, with some words.</p>'
+    '<div class="comments"><p>I like this, says a reader.</p></div></article><div id="cookie-notice">We use cookies.</div><form><label>Mail</label><input></form><footer>&copy; somebody &middot; 2020</footer></body>'
+)
+
+
+@pytest.fixture(scope="module")
+def model():
+    return op8.trained()
+
+
+def test_extracts_the_article(model):
+    assert op8.extract([PAGE], model) == ["The title & more\n\nFirst part of it.\n\nSecond <part>, with some words."]
+
+
+def test_odd_pages(model):
+    out = op8.extract(["", "<", "a<b", "<div", "<p>x</div></p>", "<!-- x", "<script>", "</p>"], model)
+    assert len(out) == 8 and out[0] == ""
+
+
+def test_held_out_layouts(model):
+    right = total = 0
+    for seed in range(5000, 5100):
+        x, y = op8.labelled(op8.training_page(seed))
+        right += ((model.margins(x) > 0) == y).sum()
+        total += len(y)
+    assert right / total > 0.97
+
+
+def test_choices_agree_with_ancestors(model):
+    tree = Tree(PAGE)
+    margins = np.random.default_rng(1).normal(0, 3, len(tree.tag))
+    kept = op8.decode(tree, margins)
+    assert len(kept) == len(tree.texts)
+
+
+def test_tree_closes_what_html_closes():
+    tree = Tree("<ul><li>a<li>b</ul><p>c<div>d</div><table><tr><td>e<td>f<tr><td>g</table>h")
+    assert tree.texts == list("abcdefgh")
+    assert [tree.tag[o] for o in tree.owner][:4] == ["li", "li", "p", "div"]
+
+
+def test_pages_table(spark, tmp_path, model):
+    rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "", 3)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").write.parquet(f"{tmp_path}/pages.parquet")
+    found = op8.op8_html_extraction(spark, str(tmp_path)).collect()
+    assert sorted(((r["page_id"] or 0, r["n_chars"]) for r in found)) == [(0, 0), (1, 68), (1, 68), (2, 0)]
+
+
+def capture(i, url, ts, kind, headers=None, digest=None):
+    return (i, url, ts, kind, digest, 5 if kind == "response" else None, headers)
+
+
+def resolved(spark, *rows):
+    schema = "record_id long, url string, ts long, kind string, digest string, length long, headers map<string, string>"
+    return {r["record_id"]: r for r in op6.resolve(spark.createDataFrame(rows, schema), bucket=10).collect()}
+
+
+def test_revisits(spark):
+    found = resolved(
+        spark,
+        capture(1, "http://www.x.org/a/#f", 5, "response", {"etag": '"1"', "server": "s", "date": "d1"}, "D1"),
+        capture(2, "https://x.org/a?utm_source=q", 95, "revisit", {"etag": 'W/"1"', "date": "d2", "server": "edge"}),
+        capture(3, "x.org/a", 5, "revisit", {"etag": '"1"'}),
+        capture(4, "x.org/a", 96, "revisit", {"etag": '"2"'}),
+        capture(5, "x.org/a", 97, "revisit"),
+        capture(6, None, 97, "revisit"),
+        capture(7, "x.org/a", None, "revisit"),
+        capture(8, "x.org/a", 200, "response", None, "D8"),
+        capture(9, "x.org/a", 201, "revisit", None, "D8"),
+        capture(10, "x.org/other", 201, "revisit", None, "D8"),
+    )
+    assert {k: r["status"] for k, r in found.items()} == {2: "resolved", 3: "orphan", 4: "mismatch", 5: "unverified", 6: "orphan", 7: "orphan", 9: "resolved", 10: "orphan"}
+    assert (found[2]["refers_to"], found[2]["digest"], found[2]["headers"]) == (1, "D1", {"etag": 'W/"1"', "date": "d2", "server": "s"})
+    assert found[9]["refers_to"] == 8 and found[4]["refers_to"] == 1 and found[4]["headers"] is None
+    assert resolved(spark, capture(1, "x", 1, "response")) == {}
+
+
+def test_revisits_equal_a_scan(spark):
+    rng = np.random.default_rng(1)
+    rows = [capture(i, f"h/{rng.integers(4)}", int(rng.integers(300)), "revisit" if rng.random() < 0.6 else "response", {"etag": "e"}) for i in range(400)]
+    found = resolved(spark, *rows)
+    for i, url, ts, kind, *_ in rows:
+        if kind == "revisit":
+            earlier = [(t, k) for k, u, t, x, *_ in rows if u == url and x == "response" and t < ts]
+            assert found[i]["refers_to"] == (max(earlier)[1] if earlier else None)

@@ -16,6 +16,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt over as many tasks as shuffles have: rows that are small but costly must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def min_labels(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of (u, v): the least node of its component.
 

@@ -102,8 +102,8 @@ def k_unit_windows(spark, d):
     return units.windows(V.units(spark, d), 2)
 
 
-@query(f"""with {V.UNITS}, p as (select read_id, row_number() over w - 1 as at, count(*) over (partition by read_id) as n, start, lead("end", 1) over w as stop from units_v window w as (partition by read_id order by unit_ord))
-  select read_id, 'prefix' as side, start, stop as "end" from p where n >= 3 and at = 1 union all select read_id, 'suffix', start, stop from p where n >= 3 and at = n - 3""")
+@query(f"""with {V.UNITS}, p as (select read_id, row_number() over w - 1 as pos, count(*) over (partition by read_id) as n, start, lead("end", 1) over w as stop from units_v window w as (partition by read_id order by unit_ord))
+  select read_id, 'prefix' as side, start, stop as "end" from p where n >= 3 and pos = 1 union all select read_id, 'suffix', start, stop from p where n >= 3 and pos = n - 3""")
 def boundary_units(spark, d):
     return units.boundaries(V.units(spark, d), 2, 1)
 
@@ -115,13 +115,13 @@ def merged_intervals(spark, d):
     return units.merged(V.units(spark, d).withColumn("start", F.col("start") + 3 * (F.col("unit_ord") % 5)).select("read_id", "start", "end"), ["read_id"])
 
 
-@query(f"with {V.UNITS} select read_id, round(sum(ulen) / 400, 2) as cover_rate from units_v join orders on o_orderkey = read_id group by 1")
+@query(f"with {V.UNITS} select read_id, round(sum(ulen) / 512, 2) as cover_rate from units_v join orders on o_orderkey = read_id group by 1")
 def read_cover_rates(spark, d):
     return units.cover_rate(V.units(spark, d), V.orders_as_reads(spark, d))
 
 
 @query(f"""with {V.UNITS} select read_id, cast(count(*) over (partition by read_id) - row_number() over (partition by read_id order by unit_ord) as int) as unit_ord,
-  400 - "end" as start, 400 - start as "end", ulen from units_v join orders on o_orderkey = read_id""")
+  512 - "end" as start, 512 - start as "end", ulen from units_v join orders on o_orderkey = read_id""")
 def reversed_units(spark, d):
     return units.reversed_units(V.units(spark, d), V.orders_as_reads(spark, d))
 
@@ -173,7 +173,7 @@ def kmer_containment_pairs(spark, d):
     return overlap_search.similar_pairs(V.reads(spark, d))
 
 
-@query(f"with {V.READS} select read_id, array_to_string(list_transform(range(1, length(seq) + 1), i -> case when i > 1 and seq[i] = seq[i - 1] then '' else seq[i] end), '') as seq from reads_v")
+@query(f"with {V.READS} select read_id, array_to_string(list_transform(range(1, length(seq) + 1), lambda i: case when i > 1 and seq[i] = seq[i - 1] then '' else seq[i] end), '') as seq from reads_v")
 def homopolymer(spark, d):
     return V.reads(spark, d).select("read_id", S.homopolymer_compressed("seq").alias("seq"))
 
@@ -341,19 +341,21 @@ def part_name_variants(spark, d):
 
 @query()
 def composition_likelihoods(spark, d):
-    part = V.table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("names"), consensus_agg("p_type").alias("cons"))
-    return part.select("p_brand", "cons", F.round(composition_log_prob("cons", "names"), 6).alias("log_prob"))
+    part = V.table(spark, d, "part")
+    names = part.groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("names"))
+    voted = part.groupBy("p_brand").agg(consensus_agg("p_type").alias("cons"))
+    return names.join(voted, "p_brand").select("p_brand", "cons", F.round(composition_log_prob("cons", "names"), 6).alias("log_prob"))
 
 
 @query()
 def repeat_alignments(spark, d):
     """Self-alignments of the documents' letters a, c, g and t."""
-    return detect.measured(detect.detect(V.reads(spark, d))).drop("cigar")
+    return detect.measured(detect.detect(V.reads(spark, d), k=8, min_hits=10)).drop("cigar")
 
 
 @query()
 def repeat_units(spark, d):
-    return detect.find_units(V.reads(spark, d), min_len=200)
+    return detect.find_units(V.reads(spark, d), min_len=200, k=8)
 
 
 @query()
@@ -368,14 +370,14 @@ def _genome() -> str:
 
     from tandemlake.functions.simulate import hetero_repeat
 
-    return hetero_repeat(Random(7), 300, 30, 2.0, 3000)
+    return hetero_repeat(Random(7), 300, 16, 3.0, 2000)
 
 
 def _assembled(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Error-free reads of a simulated genome, their units and their overlaps."""
     from tandemlake.operators.components import kept
 
-    rows = kept(simulate.reads_of(spark, _genome(), depth=8, length=5000, error_rate=0.0).select("read_id", "seq", "length"))
+    rows = kept(simulate.reads_of(spark, _genome(), depth=6, length=3500, error_rate=0.0).select("read_id", "seq", "length"))
     found = kept(detect.find_units(rows, min_len=600))
     return rows, found, kept(overlap_search.overlaps_of_reads(found, rows, max_init_diff=0.02, max_diff=0.02))
 

@@ -32,7 +32,7 @@ UNITS = """units_v as (
 
 
 def orders_as_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.lit(400).alias("length"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("read_id"), F.lit(512).alias("length"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tandemlake.functions.clustering import SplitMerge, representatives, synchronize
 from tandemlake.functions.consensus import consensus
 from tandemlake.functions.sequences import revcomp, subseq
+from tandemlake.operators.components import spread
 from tandemlake.operators.overlaps import neighbours
 
 _SYNCED = "target_id long, read_id long, strand int, unit_ord int, start int, end int, repr_id int"
@@ -34,6 +35,7 @@ def synchronized(overlaps: DataFrame, units: DataFrame, reads: DataFrame, ward_t
             rows += [(key[0], r.read_id, r.strand, n, s, e, k) for n, (s, e, k) in enumerate(synchronize(r.seq, reprs, map_threshold, compat))]
         return pd.DataFrame(rows, columns=[x.split()[0] for x in _SYNCED.split(", ")])
 
+    own, mates = spread(own, "target_id"), spread(mates, "target_id")
     return own.groupBy("target_id").cogroup(mates.groupBy("target_id")).applyInPandas(run, _SYNCED)
 
 
@@ -49,7 +51,7 @@ def clustered(synced: DataFrame, mates: DataFrame, ward_threshold: float = 0.01,
         cons = {k: consensus(sorted(u for u, x in zip(units, labels, strict=True) if x == k), "median") for k in set(labels)}
         return frame.drop(columns="unit").assign(repr_id=labels, repr_seq=[cons[k] for k in labels])
 
-    return cut.groupBy("target_id").applyInPandas(run, _SYNCED + ", repr_seq string")
+    return spread(cut, "target_id").groupBy("target_id").applyInPandas(run, _SYNCED + ", repr_seq string")
 
 
 def repr_units(labels: DataFrame) -> DataFrame:

@@ -370,15 +370,15 @@ def _genome() -> str:
 
     from tandemlake.functions.simulate import hetero_repeat
 
-    return hetero_repeat(Random(7), 300, 16, 3.0, 2000)
+    return hetero_repeat(Random(7), 200, 14, 4.0, 1500)
 
 
 def _assembled(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Error-free reads of a simulated genome, their units and their overlaps."""
     from tandemlake.operators.components import kept
 
-    rows = kept(simulate.reads_of(spark, _genome(), depth=6, length=3500, error_rate=0.0).select("read_id", "seq", "length"))
-    found = kept(detect.find_units(rows, min_len=600))
+    rows = kept(simulate.reads_of(spark, _genome(), depth=5, length=2200, error_rate=0.0).select("read_id", "seq", "length"))
+    found = kept(detect.find_units(rows, min_len=400))
     return rows, found, kept(overlap_search.overlaps_of_reads(found, rows, max_init_diff=0.02, max_diff=0.02))
 
 
@@ -398,7 +398,7 @@ def simulated_contigs(spark, d):
 def simulated_labels(spark, d):
     rows, found, near = _assembled(spark)
     synced = clustering.synchronized(near, found, rows)
-    return clustering.clustered(synced, clustering.involved(near, rows), max_rounds=2)
+    return clustering.clustered(synced, clustering.involved(near, rows), max_rounds=1)
 
 
 @query()
@@ -408,8 +408,8 @@ def simulated_encodings(spark, d):
 
     from tandemlake.functions.simulate import non_tandem_seq
 
-    unit = non_tandem_seq(Random(7), 300)
-    return encode.encode_reads(_assembled(spark)[0], [(0, unit, 285, 315)])
+    unit = non_tandem_seq(Random(7), 200)
+    return encode.encode_reads(_assembled(spark)[0], [(0, unit, 190, 210)])
 
 
 @query()

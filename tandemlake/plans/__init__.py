@@ -236,7 +236,7 @@ def overlaps_degree(spark, d):
     return overlaps.degrees(V.overlaps(spark, d))
 
 
-@query(f"{_DEGREE} select stratum, n, count(*) as reads from (select p_size // 10 as stratum, coalesce(n, 0) as n from part left join deg on read_id = p_partkey) group by 1, 2")
+@query(f"{_DEGREE} select stratum, n, count(*) as reads from (select cast(p_size // 10 as bigint) as stratum, coalesce(n, 0) as n from part left join deg on read_id = p_partkey) group by 1, 2")
 def overlaps_degree_by_stratum(spark, d):
     strata = V.table(spark, d, "part").select(F.col("p_partkey").alias("read_id"), F.floor(F.col("p_size") / 10).alias("stratum"))
     return overlaps.stratified_degrees(V.overlaps(spark, d), strata)

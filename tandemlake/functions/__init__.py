@@ -1 +1 @@
-"""Spark-native analytics of tandem-repeat-rich sequencing reads."""
+"""Sequence expressions and kernels."""

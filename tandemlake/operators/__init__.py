@@ -1 +1 @@
-"""Spark-native analytics of tandem-repeat-rich sequencing reads."""
+"""DataFrame operators on reads, units, overlaps and graphs."""

@@ -1 +1 @@
-"""Spark-native analytics of tandem-repeat-rich sequencing reads."""
+"""Empty on purpose: the domain has batch tables only."""

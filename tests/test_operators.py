@@ -135,9 +135,9 @@ def test_from_alignments_to_units(spark):
 
 
 def test_contigs_lie_in_the_genome(spark):
-    genome = sim.hetero_repeat(Random(7), 300, 20, 3.0, 2000)
-    reads = simulate.reads_of(spark, genome, 6, 3500, 0.0).select("read_id", "seq", "length").cache()
-    units = detect.find_units(reads, min_len=600).cache()
+    genome = sim.hetero_repeat(Random(7), 200, 14, 4.0, 1500)
+    reads = simulate.reads_of(spark, genome, 5, 2200, 0.0).select("read_id", "seq", "length").cache()
+    units = detect.find_units(reads, min_len=400).cache()
     found = overlap_search.overlaps_of_reads(units, reads).cache()
     assert found.count() > 0
     paths = graph.simple_paths(graph.transitive_reduction(graph.string_graph(overlaps.best_per_pair(found))))

@@ -18,7 +18,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": set()}
 P_ENDERS = BLOCK - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "head", "legend"}
 P_SCOPE = frozenset("td th caption button object".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?][^>]*|(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*))>|<(/?)([A-Za-z][^\s/>]*)""", re.S)
+#: Attributes as HTML reads them: a quote opens a value only after '=', any other quote is an ordinary character. A quote
+#: without a partner is one too, so a tag ends at the next '>' whenever the page has one.
+_ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES}(?=>)|[^>]*+)(>?)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -95,10 +98,10 @@ class Tree:
                 continue
             add_text(source[at : m.start()])
             at = m.end()
-            tag = m[2] or m[5]
+            tag = m[2]
             if not tag:
                 continue
-            if m[5] and not m[2]:  # a tag that never ends
+            if not m[4]:  # a tag that never ends
                 at = skip_to = len(source)
                 break
             tag = tag.lower()

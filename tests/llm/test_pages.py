@@ -50,6 +50,26 @@ def test_tree_closes_what_html_closes():
     assert [tree.tag[o] for o in tree.owner][:4] == ["li", "li", "p", "div"]
 
 
+@pytest.mark.parametrize(
+    ("tag", "attributes"),
+    [
+        ("<a href=x title=it's>", " href=x title=it's"), ('<a alt="5" tv">', ' alt="5" tv"'), ("<a it's>", " it's"), ("<a x='1'y>", " x='1'y"), ('<a title="1 > 0" b>', ' title="1 > 0" b'),
+        ("<a title = '>' b>", " title = '>' b"), ('<a ="b">', ' ="b"'), ("<a b=>", " b="), ("<a href=/x/?a='b>", " href=/x/?a='b"), ('<a href="x>', ' href="x'), ("<a 'x y'>", " 'x y'"),
+    ],
+)
+def test_stray_quotes_lose_no_text(tag, attributes):
+    assert Tree(f"<p>one</p>{tag}two</a><p>three</p>").texts == ["one", "two", "three"]
+    block = Tree(f"<p>one</p>{tag.replace('<a', '<div')}two</div><p>three</p>")
+    assert (block.texts, block.attributes[2]) == (["one", "two", "three"], attributes)
+
+
+def test_stray_quotes_that_meet_later_ones():
+    assert Tree("<p>one</p><a title=it's>two</a><p>three</p><a it's>four</a>").texts == ["one", "two", "three", "four"]
+    assert Tree('<p>one</p><img alt="5" tv"><p>two</p><i b="c">three</i>').texts == ["one", "two", "three"]
+    assert Tree('<p>one</p><a b="c>two</a><p>said "three').texts == ["one", "two", 'said "three']
+    assert Tree("<p>one</p><a b='c' two").texts == ["one"]
+
+
 def test_pages_table(spark, tmp_path, model):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "", 3)]
     spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").write.parquet(f"{tmp_path}/pages.parquet")

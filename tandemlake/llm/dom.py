@@ -8,10 +8,16 @@ import re
 import numpy as np
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noframes svg math object select button".split())
+#: Elements whose content is no markup, to their end tag or the end of the page.
+RAW = frozenset("script style title textarea iframe noframes".split())
+#: Form controls, whose text is no text of the page. One without an end tag ends with its parent or where a block starts.
+CONTROL = frozenset("select button".split())
+_CONTROL_TAG = {t: re.compile(rf"<(/?){t}[\s/>]", re.I) for t in CONTROL}
+#: Drawings and formulas: their text counts, their many tags don't.
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head".split()
+    "header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head xmp".split()
 )
 #: Start tags that end an open element of the given kind within the nearest scope.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -64,6 +70,9 @@ class Tree:
         pieces: list[str] = []
         linked = 0
         in_link = 0
+        in_foreign = 0
+        control = 0  # place in the stack of the form control that is open
+        has_end = False
         at = 0
 
         def flush() -> None:
@@ -78,15 +87,18 @@ class Tree:
                 linked = 0
 
         def close(to: int) -> None:
-            nonlocal in_link
-            if any(t in BLOCK for t, _ in stack[to:]):
+            nonlocal in_link, in_foreign, control
+            if stack[-1][1] != stack[to - 1][1]:
                 flush()
             in_link -= sum(t == "a" for t, _ in stack[to:])
+            in_foreign -= sum(t in FOREIGN for t, _ in stack[to:])
+            if to <= control:
+                control = 0
             del stack[to:]
 
         def add_text(text: str) -> None:
             nonlocal linked
-            if text:
+            if text and not control:
                 text = html.unescape(text) if "&" in text else text
                 pieces.append(text)
                 if in_link:
@@ -107,7 +119,7 @@ class Tree:
             tag = tag.lower()
             if m[1]:
                 if tag == "br":
-                    pieces.append(" ")
+                    pieces.append("" if control else " ")
                 elif tag == "p" and not any(t == "p" for t, _ in stack):
                     flush()
                 else:
@@ -120,7 +132,14 @@ class Tree:
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
                 close_at = source.find(">", end.end() - 1) if end else -1
                 at = skip_to = close_at + 1 if close_at >= 0 else len(source)
-                self.inline_tags[stack[-1][1]] += tag in ("button", "select")
+                continue
+            if control and not has_end and (tag in BLOCK or tag in CONTROL):
+                close(control)
+            if control:  # no element in it is one of the page's
+                if tag not in VOID and not m[3].endswith("/"):
+                    stack.append((tag, stack[-1][1]))
+                    in_link += tag == "a"
+                    in_foreign += tag in FOREIGN
                 continue
             if tag in P_ENDERS:
                 for k in range(len(stack) - 1, 0, -1):
@@ -147,12 +166,17 @@ class Tree:
                 self.inline_tags.append(0)
                 stack.append((tag, len(self.tag) - 1))
             else:
-                self.inline_tags[stack[-1][1]] += 1
+                self.inline_tags[stack[-1][1]] += not in_foreign and tag not in FOREIGN
                 if tag == "br":
                     pieces.append(" ")
                 elif tag not in VOID and not m[3].endswith("/"):
                     stack.append((tag, stack[-1][1]))
                     in_link += tag == "a"
+                    in_foreign += tag in FOREIGN
+                    if tag in CONTROL:
+                        control = len(stack) - 1
+                        following = _CONTROL_TAG[tag].search(source, at)
+                        has_end = bool(following and following[1])
         if at < len(source):
             add_text(source[at:])
         flush()

@@ -70,6 +70,35 @@ def test_stray_quotes_that_meet_later_ones():
     assert Tree("<p>one</p><a b='c' two").texts == ["one"]
 
 
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "math", "template", "noscript", "xmp"])
+def test_unclosed_elements_end_with_their_parent(tag):
+    for page in (f"<p>one</p><div><{tag}></div><p>two</p>", f"<p>one</p><{tag}><p>two</p>", f"<p>one</p><{tag}><{tag}><p>two</p><{tag}></{tag}>"):
+        assert Tree(page).texts == ["one", "two"]
+
+
+def test_form_controls_have_no_text():
+    assert Tree("<div><button>OK</div><article><p>one<p>two</article><button>Top</button>").texts == ["one", "two"]
+    assert Tree("<button>OK<article><p>one</article>").texts == ["one"]
+    assert Tree("<select><option>x<option>y<p>one<select><option>z</select>two").texts == ["onetwo"]
+    tree = Tree('<p>a <button class="x"><div>OK<br></div><p>b</p></button>c <i>d</i></p>')
+    assert (tree.texts, tree.tag, tree.inline_tags) == (["a c d"], ["#", "p"], [0, 2])
+
+
+def test_formulas_drawings_and_fallbacks_are_text():
+    tree = Tree("<p>If <math><mi>x</mi><mo>&lt;</mo><mn>1</mn></math> then</p><object data=x><p>no video</p></object><svg><title>t</title><path d='' /><text>a chart</text></svg><xmp>code</xmp>end")
+    assert tree.texts == ["If x<1 then", "no video", "a chart", "code", "end"]
+    assert tree.inline_tags[1] == 0
+
+
+def test_raw_elements_are_no_markup():
+    assert Tree("<p>one<script>'<p>x'</script><title><p>y</title><textarea><p>z</textarea><iframe><p></iframe> two<style><p>no end").texts == ["one two"]
+
+
+def test_an_article_behind_open_tags(model):
+    for tag in ("<button>Accept", "<select><option>English", "<svg><path d='M0'>"):
+        assert op8.extract([PAGE.replace("We use cookies.", "We use cookies. " + tag), PAGE.replace("<nav>", f"<nav>{tag}")], model) == op8.extract([PAGE] * 2, model)
+
+
 def test_pages_table(spark, tmp_path, model):
     rows = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "", 3)]
     spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int").write.parquet(f"{tmp_path}/pages.parquet")

@@ -39,7 +39,7 @@ def synchronized(overlaps: DataFrame, units: DataFrame, reads: DataFrame, ward_t
     return own.groupBy("target_id").cogroup(mates.groupBy("target_id")).applyInPandas(run, _SYNCED)
 
 
-def clustered(synced: DataFrame, mates: DataFrame, ward_threshold: float = 0.01, alpha: float = 1.0, max_rounds: int = 20) -> DataFrame:
+def clustered(synced: DataFrame, mates: DataFrame, ward_threshold: float = 0.01, alpha: float = 1.0) -> DataFrame:
     """synced with repr_id replaced by the cluster of each unit and its consensus as repr_seq. The sampler is seeded with
     the target's id, so a lost task that runs again gives the same labels."""
     cut = synced.drop("repr_id").join(mates, ["target_id", "read_id", "strand"]).withColumn("unit", subseq("seq", "start", "end")).drop("seq", "length")
@@ -47,7 +47,7 @@ def clustered(synced: DataFrame, mates: DataFrame, ward_threshold: float = 0.01,
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["read_id", "strand", "unit_ord"]).reset_index(drop=True)
         units = frame["unit"].tolist()
-        labels = SplitMerge(units, alpha=alpha, seed=int(frame["target_id"].iloc[0])).run(ward_threshold, max_rounds)
+        labels = SplitMerge(units, alpha=alpha, seed=int(frame["target_id"].iloc[0])).run(ward_threshold)
         cons = {k: consensus(sorted(u for u, x in zip(units, labels, strict=True) if x == k), "median") for k in set(labels)}
         return frame.drop(columns="unit").assign(repr_id=labels, repr_seq=[cons[k] for k in labels])
 

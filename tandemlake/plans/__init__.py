@@ -398,7 +398,7 @@ def simulated_contigs(spark, d):
 def simulated_labels(spark, d):
     rows, found, near = _assembled(spark)
     synced = clustering.synchronized(near, found, rows)
-    return clustering.clustered(synced, clustering.involved(near, rows), max_rounds=1)
+    return clustering.clustered(synced, clustering.involved(near, rows))
 
 
 @query()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+from inspect import signature
 from random import Random
 
 import pytest
@@ -11,6 +12,7 @@ from tandemlake.functions.align import MODES, align, align_cyclic, cigar_of_text
 from tandemlake.functions.clustering import SplitMerge, canonical, distance_matrix, synchronize, ward
 from tandemlake.functions.consensus import consensus, log_prob_composition, log_prob_gen, variants
 from tandemlake.functions.units import SelfAlignment, covering, repeat_spans, self_alignments, split_units, units_of
+from tandemlake.operators.clustering import clustered
 from tandemlake.operators.contigs import refine, slice_of
 from tandemlake.operators.encode import encode_read
 
@@ -127,3 +129,31 @@ def test_scripts(seed):
         out = sim.apply_script(r, seq, script)
         assert len(out) == 40 + script.count("I") - script.count("D") and sum(op != "I" for op in script) == 40
     assert not sim.has_period(sim.non_tandem_seq(r, 6)) and sim.has_period("acac") and not sim.has_period("a")
+
+
+class Scripted(SplitMerge):
+    """A sampler whose log probabilities are given: the first before the rounds, the last for all that come later."""
+
+    def __init__(self, *found: float):
+        super().__init__(["acgt", "acga"])
+        self.found = list(found)
+
+    def gibbs(self, rounds: int = 2) -> None:
+        pass
+
+    def propose(self, times: int = 30) -> int:
+        return 0
+
+    def log_prob(self, labels) -> float:
+        return self.found.pop(0) if len(self.found) > 1 else self.found[0]
+
+
+def test_sampler_runs_until_its_stop_rule_holds():
+    no = float("-inf")
+    for found, rounds in (
+        (range(-300, -100), 201), ([-9, -8.5, -8.2], 3), ([-9, -8] * 20, 11), ([no], 5), ([no, no, -3, -2.5, -2.2], 5), ([-9.0, -9.5, -8.5, -8.1, -7.9, -7.8, -7.1], 6),
+    ):
+        sampler = Scripted(*map(float, found))
+        sampler.run()
+        assert sampler.rounds == rounds, found
+    assert "max_rounds" not in signature(clustered).parameters

@@ -58,7 +58,7 @@ PATTERNS = (
         r"text rlike '[\\[(](?:at|AT)[\\])]'", "true", False,
     ),
     Pattern(
-        "secret", r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?["']?[A-Za-z0-9+/_.-]{8,512}["']?""",
+        "secret", r"""(?i)(?<![a-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:][ ]?["']?[A-Za-z0-9+/_.-]{8,}+["']?""",
         "text rlike '(?i)(?:password|passwd|pwd|token|secret|api[_-]?key)[ ]?[=:]'", "true", False,
     ),
     Pattern("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{1,30}(?: [A-Z][a-z]{1,30})?", r"text rlike '(?:Mr|Mrs|Ms|Dr|Prof)\\. [A-Z]'", "true", False),

@@ -218,6 +218,14 @@ def test_masking(spark):
     assert {r["doc_id"]: (r["text"], r["candidates"]) for r in op3.masked(frame).collect()} == {1: ("é mail <EMAIL> now", "k"), 2: (None, "k"), 3: ("clean", "k")}
 
 
+def test_a_long_secret_is_one_span(spark):
+    values = ["aB3-" * n for n in (3, 128, 129, 500, 5_000)]
+    texts = [f"password: {v}; end" for v in values] + [f"api_key='{'a1/' * 300}' end"]
+    rows = op3.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    found = [[(x["start"], x["stop"]) for x in r["candidates"] if x["kind"] == "secret"] for r in rows]
+    assert found == [[(0, 10 + len(v))] for v in values] + [[(0, 910)]]
+
+
 def test_em_tells_good_labelers_from_bad(spark):
     r = random.Random(1)
     counts = Counter()

@@ -10,7 +10,9 @@
    members meet only the others. Only links leave a block, never pairs.
 5. Connected components of all links.
 
-A pair at the threshold of 0.85 shares no band with probability (1 - 0.85^8)^48 = 2.4e-7; no other link is missed.
+Bands and their rows follow from the threshold (banding), so that a pair at it shares no band with probability MISS at
+most: 48 bands of 8 rows at 0.85, (1 - 0.85^8)^48 = 2.4e-7; 51 of 6 at the pipeline's 0.80, (1 - 0.80^6)^51 = 1.9e-7. No
+other link is missed.
 
 Defined results: null and empty texts have the empty set, are linked with nothing and are their own component;
 equal rows are linked (the first by id stays); rows of one doc_id with different texts are different documents
@@ -20,6 +22,7 @@ an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +32,21 @@ from pyspark.sql import functions as F
 
 from tandemlake.llm.common import LOWER, SPACED_WORD, PrefixHash, components, cut, find_words, free_name, mix, small_batches, table, text_slices, window_hashes
 
-BANDS, ROWS = 48, 8
+#: The probability that a pair at the threshold is missed, at most; and the bands for which more rows are still taken.
+MISS, MOST_BANDS = 2.4e-7, 52
 #: Shingles in one block of step 4, on either side.
 BLOCK_SHINGLES = 1 << 18
 #: Candidate classes whose ids are broadcast at most (24 bytes each); beyond, the texts are shuffled.
 BROADCAST_CLASSES = 400_000
 
 
+def banding(num: int, den: int) -> tuple[int, int]:
+    """(bands, rows) for a threshold of num / den: the most rows that need MOST_BANDS or less for MISS, one row at least."""
+    bands = lambda rows: math.ceil(math.log(MISS) / math.log1p(-min(num / den, 1 - 1e-9) ** rows))
+    rows = max((r for r in range(1, 33) if bands(r) <= MOST_BANDS), default=1)
+    return bands(rows), rows
+
+
 class CirculantMinHash:
     """Signatures from two permutations of a universe of `universe` places.
 
@@ -96,10 +107,10 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int((b + np.uint64(len(own))).astype(np.int64))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    if (BANDS, ROWS) not in _hashers:
-        _hashers[BANDS, ROWS] = CirculantMinHash(BANDS, ROWS)
-    hasher = _hashers[BANDS, ROWS]
+def _sketched(batches: Iterator[pa.RecordBatch], words: int, shape: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    if shape not in _hashers:
+        _hashers[shape] = CirculantMinHash(*shape)
+    hasher = _hashers[shape]
     for batch in batches:
         for part, data, offsets in text_slices(batch):
             sets = shingle_sets(data, offsets, words)
@@ -170,8 +181,9 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
     docs needs doc_id and text. Documents are linked where den * |intersection| >= num * |union|.
     """
     docs = small_batches(docs).select("doc_id", "text")
+    shape = banding(num, den)
     hashed = docs.withColumn("t", F.xxhash64("text"))
-    sketches = cut(hashed.mapInArrow(lambda x: _sketched(x, words), "doc_id long, t long, n_shingles long, a long, b long, bands array<long>"))
+    sketches = cut(hashed.mapInArrow(lambda x: _sketched(x, words, shape), "doc_id long, t long, n_shingles long, a long, b long, bands array<long>"))
     full = sketches.filter("n_shingles > 0")
     classes = cut(full.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n_shingles")))
     node = lambda a="a", b="b": F.concat(F.hex(a), F.lit("-"), F.hex(b))

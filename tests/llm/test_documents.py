@@ -132,6 +132,31 @@ def test_blocks_settle_what_centres_leave(spark, monkeypatch):
     assert {r["component_id"] for r in classes.collect()} == {0}
 
 
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100), (1, 2), (1, 5), (95, 100), (1, 1)])
+def test_bands_follow_the_threshold(num, den):
+    bands, rows = op10.banding(num, den)
+    assert (1 - (num / den) ** rows) ** bands <= 2.4e-7
+    assert (num, den) != (85, 100) or (bands, rows) == (48, 8)
+
+
+def test_sketches_have_the_bands_of_their_threshold(spark):
+    frame = spark.createDataFrame([(k, f"a b c d e f g {k}") for k in range(2)], "doc_id long, text string")
+    seen = []
+
+    class Hasher(op10.CirculantMinHash):
+        def band_keys(self, signatures):
+            seen.append((self.bands, self.rows))
+            return super().band_keys(signatures)
+
+    for num in (80, 85):
+        shape = op10.banding(num, 100)
+        op10._hashers[shape] = Hasher(*shape)
+        batch = frame.selectExpr("doc_id", "xxhash64(text) as t", "text").toArrow().to_batches()
+        assert {len(x) for b in op10._sketched(iter(batch), 5, shape) for x in b.column("bands").to_pylist()} == {shape[0]}
+        del op10._hashers[shape]
+    assert set(seen) == {(51, 6), (48, 8)}
+
+
 def test_circulant_signatures_estimate_jaccard():
     hasher = op10.CirculantMinHash(48, 8)
     rng = np.random.default_rng(1)

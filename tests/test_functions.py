@@ -92,7 +92,7 @@ def test_likelihoods_prefer_the_truth():
 def test_clustering_parts_two_units():
     r = Random(3)
     a = sim.unique_seq(r, 80)
-    b = sim.mutated(r, a, 10)
+    b = sim.mutated(r, a, (90, 5, 2.5, 2.5))
     units = [a, b] * 5
     assert ward(distance_matrix(units), 0.02) == [0, 1] * 5 == SplitMerge(units, seed=1).run(0.02)
     assert canonical([5, 2, 5]) == [0, 1, 0] and SplitMerge([a]).run() == [0] and SplitMerge([]).run() == []

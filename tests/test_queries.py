@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -13,9 +16,21 @@ FOLDER = Path("/root/testdata/sf0.001")
 SQL = __spark_entry__.oracle_sql()
 
 
+def cell(v):
+    """A value whose type counts: whole numbers of any width are one type, so are decimals; nulls are one value."""
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return ("list", *map(cell, v))
+    if v is None or pd.isna(v):
+        return ("null",)
+    if isinstance(v, (bool, np.bool_)):
+        return ("bool", bool(v))
+    if isinstance(v, (int, np.integer)):
+        return ("number", float(v))
+    return ("number", round(float(v), 9)) if isinstance(v, (float, np.floating, Decimal)) else (type(v).__name__, str(v))
+
+
 def normal(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    cell = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, float) else str(v)
     return sorted((tuple(map(cell, row)) for row in frame.itertuples(index=False)), key=str)
 
 

@@ -1,15 +1,18 @@
 """Shared pieces of the corpus operators: reading tables and vectorised word handling on Arrow buffers.
 
-Texts stay in their Arrow buffers: words are found with byte-class tables and hashed with a
-prefix-sum polynomial, so no Python object is made per word. UTF-8 continuation bytes never fall in
-an ASCII class, hence byte classes and character classes agree.
+Texts stay in their Arrow buffers: words are found with byte-class tables and numbered by comparing their bytes
+(Arrow's dictionary encoding), so no Python object is made per word and equal numbers mean equal words. UTF-8
+continuation bytes never fall in an ASCII class, hence byte classes and character classes agree.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, with its session's Arrow batches held to BATCH_ROWS."""
+    """df, with its session's Arrow batches held to BATCH_ROWS from now on: plans read that setting when they run."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
@@ -90,41 +93,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def pieces_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of ascending ranges that do not overlap, none of them empty."""
+    steps = np.zeros(len(data) + 1, np.int8)
+    steps[starts] += 1
+    steps[stops] -= 1
+    inside = np.cumsum(steps[:-1], dtype=np.int8).astype(bool)
+    offsets = np.concatenate(([0], np.cumsum(stops - starts))).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            powers = np.full(size, base, np.uint64)
-            powers[0] = 1
-            _powers[k] = np.cumprod(powers, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def numbered(values: pa.LargeBinaryArray) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+    """A number for each value and the distinct values in the order of these numbers."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-class PrefixHash:
-    """64-bit hashes of any byte ranges of a buffer, each in constant time."""
+def numbered_runs(numbers: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of `size` values (a power of two), by its first; equal numbers mean equal runs."""
+    span = 1
+    while span < size:
+        if len(numbers) <= span:
+            return numbers[:0]
+        numbers = pd.factorize(numbers[:-span] * (int(numbers.max()) + 1) + numbers[span:])[0]
+        span *= 2
+    return numbers
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        powers, self.inverse = _power_tables(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stops] - self.sums[starts]) * self.inverse[starts])
+def digests(values: pa.LargeBinaryArray) -> np.ndarray:
+    """Two 64-bit halves of the BLAKE2b digest of each value: equal on every machine, and not to be made equal on purpose
+    with less than the work that such a digest takes."""
+    return np.frombuffer(b"".join(blake2b(v, digest_size=16).digest() for v in values.to_pylist()), np.uint64).reshape(-1, 2)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of each run of `size` words, by its first word; words are hashes themselves."""
+    """Hash of each run of `size` words, by its first word; words are digests themselves."""
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = words[:n].copy()
     for k in range(1, size):
-        out = out * np.uint64(0xD1342543DE82EF95) + words[k : n + k]
+        out = mix(out * np.uint64(0xD1342543DE82EF95)) + words[k : n + k]
     return mix(out)
 
 
@@ -142,9 +151,12 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where the session names none (tests), one of our own in the local temp folder."""
+    """The folder in spark.checkpoint.dir. Where the session names none, one of our own if all of Spark runs in this
+    process (tests); a cluster must name one that all its machines share."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(given)
@@ -157,24 +169,47 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for rows with texts: unlike a checkpoint it is compressed."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def fair_share(rows: int) -> int:
+    """Rows of one key that a task may get: at most 5,000 keys have more, so a list of these may be broadcast."""
+    return max(64, rows // 5000)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], share: int, counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has one row for each key. Keys with more than `share` rows on the left are dealt over
+    several parts, for each of which right's row is repeated. counts: keys and n, the rows on the left."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = F.broadcast(counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("hot_parts")))
+    parts = F.coalesce("hot_parts", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("hot_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("hot_parts")
+    every = right.join(hot, keys, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
+    return dealt.join(every, [*keys, "hot_part"]).drop("hot_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that (u, v) names: label is the least node it is connected with.
 
-    Alternates large and small stars; each round is two aggregations with map-side minima and two equi-joins
-    on the edges, so no group is ever held in one task. The number of rounds grows with the logarithm of the
-    longest path.
+    Alternates large and small stars; each round is two aggregations with map-side minima and two joins on the edges,
+    whose hubs are dealt over many tasks. The number of rounds grows with the logarithm of the longest path.
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(edges)
     while True:
+        share = fair_share(before[0])
         near = both(edges)
-        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(near.filter("v > u"), least.select("u", "m"), ["u"], share, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, least.select("u", "m"), ["u"], share, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         after = state(edges)
         if after == before:

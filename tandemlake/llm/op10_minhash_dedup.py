@@ -1,7 +1,7 @@
 """Near-duplicate documents by circulant MinHash.
 
-1. Each whole text becomes its set of distinct word shingles (64-bit hashes), a 128-bit fingerprint of that
-   set, and the band keys of its signature (two permutations, see CirculantMinHash).
+1. Each whole text becomes its set of distinct word shingles (64-bit hashes over BLAKE2b digests of the words), a 128-bit
+   fingerprint of that set, and the band keys of its signature (two permutations, see CirculantMinHash).
 2. Texts with equal sets are one class, found by an aggregation with map-side minima.
 3. In each bucket of equal band keys the classes are compared with one centre (the least), on full sets. That
    joins large groups of near copies without any pair among their other members.
@@ -10,14 +10,17 @@
    members meet only the others. Only links leave a block, never pairs.
 5. Connected components of all links.
 
+Joins on keys that a large group shares (a band key, a centre, a class of copies, a hub of the links) deal the rows of
+such a key over many tasks (spread_join).
+
 Bands and their rows follow from the threshold (banding), so that a pair at it shares no band with probability MISS at
 most: 48 bands of 8 rows at 0.85, (1 - 0.85^8)^48 = 2.4e-7; 51 of 6 at the pipeline's 0.80, (1 - 0.80^6)^51 = 1.9e-7. No
 other link is missed.
 
 Defined results: null and empty texts have the empty set, are linked with nothing and are their own component;
 equal rows are linked (the first by id stays); rows of one doc_id with different texts are different documents
-which share that id; a null doc_id takes part, comes last in order and is never `kept`; an empty table gives
-an empty result; other columns are not read.
+which share that id; a null doc_id takes part, comes last in order and is never `kept`; rows that share a null or equal
+id, however many, are looked up by id and text; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import LOWER, SPACED_WORD, PrefixHash, components, cut, find_words, free_name, mix, small_batches, table, text_slices, window_hashes
+from tandemlake.llm.common import LOWER, SPACED_WORD, components, cut, digests, fair_share, find_words, free_name, mix, numbered, pieces_of, small_batches, spread_join, table, text_slices, window_hashes
 
 #: The probability that a pair at the threshold is missed, at most; and the bands for which more rows are still taken.
 MISS, MOST_BANDS = 2.4e-7, 52
@@ -80,41 +83,37 @@ class CirculantMinHash:
         return keys
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: of its `words`-word runs, or of all its words if fewer."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted distinct shingle hashes of each text: of its `words`-word runs, or of all its words if fewer; and a
+    128-bit fingerprint of each set, whose halves come from independent digests of the words."""
     data = LOWER[data]
     starts, stops, first = find_words(data, offsets, SPACED_WORD)
-    hashes = PrefixHash(data).of(starts, stops)
-    runs = window_hashes(hashes, words)
-    out = []
+    numbers, distinct = numbered(pieces_of(data, starts, stops))
+    both = digests(distinct)[numbers].T
+    runs = [window_hashes(x, words) for x in both]
+    sets, prints = [], np.zeros((len(offsets) - 1, 2), np.int64)
     for k in range(len(offsets) - 1):
         a, b = first[k], first[k + 1]
-        own = runs[a : b - words + 1] if b - a >= words else window_hashes(hashes[a:b], int(b - a)) if b > a else runs[:0]
-        own = np.sort(own)
-        if len(own) > 1:
-            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-        out.append(own)
-    return out
+        if b - a >= words:
+            own, other = (x[a : b - words + 1] for x in runs)
+        else:
+            own, other = (window_hashes(x[a:b], int(b - a)) for x in both)
+        own, at = np.unique(own, return_index=True)
+        sets.append(own)
+        prints[k] = mix(own).sum().astype(np.int64), (mix(other[at]).sum() + np.uint64(len(own))).astype(np.int64)
+    return sets, prints
 
 
 _hashers: dict[tuple[int, int], CirculantMinHash] = {}
 
 
-def _fingerprint(own: np.ndarray) -> tuple[int, int]:
-    """Of a set of hashes: two independent sums of scattered values."""
-    scattered = mix(own)
-    a, b = scattered.sum(), mix(scattered ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-    return int(a.astype(np.int64)), int((b + np.uint64(len(own))).astype(np.int64))
-
-
 def _sketched(batches: Iterator[pa.RecordBatch], words: int, shape: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     if shape not in _hashers:
         _hashers[shape] = CirculantMinHash(*shape)
     hasher = _hashers[shape]
     for batch in batches:
         for part, data, offsets in text_slices(batch):
-            sets = shingle_sets(data, offsets, words)
-            prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            sets, prints = shingle_sets(data, offsets, words)
             full = [k for k, s in enumerate(sets) if len(s)]
             keys = hasher.band_keys(np.array([hasher.signature(sets[k]) for k in full], np.int32).reshape(-1, hasher.size)).view(np.int64)
             counts = np.zeros(len(sets) + 1, np.int32)
@@ -129,8 +128,7 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, shape: tuple[int, i
 def _with_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offsets in text_slices(batch):
-            sets = shingle_sets(data, offsets, words)
-            prints = np.array([_fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+            sets, prints = shingle_sets(data, offsets, words)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -176,7 +174,8 @@ def _block_links(block: pa.Table, num: int, den: int) -> pa.Table:
 
 
 def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Sketches (doc_id, t, n_shingles, a, b) of every row, t being a hash of its text, and (a, b, component_id) of every class of equal sets.
+    """Sketches (doc_id, t, n_shingles, a, b) of every row, t being a hash of its text, and (a, b, component_id, keeper, n) of
+    every class of equal sets: n is its number of rows, keeper the (no_id, doc_id, t) of its component's first row.
 
     docs needs doc_id and text. Documents are linked where den * |intersection| >= num * |union|.
     """
@@ -184,53 +183,60 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
     shape = banding(num, den)
     hashed = docs.withColumn("t", F.xxhash64("text"))
     sketches = cut(hashed.mapInArrow(lambda x: _sketched(x, words, shape), "doc_id long, t long, n_shingles long, a long, b long, bands array<long>"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")).alias("one")  # a row that has the set
     full = sketches.filter("n_shingles > 0")
-    classes = cut(full.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n_shingles")))
+    classes = cut(full.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), one, F.first("bands").alias("bands")))
     node = lambda a="a", b="b": F.concat(F.hex(a), F.lit("-"), F.hex(b))
 
-    # equal classes have equal bands: distinct, combined before the shuffle, leaves one row of each class and band
-    rows = full.select(F.explode("bands").alias("key"), "a", "b")
-    found = rows.groupBy("key").agg(F.min("a").alias("centre"), F.max("a").alias("last")).filter("centre <> last")
-    members = cut(rows.join(found.select("key", "centre"), "key").select("key", "centre", "a", "b").distinct())
+    rows = classes.select(F.explode("bands").alias("key"), "a", "b")
+    found = rows.groupBy("key").agg(F.min(F.struct("a", "b")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    size = found.agg(F.sum("n")).first()[0]
+    if not size:
+        return sketches.drop("bands"), classes.select("a", "b", F.col("first").alias("component_id"), F.col("one").alias("keeper"), "n")
+    members = cut(spread_join(rows, found.select("key", "centre"), ["key"], fair_share(size), found))
 
-    candidates = cut(members.select("a", "b").distinct().join(classes, ["a", "b"]))
+    candidates = cut(members.select("a", "b").distinct().join(classes.drop("bands", "n"), ["a", "b"]))
     n = candidates.count()
-    if not n:
-        return sketches.drop("bands"), classes.select("a", "b", F.col("first").alias("component_id"))
-    wanted = candidates.select(F.col("first").alias("doc_id"), "a", "b")
-    chosen = docs.join(F.broadcast(wanted) if n <= BROADCAST_CLASSES else wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "a", "b")
+    wanted = candidates.select("one.no_id", F.coalesce("one.doc_id", F.lit(0)).alias("i"), "one.t", "a", "b")
+    given = docs.select("text", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"))
+    chosen = given.join(F.broadcast(wanted) if n <= BROADCAST_CLASSES else wanted, ["no_id", "i", "t"]).select("text", "a", "b")
     schema = "a long, b long, own_a long, own_b long, shingles array<long>"
     sets = chosen.mapInArrow(lambda x: _with_sets(x, words), schema).filter("a = own_a AND b = own_b")
     sets = cut(sets.select("a", "b", "shingles").dropDuplicates(["a", "b"]).withColumn("node", node()))
 
-    pairs = members.filter("a <> centre").select("centre", "a", "b").distinct()
-    centres = sets.select(F.col("a").alias("centre"), F.col("node").alias("u"), F.col("shingles").alias("x"))
-    sides = pairs.join(sets.select("a", "b", F.col("node").alias("v"), F.col("shingles").alias("y")), ["a", "b"]).join(centres, "centre")
+    pairs = members.select("a", "b", node("centre.a", "centre.b").alias("u")).distinct().filter(F.col("u") != node())
+    centres = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    sides = pairs.join(sets.select("a", "b", F.col("node").alias("v"), F.col("shingles").alias("y")), ["a", "b"]).select("u", "v", "y")
     shared = F.size(F.array_intersect("x", "y"))
-    linked = sides.select("u", "v", (F.size("x") + F.size("y")).alias("total"), shared.alias("shared"))
+    linked = spread_join(sides, centres, ["u"], fair_share(n), pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")))
+    linked = linked.select("u", "v", (F.size("x") + F.size("y")).alias("total"), shared.alias("shared"))
     links = cut(linked.filter(F.col("shared") * den >= (F.col("total") - F.col("shared")) * num).select("u", "v"))
 
-    labels = components(links)
+    labels = cut(components(links))
     placed = cut(
-        members.withColumn("node", node()).join(labels, "node", "left")
+        members.select("key", node().alias("node")).join(labels, "node", "left")
         .join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node")
         .select("key", "node", F.coalesce("label", "node").alias("label"), "n")
     )
-    more = _settle(placed, sets, num, den)
-    labels = components(links.union(more))
-    moved = candidates.withColumn("node", node()).join(labels, "node").select("a", "b", "first", "label")
-    least = moved.groupBy("label").agg(F.min("first").alias("component_id"))
-    moved = cut(moved.join(least, "label").select("a", "b", "component_id"))
-    return sketches.drop("bands"), classes.join(moved, ["a", "b"], "left").select("a", "b", F.coalesce("component_id", "first").alias("component_id"))
+    more = _settle(placed, sets, num, den, fair_share(size))
+    if more.limit(1).count():
+        labels = cut(components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more)))
+    moved = candidates.select("a", "b", "first", "one", node().alias("node")).join(labels, "node").select("a", "b", "first", "one", "label")
+    least = moved.groupBy("label").agg(F.min("first").alias("component_id"), F.min("one").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    moved = cut(spread_join(moved.select("a", "b", "label"), least.drop("n"), ["label"], fair_share(n), least).select("a", "b", "component_id", "keeper"))
+    placed = classes.join(moved, ["a", "b"], "left")
+    return sketches.drop("bands"), placed.select("a", "b", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("keeper", "one").alias("keeper"), "n")
 
 
-def _settle(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _settle(placed: DataFrame, sets: DataFrame, num: int, den: int, share: int) -> DataFrame:
     """Links between different components that share a bucket; placed: key, node, label, n (its shingles)."""
-    by_label = placed.groupBy("key", "label").agg(F.sum("n").alias("n"))
-    buckets = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels"))
+    by_label = placed.groupBy("key", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"))
+    buckets = by_label.groupBy("key").agg(
+        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels"), F.sum("members").alias("members")
+    )
     parts = lambda x: F.greatest(F.ceil(x / F.lit(BLOCK_SHINGLES)), F.lit(1)).cast("int")
-    buckets = buckets.filter("labels > 1").select("key", F.col("top.label").alias("top"), parts(F.col("top.n")).alias("mains"), parts(F.col("total") - F.col("top.n")).alias("others"))
-    split = placed.join(buckets, "key").withColumn("main", F.col("label") == F.col("top"))
+    buckets = buckets.filter("labels > 1").select("key", "members", F.col("top.label").alias("top"), parts(F.col("top.n")).alias("mains"), parts(F.col("total") - F.col("top.n")).alias("others"))
+    split = spread_join(placed, buckets.drop("members"), ["key"], share, buckets.select("key", F.col("members").alias("n"))).withColumn("main", F.col("label") == F.col("top"))
     split = split.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     with_main = F.transform(each("mains"), lambda k: F.struct(F.col("part").alias("i"), F.lit(1).alias("kind"), k.alias("j")))
@@ -242,23 +248,29 @@ def _settle(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return cut(rows.groupBy("key", "i", "kind", "j").applyInArrow(lambda x: _block_links(x, num, den), "u string, v string").distinct())
 
 
+def _with_components(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """Sketches with the component_id of their class; null for rows without words. A class of any size is dealt over tasks."""
+    classes = cut(classes)
+    share = fair_share(classes.agg(F.sum("n")).first()[0] or 0)
+    full = spread_join(sketches.filter("n_shingles > 0"), classes.drop("n", "keeper"), ["a", "b"], share, classes.select("a", "b", "n"))
+    return full.unionByName(sketches.filter("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long")))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sketches, classes = duplicate_classes(table(spark, sf_dir, "documents"))
-    out = sketches.join(cut(classes), ["a", "b"], "left")
+    out = _with_components(*duplicate_classes(table(spark, sf_dir, "documents")))
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with
-    the least doc_id, null last. Of rows with one doc_id and one text one stays; documents without words all stay."""
+    """Pipeline stage: of each group of near duplicates (five-word shingles, similarity 0.8 or more) one document, that with
+    the least doc_id, null last, and of several texts with that id the one with the least hash; one row of it if rows are
+    repeated. Documents without words all stay."""
     own = docs.columns
-    sketches, classes = duplicate_classes(docs, words=5, num=80)
-    joined = sketches.join(cut(classes), ["a", "b"], "left")
-    empty = F.col("n_shingles") == 0
-    stays = joined.filter(empty | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("i"), "t", empty.alias("empty")).distinct()
+    _, classes = duplicate_classes(docs, words=5, num=80)
+    stays = classes.select(F.col("keeper.doc_id").alias("i"), F.col("keeper.t").alias("t")).distinct()
     t = free_name(docs, "t")
-    rows = docs.withColumn(t, F.xxhash64("text"))
-    held = rows.join(stays.filter("NOT empty"), rows["doc_id"].eqNullSafe(stays["i"]) & (rows[t] == stays["t"]), "left_semi").dropDuplicates(["doc_id", t])
-    without = rows.join(stays.filter("empty"), rows["doc_id"].eqNullSafe(stays["i"]) & (rows[t] == stays["t"]), "left_semi")
-    return held.union(without).select(*own)
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(wordy).withColumn(t, F.xxhash64("text"))
+    held = rows.join(stays, rows["doc_id"].eqNullSafe(stays["i"]) & (rows[t] == stays["t"]), "left_semi").dropDuplicates(["doc_id", t])
+    return held.select(*own).union(docs.filter(~wordy).select(*own))

@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import ALNUM_WORD, LOWER, PrefixHash, find_words, small_batches, table, text_slices
+from tandemlake.llm.common import ALNUM_WORD, LOWER, find_words, numbered, pieces_of, small_batches, table, text_slices
 
 WINDOW = 10
 #: Text bytes of a shard.
@@ -137,9 +138,10 @@ class FMIndex:
 
 @dataclass
 class Block:
-    """Windows of some benchmark items: distinct ones as rows of symbols, and which items have each."""
+    """Windows of some benchmark items: distinct ones as rows of symbols, and which items have each. Symbol k + 1 is word
+    k of the vocabulary."""
 
-    vocabulary: np.ndarray
+    vocabulary: pa.LargeBinaryArray
     patterns: np.ndarray
     lengths: np.ndarray
     owner_ends: np.ndarray
@@ -154,7 +156,7 @@ def build_block(items: list[tuple[str, str]], window: int = WINDOW) -> Block | N
     starts, stops, first = find_words(data, offsets, ALNUM_WORD)
     if not len(starts):
         return None
-    vocabulary, symbols = np.unique(PrefixHash(data).of(starts, stops), return_inverse=True)
+    symbols, vocabulary = numbered(pieces_of(data, starts, stops))
     owners: dict[tuple[int, ...], set[int]] = {}
     for k in range(len(items)):
         own = tuple((symbols[first[k] : first[k + 1]] + 1).tolist())
@@ -189,11 +191,10 @@ def read_blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW)
     return out
 
 
-def _block_hits(block: Block, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block_hits(block: Block, words: np.ndarray, distinct: pa.LargeBinaryArray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, word count and window of each occurrence in a shard whose texts begin at the words `first`."""
-    at = np.searchsorted(block.vocabulary, hashes)
-    at[at == len(block.vocabulary)] = 0
-    symbols = np.where(block.vocabulary[at] == hashes, at + 1, 0)
+    known = pc.fill_null(pc.index_in(distinct, value_set=block.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    symbols = known[words] + 1
     # a separator stands before each text; then runs of separators shrink to one
     with_ends = np.insert(symbols, first[:-1], 0)
     word = np.insert(np.arange(len(symbols)), first[:-1], -1)
@@ -213,12 +214,12 @@ def _found(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], text: str
         for part, data, offsets in text_slices(batch, text, SHARD_BYTES):
             lower = LOWER[data]
             starts, stops, first = find_words(lower, offsets, ALNUM_WORD)
-            hashes = PrefixHash(lower).of(starts, stops)
+            words, distinct = numbered(pieces_of(lower, starts, stops))
             cover = np.zeros(len(starts) + 1, np.int64)
             items: dict[int, set[str]] = {}
             for one in blocks if len(starts) else ():
                 block = one.value
-                begin, length, which = _block_hits(block, hashes, first)
+                begin, length, which = _block_hits(block, words, distinct, first)
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + length, -1)
                 doc = np.searchsorted(first, begin, "right") - 1

@@ -1,7 +1,7 @@
 """Quality rules as a bitmask ledger.
 
-`ledger` measures every whole text once (vectorised, on Arrow buffers) and stores the measurements with
-one failure bit per rule. Policies are versioned masks over these bits: applying another policy, or
+`ledger` measures every whole text once (vectorised, on Arrow buffers; lines and words are told apart by their bytes, not
+by hashes) and stores the measurements with one failure bit per rule. Policies are versioned masks over these bits: applying another policy, or
 asking what a policy would keep without one of its rules, reads the ledger and never a text again.
 
 Defined results: a null or empty text has no words and zero measurements, and fails MIN_WORDS; equal rows
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import SPACED_WORD, PrefixHash, byte_class, counts_between, find_words, small_batches, table, text_slices, window_hashes
+from tandemlake.llm.common import SPACED_WORD, byte_class, counts_between, find_words, numbered, numbered_runs, pieces_of, small_batches, table, text_slices
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 UPPER = byte_class(bytes(range(0x41, 0x5B)))
@@ -83,7 +83,6 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out = {"n_words": per_text, "word_chars": np.diff(in_word_points[offsets])}
     for name, flags in (("n_symbols", SYMBOLS), ("n_upper", UPPER), ("n_lower", LOWERS), ("n_exclaim", EXCLAIM)):
         out[name] = counts_between(np.flatnonzero(flags[data]), offsets)
-    hashes = PrefixHash(data)
     texts = np.arange(len(offsets) - 1)
 
     breaks = np.flatnonzero(data == 0x0A)
@@ -95,16 +94,16 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_from, line_to, line_text = line_from[with_word], line_to[with_word], line_text[with_word]
     line_to = line_to - ((line_to > line_from) & (data[np.maximum(line_to, 1) - 1] == 0x0A))
     out["n_lines"] = np.bincount(line_text, minlength=len(texts))
-    keys = hashes.of(line_from, line_to) + line_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = numbered(pieces_of(data, line_from, line_to))[0] * len(texts) + line_text
     _, once = np.unique(keys, return_index=True)
     again = np.ones(len(keys), bool)
     again[once] = False
     out["n_dup_lines"] = np.bincount(line_text[again], minlength=len(texts))
 
-    windows = window_hashes(hashes.of(starts, stops), WINDOW)
+    windows = numbered_runs(numbered(pieces_of(data, starts, stops))[0], WINDOW)
     word_text = np.repeat(texts, per_text)
     own = np.flatnonzero(word_text[: len(windows)] == word_text[WINDOW - 1 :]) if len(windows) else np.zeros(0, np.int64)
-    keys = windows[own] + word_text[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keys = windows[own] * len(texts) + word_text[own]
     order = np.argsort(keys)
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]

@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from tandemlake.llm import common
 from tandemlake.llm import op1_language_id as op1
 from tandemlake.llm import op2_sentencepiece as op2
 from tandemlake.llm import op3_pii as op3
@@ -122,6 +123,50 @@ def test_dedup_equals_brute_force(spark, docs, folder):
     assert rows_of(op10.op10_minhash_dedup(spark, folder)) == expected
 
 
+#: The two halves of the Thue-Morse sequence: their letters' sums under any polynomial modulo 2^64 are equal.
+THUE = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+EUHT = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_made_to_collide_stay_apart(spark, tmp_path):
+    rows = [(1, THUE), (2, EUHT), (3, f"{THUE}\n{EUHT}"), (4, f"{THUE}\n{THUE}"), (5, " ".join([THUE] * 8 + [EUHT] * 8))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, EUHT)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"]: (r["n_dup_lines"], r["n_repeat_words"]) for r in op5.op5_quality_rules(spark, str(tmp_path)).collect()} == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 0)}
+    assert {r["doc_id"]: r["component_id"] for r in op10.op10_minhash_dedup(spark, str(tmp_path)).collect()} == {k: k for k in range(1, 6)}
+    assert {r["doc_id"]: r["n_hit"] for r in op4.op4_decontamination(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 8}
+
+
+@pytest.mark.parametrize("ids", ["null", "equal", "distinct"])
+def test_many_near_copies_of_any_ids(spark, tmp_path, ids):
+    words = [f"w{k}" for k in range(150)]
+    rows = [({"null": None, "equal": 7, "distinct": k}[ids], " ".join([*words, f"end{k}"])) for k in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = op10.op10_minhash_dedup(spark, str(tmp_path)).collect()
+    assert len(found) == 600 and {r["component_id"] for r in found} == {{"null": None, "equal": 7, "distinct": 0}[ids]}
+    assert op10.stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").count() == 1
+
+
+def test_hubs_are_dealt_over_parts(spark):
+    r = random.Random(5)
+    edges = [(f"hub{k % 3}", f"n{k:04}") for k in range(900)] + [(f"n{r.randrange(900):04}", f"m{k:03}") for k in range(300)] + [("hub1", "n0000")]
+    label = {x: x for e in edges for x in e}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        label[y] = x
+    found = common.components(spark.createDataFrame(edges, "u string, v string")).collect()
+    assert {tuple(x) for x in found} == {(x, root(x)) for x in label} and len(found) == len(label)
+    left = spark.createDataFrame([(k % 2, k) for k in range(400)] + [(5, 1), (6, 2)], "a long, x long")
+    right = spark.createDataFrame([(0, "zero"), (1, "one"), (5, "five"), (9, "nine")], "a long, y string")
+    assert rows_of(common.spread_join(left, right, ["a"], 64)) == rows_of(left.join(right, "a"))
+
+
 def test_blocks_settle_what_centres_leave(spark, monkeypatch):
     """A chain of near copies in small blocks: each is linked with the next alone."""
     words = [f"w{k}" for k in range(300)]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -13,6 +15,8 @@ RAW = frozenset("script style title textarea iframe noframes".split())
 #: Form controls, whose text is no text of the page. One without an end tag ends with its parent or where a block starts.
 CONTROL = frozenset("select button".split())
 _CONTROL_TAG = {t: re.compile(rf"<(/?){t}[\s/>]", re.I) for t in CONTROL}
+#: The next tag of a link: one that no end tag follows is no link, or all text behind it would count as linked.
+_LINK_TAG = re.compile(r"<(/?)a[\s/>]", re.I)
 #: Drawings and formulas: their text counts, their many tags don't.
 FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
@@ -27,7 +31,7 @@ P_SCOPE = frozenset("td th caption button object".split())
 #: Attributes as HTML reads them: a quote opens a value only after '=', any other quote is an ordinary character. A quote
 #: without a partner is one too, so a tag ends at the next '>' whenever the page has one.
 _ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES}(?=>)|[^>]*+)(>?)", re.S)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES}(?=>)|[^>]*+)(>?)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -67,6 +71,7 @@ class Tree:
         self.links: list[int] = []
         self.inline_tags = [0]
         stack: list[tuple[str, int]] = [("#", 0)]  # tag and the block element that it is or lies in
+        opened: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag: no tag's search walks the stack
         pieces: list[str] = []
         linked = 0
         in_link = 0
@@ -90,12 +95,25 @@ class Tree:
             nonlocal in_link, in_foreign, control
             if stack[-1][1] != stack[to - 1][1]:
                 flush()
-            in_link -= sum(t == "a" for t, _ in stack[to:])
-            in_foreign -= sum(t in FOREIGN for t, _ in stack[to:])
+            for t, _ in stack[to:]:
+                opened[t].pop()
+                in_link -= t == "a"
+                in_foreign -= t in FOREIGN
             if to <= control:
                 control = 0
             del stack[to:]
 
+        def open_(tag: str, block: int) -> None:
+            nonlocal in_link, in_foreign
+            opened[tag].append(len(stack))
+            stack.append((tag, block))
+            in_link += tag == "a"
+            in_foreign += tag in FOREIGN
+
+        def nearest(tags: Iterable[str]) -> int:
+            """Place of the innermost open element of these kinds; 0 if there is none."""
+            return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+
         def add_text(text: str) -> None:
             nonlocal linked
             if text and not control:
@@ -120,13 +138,10 @@ class Tree:
             if m[1]:
                 if tag == "br":
                     pieces.append("" if control else " ")
-                elif tag == "p" and not any(t == "p" for t, _ in stack):
+                elif opened.get(tag):
+                    close(opened[tag][-1])
+                elif tag == "p":
                     flush()
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] == tag:
-                            close(k)
-                            break
                 continue
             if tag in RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
@@ -137,24 +152,14 @@ class Tree:
                 close(control)
             if control:  # no element in it is one of the page's
                 if tag not in VOID and not m[3].endswith("/"):
-                    stack.append((tag, stack[-1][1]))
-                    in_link += tag == "a"
-                    in_foreign += tag in FOREIGN
+                    open_(tag, stack[-1][1])
                 continue
-            if tag in P_ENDERS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] in P_SCOPE:
-                        break
+            if tag in P_ENDERS and nearest("p") > nearest(P_SCOPE):
+                close(opened["p"][-1])
             if tag in ENDS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in ENDS[tag]:
-                        close(k)
-                        if tag != "tr":
-                            break
-                    elif stack[k][0] in SCOPE[tag]:
+                while (ended := nearest(ENDS[tag])) > nearest(SCOPE[tag]):
+                    close(ended)
+                    if tag != "tr":
                         break
             if tag in BLOCK:
                 flush()
@@ -164,15 +169,15 @@ class Tree:
                 self.tag.append(tag)
                 self.attributes.append(m[3])
                 self.inline_tags.append(0)
-                stack.append((tag, len(self.tag) - 1))
+                open_(tag, len(self.tag) - 1)
             else:
                 self.inline_tags[stack[-1][1]] += not in_foreign and tag not in FOREIGN
                 if tag == "br":
                     pieces.append(" ")
+                elif tag == "a" and not ((following := _LINK_TAG.search(source, at)) and following[1]):
+                    continue
                 elif tag not in VOID and not m[3].endswith("/"):
-                    stack.append((tag, stack[-1][1]))
-                    in_link += tag == "a"
-                    in_foreign += tag in FOREIGN
+                    open_(tag, stack[-1][1])
                     if tag in CONTROL:
                         control = len(stack) - 1
                         following = _CONTROL_TAG[tag].search(source, at)

@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from tandemlake.llm.common import small_batches, table, text_slices
 from tandemlake.llm.dom import Tree, node_features
 
-TRAINING_PAGES = 500
+TRAINING_PAGES = 600
+#: Share of them that are bare text.
+BARE = 0.12
 TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 #: What leaving a choice to the children costs, in log-probability.
 MIXED = -0.7
@@ -93,7 +95,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
 
 
 def training_page(seed: int) -> str:
-    """A page whose elements bear data-main="1" (main text below) or "0" (none)."""
+    """A page whose elements bear data-main="1" (main text below) or "0" (none); one without either is main text throughout."""
     r = random.Random(seed)
     syllables = "an be co da en fi ga ho in ja ke lo mu ne or pa qu ri st th un ve wi xa yo zu".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
@@ -115,6 +117,14 @@ def training_page(seed: int) -> str:
     text_or_links = lambda: sentences(1, 3) if r.random() < 0.5 else link_list(2, 6)
     wordy = lambda: "".join(f"<p>{sentences(1, 4)}</p>" for _ in range(r.randint(1, 4)))
 
+    if r.random() < BARE:  # nothing but text: without any element, or in one block or a few
+        text = r.choice((lambda: words(1, 4), lambda: sentences(1, 1), lambda: sentences(1, 4)))
+        blocks = [text() if r.random() < 0.3 else mark(r.choice(("p", "p", "div", "h1", "pre")), 1, text()) for _ in range(r.choice((1, 1, 1, 2, 3)))]
+        if not any("data-main" in b for b in blocks) or r.random() < 0.3:
+            blocks = [re.sub("<[^>]*>", "", b) for b in blocks]
+            return r.choice(("{}", "<body>{}</body>", "<html><head><title>t</title></head><body>{}</body></html>")).format(" ".join(blocks))
+        return r.choice(("{}", "<body data-main='1'>{}</body>", "<html><head><title>t</title></head><body data-main='1'>{}</body></html>")).format("".join(b for b in blocks if "data-main" in b))
+
     menu = lambda: mark(r.choice(("nav", "nav", "div", "ul")), 0, link_list(2, 9), "menu", "nav", "navbar", "main-menu", "breadcrumbs")
     header = lambda: mark(r.choice(("header", "div")), 0, r.choice((f"<h2>{words(1, 3)}</h2>", f"<p>{sentences(1, 1)}</p>", f"<a href='/'>{words(1, 2)}</a>")), "header", "site-header", "masthead", "top")
     advert = lambda: mark(r.choice(("div", "div", "aside", "section")), 0, r.choice((sentences(1, 3), f"<p>{sentences(1, 3)}</p>", f"<a href='x'>{words(3, 12)}</a>")), "ad", "ads", "advert", "ad-banner", "sponsored", "promo-box")
@@ -178,10 +188,10 @@ def training_page(seed: int) -> str:
 def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the elements all of whose text is, or is not, main text."""
     tree = Tree(source)
-    flags = [re.search(r'data-main="([01])"', a) for a in tree.attributes]
-    own = [-1] * len(flags)
-    for k in range(len(flags)):
-        own[k] = int(flags[k][1]) if flags[k] else own[tree.parent[k]] if k else 0
+    flags = [re.search(r"""data-main=["']([01])""", a) for a in tree.attributes]
+    own = [int("data-main" not in source)] * len(flags)
+    for k in range(1, len(flags)):
+        own[k] = int(flags[k][1]) if flags[k] else own[tree.parent[k]]
     good, bad = np.zeros(len(own)), np.zeros(len(own))
     for text, owner in zip(tree.texts, tree.owner, strict=True):
         (good if own[owner] == 1 else bad)[owner] += len(text)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+import time
+
 import numpy as np
 import pytest
 
@@ -70,6 +73,36 @@ def test_stray_quotes_that_meet_later_ones():
     assert Tree("<p>one</p><a b='c' two").texts == ["one"]
 
 
+FOUR = "<article><p>First block of text, long enough.</p>{}<p>Second block follows now.</p><p>Third block of it, yes.</p><p>The end must follow.</p></article>"
+
+
+@pytest.mark.parametrize("odd", ["<a href=/o'brien>", '<p class="a" ">', "<!-->", "<!--->", "<!-- x --!>", "<!-- x -->", "<a", "<a href='x'", "</a>", "</ x>", "<b><i>", "&nbsp;", "<![CDATA[x]]>"])
+def test_odd_markup_loses_no_block(model, odd):
+    for page in (FOUR.format(odd), f"<nav><ul><li><a href=/>Home</a></li></ul></nav>{FOUR.format(odd)}<footer>&copy; us</footer>"):
+        found = op8.extract([page], model)[0]
+        assert found.startswith("First block of text, long enough.") and found.endswith("Third block of it, yes.\n\nThe end must follow.")
+        assert odd in ("<a", "<a href='x'") or "Second block follows now." in found  # these swallow the next tag, as in a browser
+
+
+@pytest.mark.parametrize("page", ["<p>Hello world, this is a short page.</p>", "Hello world.", "<html><body><p>Hi</p></body></html>", "<body>Hi there", "word", "<h1>A title</h1>", "<div>one</div><div>two words</div>"])
+def test_pages_without_any_layout_are_main_text(model, page):
+    assert op8.extract([page], model) == ["\n\n".join(Tree(page).texts)]
+
+
+@pytest.mark.parametrize("one", ["<div>", "<b>", "<p><i>", "<ul><li>", "<table><tr><td>", "<a href=x>", "<div class='a'>x", "</div>", "<button>", "<!--", "<a b='"])
+def test_deep_pages_take_linear_time(model, one):
+    began = time.perf_counter()
+    page = f"<p>the text</p>{one * 20_000}"
+    op8.extract([page], model)
+    assert time.perf_counter() - began < 4 and Tree(page).texts[0] == "the text"
+
+
+def test_long_page_is_whole(model):
+    blocks = [f"Sentence number {k}, which is of the article." for k in range(20_000)]
+    page = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article><footer>&copy; us</footer>"
+    assert op8.extract([page], model) == ["\n\n".join(blocks)]
+
+
 @pytest.mark.parametrize("tag", ["button", "select", "svg", "object", "math", "template", "noscript", "xmp"])
 def test_unclosed_elements_end_with_their_parent(tag):
     for page in (f"<p>one</p><div><{tag}></div><p>two</p>", f"<p>one</p><{tag}><p>two</p>", f"<p>one</p><{tag}><{tag}><p>two</p><{tag}></{tag}>"):
@@ -106,6 +139,31 @@ def test_pages_table(spark, tmp_path, model):
     assert sorted(((r["page_id"] or 0, r["n_chars"]) for r in found)) == [(0, 0), (1, 68), (1, 68), (2, 0)]
 
 
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert op8.op8_html_extraction(spark, str(tmp_path)).collect() == [] and op6.op6_warc_revisits(spark, str(tmp_path)).collect() == []
+
+
+def test_extraction_equals_what_the_writer_marked(spark, tmp_path, model):
+    """Pages of layouts that training has not seen, whose main text the writer marked block by block."""
+    def marked(source: str) -> str:
+        tree = Tree(source)
+        own = [1 if "data-main" not in source else 0] * len(tree.tag)
+        for k in range(1, len(own)):
+            flag = re.search("data-main=[\"']([01])", tree.attributes[k])
+            own[k] = int(flag[1]) if flag else own[tree.parent[k]]
+        return "\n\n".join(t for t, o in zip(tree.texts, tree.owner, strict=True) if own[o])
+
+    pages = [(k, "u", op8.training_page(9000 + k)) for k in range(200)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: (r["text"], r["n_chars"]) for r in op8.op8_html_extraction(spark, str(tmp_path)).collect()}
+    assert all(n == len(t) for t, n in found.values()) and len(found) == 200
+    truth = {k: marked(html) for k, _, html in pages}
+    assert sum(found[k][0] == truth[k] for k in truth) >= 184
+    lost = sum(len(set(truth[k].split("\n\n")) - set(found[k][0].split("\n\n"))) for k in truth)
+    assert lost <= 0.01 * sum(len(x.split("\n\n")) for x in truth.values())
+
+
 def capture(i, url, ts, kind, headers=None, digest=None):
     return (i, url, ts, kind, digest, 5 if kind == "response" else None, headers)
 

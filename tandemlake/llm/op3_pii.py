@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import cut, free_name, table
+from tandemlake.llm.common import cut, free_name, table, written
 
 
 @dataclass(frozen=True)
@@ -116,16 +116,32 @@ FEATURES = (
     ("base", "int(x.base)"),
 )
 ROUNDS = 25
-_CANDIDATE = "array<struct<start: int, stop: int, m: string, before: string>>"
-
-
-def _positions(k: int) -> str:
-    """Spans of pattern k's matches m{k} between the parts p{k} of the text."""
-    return f"""aggregate(zip_with(slice(p{k}, 1, size(m{k})), m{k}, (a, b) -> named_struct('a', a, 'b', b)),
-      named_struct('at', 0, 'out', cast(array() as {_CANDIDATE})),
-      (s, x) -> named_struct('at', s.at + length(x.a) + length(x.b), 'out', concat(s.out, array(named_struct(
-        'start', s.at + length(x.a), 'stop', s.at + length(x.a) + length(x.b), 'm', x.b, 'before', right(x.a, 24))))),
-      s -> s.out)"""
+_CANDIDATE = "struct<kind: string, base: boolean, start: int, stop: int, m: string, before: string>"
+_SPAN = "struct<start: int, rank: int, kind: string, base: boolean, stop: int>"
+#: Items that a fold holds before it starts a new list, and code points in a block of a text that is cut: they keep the work
+#: on a text in proportion to its length, since arrays and strings are copied when they grow and walked to a place in them.
+STRETCH, BLOCK = 256, 4096
+
+
+def _scanned(items: str, start: str, step: str, emit: str, of: str) -> str:
+    """SQL for a fold over the array `items` that gives an array of `of`: `step` is the state after item x and `emit` the
+    array of what it gives, both from x and the state before it, q.s. The fold runs stretch by stretch."""
+    inner = f"""aggregate(slice(v, 1 + {STRETCH} * c, {STRETCH}), named_struct('s', o.s, 'out', cast(array() as array<{of}>)),
+      (q, x) -> named_struct('s', {step}, 'out', concat(q.out, {emit})))"""
+    return f"""transform(array({items}), v -> aggregate(sequence(0, cast((size(v) - 1) div {STRETCH} as int)),
+      named_struct('s', {start}, 'outs', cast(array() as array<array<{of}>>)),
+      (o, c) -> transform(array({inner}), z -> named_struct('s', z.s, 'outs', concat(o.outs, array(z.out))))[0],
+      o -> flatten(o.outs)))[0]"""
+
+
+def _placed(k: int, p: Pattern) -> str:
+    """Candidates of pattern k: its matches m{k}, which lie between the parts p{k} of the text, that pass the check."""
+    items = f"zip_with(slice(p{k}, 1, size(m{k})), m{k}, (a, b) -> named_struct('a', a, 'm', b))"
+    one = f"""named_struct('kind', '{p.kind}', 'base', {str(p.base).lower()}, 'start', q.s + length(x.a), 'stop', q.s + length(x.a) + length(x.m),
+      'm', x.m, 'before', right(x.a, 24))"""
+    emit = f"CASE WHEN {p.check} THEN array({one}) ELSE cast(array() as array<{_CANDIDATE}>) END"
+    none = f"cast(array() as array<{_CANDIDATE}>)"
+    return f"CASE WHEN size(m{k}) > 0 THEN {_scanned(items, '0', 'q.s + length(x.a) + length(x.m)', emit, _CANDIDATE)} ELSE {none} END"
 
 
 def candidates(docs: DataFrame, text: str = "text", into: str = "candidates") -> DataFrame:
@@ -138,14 +154,7 @@ def candidates(docs: DataFrame, text: str = "text", into: str = "candidates") ->
         *(F.expr(f"CASE WHEN {p.probe} THEN regexp_extract_all(text, {_quoted(p.regex)}, 0) END").alias(f"m{k}") for k, p in enumerate(PATTERNS)),
         *(F.expr(f"CASE WHEN {p.probe} THEN split(text, {_quoted(p.regex)}, -1) END").alias(f"p{k}") for k, p in enumerate(PATTERNS)),
     )
-    placed = [
-        F.expr(
-            f"""CASE WHEN size(m{k}) > 0 THEN transform(filter({_positions(k)}, x -> {p.check}), x -> named_struct('kind', '{p.kind}', 'base', {str(p.base).lower()},
-            'start', x.start, 'stop', x.stop, 'm', x.m, 'before', x.before)) ELSE cast(array() as array<struct<kind: string, base: boolean, start: int, stop: int, m: string, before: string>>) END"""
-        )
-        for k, p in enumerate(PATTERNS)
-    ]
-    return found.select("row.*", F.concat(*placed).alias(into))
+    return found.select("row.*", F.concat(*(F.expr(_placed(k, p)) for k, p in enumerate(PATTERNS))).alias(into))
 
 
 def _votes() -> str:
@@ -197,22 +206,22 @@ def train(found: DataFrame, into: str = "candidates") -> DataFrame:
 
 
 def spans(found: DataFrame, model: DataFrame, into: str = "candidates") -> DataFrame:
-    """found with `into` as an array of the (kind, base, start, stop) that are personal data, by start and kind."""
+    """found with `into` as an array of the (start, rank, kind, base, stop) that are personal data, by start and kind."""
     votes, weights = free_name(found, "votes"), free_name(found, "weights")
     ready = found.crossJoin(F.broadcast(model.select(F.col("votes").alias(votes), F.col("weights").alias(weights))))  # one row
     log_odds = " + ".join(f"coalesce(element_at(`{weights}`, concat_ws(':', x.kind, {k}, {sql})), 0D)" for k, (_, sql) in enumerate(FEATURES))
     voted = f"coalesce(element_at(`{votes}`, concat(x.kind, cast({_votes()} as string))), 0.5D)"
     likely = f"(ln(greatest({voted}, 1e-9D) / greatest(1 - {voted}, 1e-9D)) + {log_odds}) > 0"
     rank = "array_position(array(" + ", ".join(f"'{k}'" for k in KINDS) + "), x.kind)"
-    chosen = f"""CASE WHEN size(`{into}`) = 0 THEN cast(array() as array<struct<start: int, rank: int, kind: string, base: boolean, stop: int>>) ELSE
-      array_sort(transform(filter(`{into}`, x -> x.base OR (NOT exists(`{into}`, y -> y.base AND y.start < x.stop AND x.start < y.stop) AND {likely})),
-        x -> named_struct('start', x.start, 'rank', int({rank}), 'kind', x.kind, 'base', x.base, 'stop', x.stop))) END"""
-    held = ready.withColumn(into, F.expr(chosen)).drop(votes, weights)
-    # of overlapping added spans the first stays
-    apart = f"""aggregate(`{into}`, named_struct('end', 0, 'out', cast(array() as array<struct<kind: string, base: boolean, start: int, stop: int>>)),
-      (s, x) -> CASE WHEN x.base OR x.start >= s.end THEN named_struct('end', CASE WHEN x.base THEN s.end ELSE x.stop END,
-        'out', concat(s.out, array(named_struct('kind', x.kind, 'base', x.base, 'start', x.start, 'stop', x.stop)))) ELSE s END, s -> s.out)"""
-    return held.withColumn(into, F.expr(apart))
+    likely_ones = f"""array_sort(transform(filter(`{into}`, x -> x.base OR {likely}),
+      x -> named_struct('start', x.start, 'rank', int({rank}), 'kind', x.kind, 'base', x.base, 'stop', x.stop)))"""
+    stays = lambda that: f"CASE WHEN x.base OR {that} THEN array(x) ELSE cast(array() as array<{_SPAN}>) END"
+    # added spans go where a base span reaches over them from before or begins within them; then the first of several stays
+    behind = _scanned(likely_ones, "0", "greatest(q.s, CASE WHEN x.base THEN x.stop ELSE 0 END)", stays("x.start >= q.s"), _SPAN)
+    ahead = _scanned(f"reverse({behind})", "2147483647", "CASE WHEN x.base THEN x.start ELSE q.s END", stays("x.stop <= q.s"), _SPAN)
+    apart = _scanned(f"reverse({ahead})", "0", "CASE WHEN x.base OR x.start < q.s THEN q.s ELSE x.stop END", stays("x.start >= q.s"), _SPAN)
+    chosen = f"CASE WHEN size(`{into}`) = 0 THEN cast(array() as array<{_SPAN}>) ELSE {apart} END"
+    return ready.withColumn(into, F.expr(chosen)).drop(votes, weights)
 
 
 def _digest(of: str) -> Column:
@@ -228,14 +237,19 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span of `text` replaced by its kind in angle brackets; overlapping spans become the first one's."""
-    into = free_name(docs, "candidates")
-    found = candidates(docs, text, into)
-    rows = spans(found, train(found, into), into)
-    folded = f"""aggregate(`{into}`, named_struct('at', 0, 'out', ''), (s, x) -> CASE WHEN x.start >= s.at THEN named_struct('at', x.stop, 'out',
-      concat(s.out, substring(`{text}`, s.at + 1, x.start - s.at), '<', upper(x.kind), '>')) ELSE named_struct('at', greatest(s.at, x.stop), 'out', s.out) END,
-      s -> concat(s.out, substring(`{text}`, s.at + 1, length(`{text}`))))"""
-    return rows.withColumn(text, F.when(F.size(into) > 0, F.expr(folded)).otherwise(F.col(f"`{text}`"))).drop(into)
+    """docs with each span of `text` replaced by its kind in angle brackets; overlapping spans become the first one's. The
+    candidates are found once and kept with their rows in the shared folder."""
+    into, blocks = free_name(docs, "candidates"), free_name(docs, "blocks")
+    found = written(candidates(docs, text, into), "candidates")
+    rows = spans(found, train(found, into), into).withColumn(blocks, F.expr(f"CASE WHEN size(`{into}`) > 0 THEN regexp_extract_all(`{text}`, '(?s).{{1,{BLOCK}}}', 0) END"))
+    number = lambda of: f"cast(({of}) div {BLOCK} as int)"
+    piece = lambda a, b: f"""CASE WHEN {b} > {a} THEN substring(array_join(slice(`{blocks}`, 1 + {number(a)}, 1 + {number(f"{b} - 1")} - {number(a)}), ''),
+      1 + {a} % {BLOCK}, {b} - {a}) ELSE '' END"""
+    shown = f"CASE WHEN x.start >= q.s THEN array(concat({piece('q.s', 'x.start')}, '<', upper(x.kind), '>')) ELSE cast(array() as array<string>) END"
+    folded = _scanned(f"`{into}`", "0", "greatest(q.s, x.stop)", shown, "string")
+    rest = f"transform(array(array_max(transform(`{into}`, x -> x.stop))), e -> transform(array(length(`{text}`)), n -> {piece('e', 'n')})[0])[0]"
+    whole = F.expr(f"concat(array_join({folded}, ''), {rest})")
+    return rows.withColumn(text, F.when(F.size(into) > 0, whole).otherwise(F.col(f"`{text}`"))).drop(into, blocks)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

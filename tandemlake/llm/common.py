@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -120,10 +119,16 @@ def numbered_runs(numbers: np.ndarray, size: int) -> np.ndarray:
     return numbers
 
 
+#: Keys of the two halves of a word's digest, of 16 characters each.
+DIGEST_KEYS = ("first of two keys", "second of the two")
+
+
 def digests(values: pa.LargeBinaryArray) -> np.ndarray:
-    """Two 64-bit halves of the BLAKE2b digest of each value: equal on every machine, and not to be made equal on purpose
-    with less than the work that such a digest takes."""
-    return np.frombuffer(b"".join(blake2b(v, digest_size=16).digest() for v in values.to_pylist()), np.uint64).reshape(-1, 2)
+    """Two 64-bit SipHash values of each value, under keys of their own: equal on every machine, and without the structure
+    by which texts can be made to collide."""
+    words = np.empty(len(values), object)
+    words[:] = values.to_pylist()
+    return np.stack([pd.util.hash_array(words, hash_key=key[:16], categorize=False) for key in DIGEST_KEYS], 1)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -178,38 +183,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def fair_share(rows: int) -> int:
     """Rows of one key that a task may get: at most 5,000 keys have more, so a list of these may be broadcast."""
-    return max(64, rows // 5000)
+    return max(256, rows // 5000)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], share: int, counts: DataFrame | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], share: int, counts: DataFrame) -> DataFrame:
     """left joined with right, which has one row for each key. Keys with more than `share` rows on the left are dealt over
     several parts, for each of which right's row is repeated. counts: keys and n, the rows on the left."""
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    hot = F.broadcast(counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("hot_parts")))
+    hot = counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("hot_parts"))
+    if not hot.limit(1).count():
+        return left.join(right, keys)
     parts = F.coalesce("hot_parts", F.lit(1))
-    dealt = left.join(hot, keys, "left").withColumn("hot_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("hot_parts")
-    every = right.join(hot, keys, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("hot_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("hot_parts")
+    every = right.join(F.broadcast(hot), keys, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
     return dealt.join(every, [*keys, "hot_part"]).drop("hot_part")
 
 
+def sizes(df: DataFrame, *keys: str) -> DataFrame:
+    """keys and n, the rows of each."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node that (u, v) names: label is the least node it is connected with.
 
-    Alternates large and small stars; each round is two aggregations with map-side minima and two joins on the edges,
-    whose hubs are dealt over many tasks. The number of rounds grows with the logarithm of the longest path.
+    Alternates large and small stars; each round is two aggregations with map-side minima and two joins on the edges;
+    hubs are dealt over several tasks. The number of rounds grows with the logarithm of the longest path.
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
+    low = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    state = lambda e: tuple(low(both(e)).agg(F.sum("n"), F.max("n"), F.sum(F.xxhash64("u", "m", "n") % 1_000_000_007)).first())
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(edges)
-    while True:
+    while before[0]:
         share = fair_share(before[0])
+        meet = lambda e, least: spread_join(e, least.drop("n"), ["u"], share, least) if before[1] > share else e.join(least.drop("n"), "u")  # noqa: B023, E731
         near = both(edges)
-        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = spread_join(near.filter("v > u"), least.select("u", "m"), ["u"], share, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = meet(near.filter("v > u"), low(near).withColumn("m", F.least("u", "m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = spread_join(large, least.select("u", "m"), ["u"], share, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = low(large)
+        small = meet(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         after = state(edges)
         if after == before:

@@ -1,6 +1,6 @@
 """Near-duplicate documents by circulant MinHash.
 
-1. Each whole text becomes its set of distinct word shingles (64-bit hashes over BLAKE2b digests of the words), a 128-bit
+1. Each whole text becomes its set of distinct word shingles (64-bit hashes over keyed digests of the words), a 128-bit
    fingerprint of that set, and the band keys of its signature (two permutations, see CirculantMinHash).
 2. Texts with equal sets are one class, found by an aggregation with map-side minima.
 3. In each bucket of equal band keys the classes are compared with one centre (the least), on full sets. That
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import LOWER, SPACED_WORD, components, cut, digests, fair_share, find_words, free_name, mix, numbered, pieces_of, small_batches, spread_join, table, text_slices, window_hashes
+from tandemlake.llm.common import LOWER, SPACED_WORD, components, cut, digests, fair_share, find_words, free_name, mix, numbered, pieces_of, sizes, small_batches, spread_join, table, text_slices, window_hashes
 
 #: The probability that a pair at the threshold is missed, at most; and the bands for which more rows are still taken.
 MISS, MOST_BANDS = 2.4e-7, 52
@@ -208,26 +208,45 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
     centres = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
     sides = pairs.join(sets.select("a", "b", F.col("node").alias("v"), F.col("shingles").alias("y")), ["a", "b"]).select("u", "v", "y")
     shared = F.size(F.array_intersect("x", "y"))
-    linked = spread_join(sides, centres, ["u"], fair_share(n), pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")))
+    linked = spread_join(sides, centres, ["u"], fair_share(n), sizes(pairs, "u"))
     linked = linked.select("u", "v", (F.size("x") + F.size("y")).alias("total"), shared.alias("shared"))
     links = cut(linked.filter(F.col("shared") * den >= (F.col("total") - F.col("shared")) * num).select("u", "v"))
 
-    labels = cut(components(links))
+    labels = _labels(links, n)
     placed = cut(
         members.select("key", node().alias("node")).join(labels, "node", "left")
         .join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node")
         .select("key", "node", F.coalesce("label", "node").alias("label"), "n")
     )
     more = _settle(placed, sets, num, den, fair_share(size))
-    if more.limit(1).count():
-        labels = cut(components(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(more)))
-    moved = candidates.select("a", "b", "first", "one", node().alias("node")).join(labels, "node").select("a", "b", "first", "one", "label")
-    least = moved.groupBy("label").agg(F.min("first").alias("component_id"), F.min("one").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    moved = cut(spread_join(moved.select("a", "b", "label"), least.drop("n"), ["label"], fair_share(n), least).select("a", "b", "component_id", "keeper"))
+    # what was found so far is one node for each label
+    own = candidates.select("a", "b", "first", "one", node().alias("node")).join(labels, "node", "left")
+    own = cut(own.select("a", "b", "first", "one", F.coalesce("label", "node").alias("label"), "node"))
+    label_of = lambda x: own.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    joined = more.join(label_of("u"), "u").join(label_of("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+    whole = components(joined).select(F.col("node").alias("label"), F.col("label").alias("whole"))
+    by_label = own.groupBy("label").agg(F.min("first").alias("first"), F.min("one").alias("one"), F.count(F.lit(1)).alias("n"))
+    by_label = cut(by_label.join(whole, "label", "left").withColumn("whole", F.coalesce("whole", "label")))
+    by_whole = by_label.groupBy("whole").agg(F.min("first").alias("component_id"), F.min("one").alias("keeper"))
+    by_label = by_label.join(by_whole, "whole").select("label", "n", "component_id", "keeper")
+    moved = cut(spread_join(own.select("a", "b", "label"), by_label.drop("n"), ["label"], fair_share(n), by_label.select("label", "n")).select("a", "b", "component_id", "keeper"))
     placed = classes.join(moved, ["a", "b"], "left")
     return sketches.drop("bands"), placed.select("a", "b", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("keeper", "one").alias("keeper"), "n")
 
 
+def _labels(links: DataFrame, n: int) -> DataFrame:
+    """(node, label) of the nodes of links (u a centre, v a member): equal labels mean connected. Members stand with the
+    least of their centres, so that only centres take part in the rounds of `components`."""
+    nearest = cut(links.groupBy("v").agg(F.min("u").alias("c")).select(F.col("v").alias("node"), "c"))
+    centres = cut(links.select(F.col("u").alias("node")).distinct())
+    between = links.join(nearest.withColumnRenamed("node", "v"), "v").select("u", F.col("c").alias("v"))
+    between = between.union(nearest.join(centres, "node").select(F.col("node").alias("u"), F.col("c").alias("v"))).filter("u <> v").distinct()
+    found = components(between)
+    labelled = cut(centres.join(found, "node", "left").select(F.col("node").alias("c"), F.coalesce("label", "node").alias("label")))
+    of_members = spread_join(nearest, labelled, ["c"], fair_share(n), sizes(nearest, "c")).select("node", "label")
+    return cut(of_members.union(labelled.join(nearest, labelled["c"] == nearest["node"], "left_anti").select("c", "label")))
+
+
 def _settle(placed: DataFrame, sets: DataFrame, num: int, den: int, share: int) -> DataFrame:
     """Links between different components that share a bucket; placed: key, node, label, n (its shingles)."""
     by_label = placed.groupBy("key", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("members"))
@@ -274,3 +293,19 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.filter(wordy).withColumn(t, F.xxhash64("text"))
     held = rows.join(stays, rows["doc_id"].eqNullSafe(stays["i"]) & (rows[t] == stays["t"]), "left_semi").dropDuplicates(["doc_id", t])
     return held.select(*own).union(docs.filter(~wordy).select(*own))
+
+
+_WHITE = r"\x20\x09-\x0D"
+SQL = rf"""
+with recursive w as materialized (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^{_WHITE}]+') w from documents),
+s as (select rid, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) i from w),
+g as materialized (select distinct rid, array_to_string(w[i:i + 2], ' ') g from s),
+n as materialized (select rid, count(*) n from g group by 1),
+pairs as (select a.rid u, b.rid v, count(*) c from g a join g b using (g) where a.rid < b.rid group by 1, 2),
+links as materialized (select u, v from pairs join n x on x.rid = u join n y on y.rid = v where 100 * c >= 85 * (x.n + y.n - c)),
+ways as materialized (select u, v from links union select v, u from links),
+reach(node, other) as (select rid, rid from n union select reach.node, ways.v from reach join ways on reach.other = ways.u),
+least_id as (select node, min(doc_id) component_id from reach join w on w.rid = reach.other group by 1)
+select doc_id, cast(coalesce(n, 0) as bigint) n_shingles, case when n > 0 then component_id else doc_id end component_id, coalesce(doc_id = case when n > 0 then component_id else doc_id end, false) kept
+from w left join n using (rid) left join least_id on least_id.node = w.rid
+"""

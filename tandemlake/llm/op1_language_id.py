@@ -41,32 +41,33 @@ SCALE = 20.0
 _letters: np.ndarray | None = None
 
 
+def _letter(c: str) -> int:
+    """The letter in lower case, where that is one character; 0 for what is no letter."""
+    low = c.lower()
+    return 0 if not c.isalpha() else ord(low) if len(low) == 1 else ord(c)
+
+
 def _letter_table() -> np.ndarray:
     """Lower-case letter of each code point of the first plane; 0 for what is no letter."""
     global _letters
     if _letters is None:
         out = np.zeros(1 << 16, np.uint32)
-        for k in range(1 << 16):
-            c = chr(k)
-            if c.isalpha():
-                low = c.lower()
-                out[k] = ord(low) if len(low) == 1 else k
+        out[:] = [_letter(chr(k)) for k in range(1 << 16)]
         _letters = out
     return _letters
 
 
 def ngram_buckets(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each order the bucket and the text of each n-gram (texts ascending); and the number of letters of each text."""
-    joined = "\n".join(texts)
+    joined = "".join(f"\n{t}\n" for t in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = _letter_table()[np.minimum(points, 0xFFFF)]
     beyond = np.flatnonzero(points > 0xFFFF)
-    letters[beyond] = [p if chr(p).isalpha() else 0 for p in points[beyond].tolist()]
-    sizes = np.array([len(t) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)[: len(points)]
+    letters[beyond] = [_letter(chr(p)) for p in points[beyond].tolist()]
+    owner = np.repeat(np.arange(len(texts)), np.array([len(t) + 2 for t in texts], np.int64))
     counts = np.bincount(owner[letters > 0], minlength=len(texts))
-    # a space stands before and after each text's letters; runs of spaces shrink to one
-    keep = np.append(True, (letters[1:] > 0) | (letters[:-1] > 0)) if len(letters) else np.zeros(0, bool)
+    # a space stands before and after each text's letters, wherever the text lies in its batch; runs of spaces shrink to one
+    keep = np.append(True, (letters[1:] > 0) | (letters[:-1] > 0) | (owner[1:] != owner[:-1])) if len(letters) else np.zeros(0, bool)
     letters, owner = letters[keep].astype(np.uint64), owner[keep]
     buckets, owners = [], []
     code = np.zeros(len(letters), np.uint64)

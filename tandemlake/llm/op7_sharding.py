@@ -1,34 +1,50 @@
 """Sharding over fixed virtual slots, in DataFrame operations only.
 
 Records hash into a fixed number of virtual slots. Bytes and rows are summed for each slot (at most
-VIRTUAL_SLOTS rows, whatever the input), and a versioned map places slots on shards: first by giving the
-largest slots to the least loaded shard, later by edits that move only the slots they must. Since the slots
-are even in number of records and thousands for each shard, shards come out near equal in bytes.
+VIRTUAL_SLOTS rows, whatever the input), and a versioned map, kept as a table with a folder for each version, places slots
+on shards: first by giving the largest slots to the least loaded shard, later by edits that move only the slots they
+must. Since the slots are even in number of records and thousands for each shard, shards come out near equal in bytes:
+two of them differ by the bytes of the largest slot at most.
+
+The law is `bytes`, for rows one by one: equal texts under different ids hash apart and are not held together. Rows equal
+in id and text share a slot as long as that slot is small; where more than HOT_ROWS rows of a slot hold over 1/HOT_PARTS
+of a shard, each of its rows hashes anew together with its place in the table, so that repeated rows spread like others.
 
 A row's place in its shard is the number of rows in the shard's earlier slots plus its place in its own slot;
 no window spans more than one virtual slot.
 
-Defined results: a null text has size 1 and checksum 0; null and repeated doc_ids hash with size and checksum,
-equal rows get neighbouring places; an empty table gives an empty result and empty maps; other columns are
-not read.
+Defined results: a null text has size 1 and checksum 0; null and repeated doc_ids hash with size and checksum; a single
+text larger than a fair share fills its shard alone; an empty table gives an empty result and maps of empty slots; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import cut, table
+from tandemlake.llm.common import cut, shared_folder, table
 
 VIRTUAL_SLOTS = 8192
 SHARDS = 16
+#: A slot is hot with more rows than this that hold more than this part of a shard: at most SHARDS * HOT_PARTS are.
+HOT_ROWS, HOT_PARTS = 64, 64
 
 
-def records(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of each row."""
+def records(docs: DataFrame, slots: int = VIRTUAL_SLOTS, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32 and vslot of each row; computed once, as places in the table may change between readings."""
     text = F.coalesce("text", F.lit(""))
     sized = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return sized.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
+    own = ["doc_id", "size", "text_crc32"]
+    slot = lambda *of: F.pmod(F.xxhash64(*of), F.lit(slots)).cast("int")
+    first = cut(sized.withColumns({"at": F.monotonically_increasing_id(), "vslot": slot(*own)}))
+    loads = slot_loads(first)
+    total = loads.agg(F.sum("bytes").alias("total"))
+    hot = loads.filter(F.col("rows") > HOT_ROWS).crossJoin(F.broadcast(total)).filter(F.col("bytes") * shards * HOT_PARTS > F.col("total"))  # one row
+    marked = first.join(F.broadcast(hot.select("vslot", F.lit(True).alias("hot"))), "vslot", "left")
+    return marked.select(*own, F.when(F.col("hot"), slot(*own, "at")).otherwise(F.col("vslot")).alias("vslot"))
 
 
 def slot_loads(rows: DataFrame) -> DataFrame:
@@ -59,6 +75,19 @@ def build_map(loads: DataFrame, shards: int = SHARDS, version: int = 1, slots: i
     return folded.select(F.lit(version).alias("version"), "p.vslot", "p.shard")
 
 
+def store_map(mapped: DataFrame, folder: str) -> None:
+    """Adds a version to the maps in `folder`; earlier ones stay as they are."""
+    mapped.write.mode("append").partitionBy("version").parquet(folder)
+
+
+def stored_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A version of the maps in `folder`, the latest by default. Only that version's files are read."""
+    maps = spark.read.parquet(folder)
+    if version is None:
+        version = maps.agg(F.max("version")).first()[0]
+    return maps.filter(F.col("version") == version).select("version", "vslot", "shard")
+
+
 def grow(mapped: DataFrame, loads: DataFrame) -> DataFrame:
     """The next version with one more shard: each shard gives it slots until it has no more than an equal share.
     Nothing else moves; slots without rows stay."""
@@ -66,7 +95,7 @@ def grow(mapped: DataFrame, loads: DataFrame) -> DataFrame:
     count = mapped.agg((F.max("shard") + 1).alias("shards"), F.max("version").alias("last"))
     rows = mapped.join(loads.select("vslot", "bytes"), "vslot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
     own = Window.partitionBy("shard")
-    in_turn = own.orderBy(F.xxhash64("vslot"), "vslot").rowsBetween(Window.unboundedPreceding, 0)
+    in_turn = own.orderBy(F.md5(F.col("vslot").cast("string"))).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("held", F.sum("bytes").over(own)).withColumn("given", F.sum("bytes").over(in_turn))
     rows = rows.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(count))  # one row each
     gives = (F.col("bytes") > 0) & (F.col("given") <= F.col("held") - F.col("total") / (F.col("shards") + 1))
@@ -118,7 +147,27 @@ def place(rows: DataFrame, loads: DataFrame, mapped: DataFrame) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(records(table(spark, sf_dir, "documents")))
     loads = cut(slot_loads(rows))
-    mapped = cut(build_map(loads))
-    return place(rows, loads, mapped).select(
+    maps = f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}"
+    store_map(build_map(loads), maps)
+    return place(rows, loads, stored_map(spark, maps)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot"
     )
+
+
+def slot_map_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edit of a map for one more shard: every slot with its bytes, its shard and its shard afterwards. Slots and the
+    first map are plain remainders here, so that SQL can follow."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL")
+    sized = docs.select(F.pmod("doc_id", F.lit(VIRTUAL_SLOTS)).cast("int").alias("vslot"), (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size"))
+    loads = cut(slot_loads(sized))
+    first = loads.select(F.lit(1).alias("version"), "vslot", (F.col("vslot") % SHARDS).alias("shard"))
+    grown = grow(first, loads).select("version", "vslot", F.col("shard").alias("grown_shard"))
+    return first.drop("version").join(loads.select("vslot", "bytes"), "vslot").join(grown, "vslot").select("version", "vslot", "bytes", "shard", "grown_shard")
+
+
+GROWTH_SQL = f"""
+with l as (select cast(doc_id % {VIRTUAL_SLOTS} as int) vslot, cast(sum(strlen(coalesce(text, '')) + 1) as bigint) bytes from documents where doc_id is not null group by 1),
+m as (select *, cast(vslot % {SHARDS} as int) shard from l),
+r as (select *, sum(bytes) over (partition by shard) held, sum(bytes) over (partition by shard order by md5(cast(vslot as varchar)) rows unbounded preceding) given, sum(bytes) over () total, max(shard) over () + 1 shards from m)
+select 2 as version, vslot, bytes, shard, cast(case when bytes > 0 and given <= held - total / (shards + 1) then shards else shard end as int) grown_shard from r
+"""

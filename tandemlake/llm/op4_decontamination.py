@@ -280,7 +280,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        "spans",
+        F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["stop"])), ",").alias("spans"),
     )
 
 
@@ -294,3 +294,25 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = contaminations(docs.withColumnsRenamed(renamed), table(spark, sf_dir, "benchmark"), [renamed.get(c, c) for c in own if c != "text"], clean=True)
     back = {"text": F.col("clean_text"), "n_chars": F.when(F.col("n_hit") > 0, F.length("clean_text")).otherwise(F.col("n_chars"))}
     return found.filter("n_hit = 0 OR n_hit < n_words").select(*(back.get(c, F.col(renamed.get(c, c))).cast(docs.schema[c].dataType).alias(c) for c in own))
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SQL = rf"""
+with d as (select row_number() over () rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+w as (select rid, doc_id, regexp_extract_all(t, '{_WORD}') w, regexp_split_to_array(t, '{_WORD}') gaps from d),
+b as (select cast(item_id as varchar) item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') w from benchmark where item_id is not null and text is not null),
+bi as (select item, least(len(w), {WINDOW}) n, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) i from b where len(w) > 0),
+win as (select distinct item, n, array_to_string(w[i:i + n - 1], ' ') g from bi),
+p as (select rid, w, unnest(range(1, len(w) + 1)) i from w),
+dw as (select rid, i, n, array_to_string(w[i:i + n - 1], ' ') g from p, (select distinct n from win) s where i + n - 1 <= len(w)),
+hits as (select rid, i, n, item from dw join win using (n, g)),
+covered as (select distinct rid, i + k hit from (select distinct rid, i, n from hits), range({WINDOW}) r(k) where k < n),
+found as (select rid, count(*) n from covered group by 1),
+items as (select rid, count(*) n, string_agg(item, ',' order by item) ids from (select distinct rid, item from hits) group by 1),
+places as (select rid, i, sum(length(gaps[i]) + case when i > 1 then length(w[i - 1]) else 0 end) over (partition by rid order by i) start, length(w[i]) size
+  from (select w.rid, w.w, w.gaps, unnest(range(1, len(w) + 1)) i from w where rid in (select rid from found))),
+runs as (select places.rid, start, start + size stop, i - row_number() over (partition by places.rid order by i) run from places join covered on places.rid = covered.rid and i = hit),
+spans as (select rid, string_agg(a || ':' || z, ',' order by a) s from (select rid, min(start) a, max(stop) z from runs group by rid, run) group by 1)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(found.n, 0) as bigint) n_hit, cast(coalesce(items.n, 0) as bigint) n_items, sha256(coalesce(ids, '')) items_sha256, found.n is not null contaminated, coalesce(s, '') spans
+from w left join found using (rid) left join items using (rid) left join spans using (rid)
+"""

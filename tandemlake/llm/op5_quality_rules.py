@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import SPACED_WORD, byte_class, counts_between, find_words, numbered, numbered_runs, pieces_of, small_batches, table, text_slices
+from tandemlake.llm.common import SPACED_WORD, byte_class, counts_between, find_words, numbered, numbered_runs, pieces_of, small_batches, table, text_slices, written
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 UPPER = byte_class(bytes(range(0x41, 0x5B)))
@@ -173,7 +174,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does, from one ledger that is stored and read again, as later policies would."""
+    rows = written(ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]), "quality-ledger")
+    each = [ablations(rows, p) for p in POLICIES.values()]
+    return reduce(DataFrame.unionByName, each).select("policy", "rule", "n_failed", "n_only_this", "n_kept_without")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the current policy keeps, with their own columns."""
     own = docs.columns
     return ledger(docs, keep=own).filter(kept(POLICIES[CURRENT])).select(*own)
+
+
+_WHITE = r"\x20\x09-\x0D"
+_LEDGER_SQL = rf"""d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
+w as (select rid, doc_id, t, regexp_extract_all(t, '[^{_WHITE}]+') w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_WHITE}]')) l from d),
+g as (select rid, len(w) n, unnest(range(1, len(w) - 6)) i, w from w),
+h as (select rid, i, array_to_string(w[i:i + 7], ' ') g from g),
+twice as (select rid, g from h group by 1, 2 having count(*) > 1),
+again as (select rid, count(distinct i + k) n from h join twice using (rid, g), range(8) r(k) group by 1),
+m as (select doc_id, cast(len(w) as bigint) n_words, cast(length(regexp_replace(t, '[{_WHITE}]+', '', 'g')) as bigint) word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines, cast(coalesce(again.n, 0) as bigint) n_repeat_words,
+    len(l) n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) n_lower, length(regexp_replace(t, '[^!]', '', 'g')) n_exclaim
+  from w left join again using (rid)),
+ledger as (select *, cast({" + ".join(f"case when {r.fails} then {1 << r.bit} else 0 end" for r in RULES)} as bigint) fail_bits from m)"""
+SQL = f"""with {_LEDGER_SQL}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {BASE.mask} <> 0 base_failed, fail_bits & {POLICIES[CURRENT].mask} = 0 kept, fail_bits, '{CURRENT}' as policy from ledger"""
+ABLATIONS_SQL = f"""with {_LEDGER_SQL},
+p(policy, mask, rule, bit) as (values {", ".join(f"('{p.version}', {p.mask}, '{r.name}', {1 << r.bit})" for p in POLICIES.values() for r in RULES if r.name in p.rules)})
+select policy, rule, count(*) filter (fail_bits & bit <> 0) n_failed, count(*) filter (fail_bits & mask = bit) n_only_this, count(*) filter ((fail_bits & mask) & ~bit = 0) n_kept_without from ledger, p group by 1, 2"""

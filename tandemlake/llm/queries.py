@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tandemlake.llm.op10_minhash_dedup import SQL as NEAR_SQL
 from tandemlake.llm.op10_minhash_dedup import op10_minhash_dedup
 from tandemlake.llm.op1_language_id import op1_language_id
 from tandemlake.llm.op2_sentencepiece import op2_sentencepiece
 from tandemlake.llm.op3_pii import op3_pii
+from tandemlake.llm.op4_decontamination import SQL as LEAKS_SQL
 from tandemlake.llm.op4_decontamination import op4_decontamination
-from tandemlake.llm.op5_quality_rules import op5_quality_rules
+from tandemlake.llm.op5_quality_rules import ABLATIONS_SQL, op5_quality_rules, quality_ablations
+from tandemlake.llm.op5_quality_rules import SQL as QUALITY_SQL
 from tandemlake.llm.op6_warc_revisits import SQL as WARC_SQL
 from tandemlake.llm.op6_warc_revisits import op6_warc_revisits
-from tandemlake.llm.op7_sharding import op7_sharding
+from tandemlake.llm.op7_sharding import GROWTH_SQL, op7_sharding, slot_map_growth
 from tandemlake.llm.op8_html_extraction import op8_html_extraction
 from tandemlake.llm.op9_token_counts import op9_token_counts
 
@@ -29,8 +32,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "quality_ablations": quality_ablations,
+    "slot_map_growth": slot_map_growth,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": LEAKS_SQL,
+    "op5_quality_rules": QUALITY_SQL,
     "op6_warc_revisits": WARC_SQL,
+    "op10_minhash_dedup": NEAR_SQL,
+    "quality_ablations": ABLATIONS_SQL,
+    "slot_map_growth": GROWTH_SQL,
 }

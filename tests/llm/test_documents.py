@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -34,7 +35,8 @@ def made_texts(seed: int = 1) -> list[str | None]:
     base = [prose(n) for n in (5, 30, 60, 120, 400)]
     near = [" ".join(w if r.random() > 0.02 else "changed" for w in base[4].split(" ")) for _ in range(6)]
     odd = [None, "", " ", "\n\n", "é", "a b", "same line\nsame line\nother\n\n  \nsame line", "x " * 50, "ab " * 3000, "a" * 20000, "日本語 テスト", "\x00a\x00", "a b c"]
-    return [*base, *base[:3], *near, *odd]
+    private = [f"{prose(25)} mail jo{k}@site.org or call 555-010-{1000 + k}, card 4111 1111 1111 1111 of Dr. Ann Lee {prose(20)}" for k in range(4)]
+    return [*base, *base[:3], *near, *odd, *private]
 
 
 @pytest.fixture(scope="module")
@@ -162,9 +164,9 @@ def test_hubs_are_dealt_over_parts(spark):
         label[y] = x
     found = common.components(spark.createDataFrame(edges, "u string, v string")).collect()
     assert {tuple(x) for x in found} == {(x, root(x)) for x in label} and len(found) == len(label)
-    left = spark.createDataFrame([(k % 2, k) for k in range(400)] + [(5, 1), (6, 2)], "a long, x long")
+    left = spark.createDataFrame([(k % 2, k) for k in range(1200)] + [(5, 1), (6, 2)], "a long, x long")
     right = spark.createDataFrame([(0, "zero"), (1, "one"), (5, "five"), (9, "nine")], "a long, y string")
-    assert rows_of(common.spread_join(left, right, ["a"], 64)) == rows_of(left.join(right, "a"))
+    assert rows_of(common.spread_join(left, right, ["a"], 64, common.sizes(left, "a"))) == rows_of(left.join(right, "a"))
 
 
 def test_blocks_settle_what_centres_leave(spark, monkeypatch):
@@ -283,6 +285,112 @@ def test_base_spans_equal_brute_force(spark, tmp_path):
     assert "name:0:14" in found[9]["spans"] and "secret" in found[9]["spans"]
 
 
+def brute_private(texts: list[str]) -> list[list[tuple]]:
+    """(start, rank, kind, base, stop) of every span of each text: candidates, votes, EM and classifier as plain loops."""
+    found = []
+    for text in texts:
+        own, base = [], {(s, k, e) for s, _, k, e in brute_spans(text)}
+        for p in op3.PATTERNS:
+            at = 0
+            for m in re.finditer(p.regex.replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", "") if p.base else p.regex, text):
+                if not p.base or (m.start(), p.kind, m.end()) in base:
+                    own.append((p.kind, p.base, m.start(), m.end(), m[0], text[max(at, m.start() - 24) : m.start()]))
+                at = m.end()
+        found.append(own)
+
+    def seen(c: tuple) -> tuple[tuple, tuple]:
+        kind, base, _, _, m, before = c
+        near = re.search(f"(?i)(?:{op3.CONTEXT[kind]})[^A-Za-z0-9]{{0,4}}(?:[a-z]{{1,3}} )?$", before)
+        votes = (1 if base or kind in ("secret", "ssn", "iban") else None, int(bool(re.search(op3.GAZETTEER[kind], m))), 1 if near else None, int(len(set(m.lower())) >= min(6, len(m) // 3 + 1)))
+        share = lambda c: 4 * len(re.findall(c, m)) // len(m)
+        return votes, (min(6, int(np.log2(len(m) + 1))), share("[0-9]"), share("[A-Z]"), min(4, len(re.findall("[^A-Za-z0-9]", m))), int(bool(near)), int(base))
+
+    flat = [(c, *seen(c)) for own in found for c in own]
+    score = {}
+    for kind in {c[0] for c, _, _ in flat}:
+        votes = Counter(v for c, v, _ in flat if c[0] == kind)
+        prior, yes, no = 0.5, [0.8] * 4, [0.8] * 4
+
+        def chance(v):
+            logit = np.log(prior / (1 - prior))
+            for j, x in enumerate(v):
+                logit += 0 if x is None else np.log(yes[j] / (1 - no[j])) if x else np.log((1 - yes[j]) / no[j])
+            return 1 / (1 + np.exp(-logit))
+
+        for _ in range(op3.ROUNDS):
+            q = {v: chance(v) for v in votes}
+            total = lambda f: sum(n * f(v, q[v]) for v, n in votes.items())
+            prior = (total(lambda v, q: q) + 1) / (sum(votes.values()) + 2)
+            yes, no = (
+                [(total(lambda v, q: (v[j] == hit) * of(q)) + 1.6) / (total(lambda v, q: (v[j] is not None) * of(q)) + 2) for j in range(4)]
+                for hit, of in ((1, lambda q: q), (0, lambda q: 1 - q))
+            )
+        q = {v: chance(v) for v in votes}
+        sums: dict[tuple, list[float]] = {}
+        every = [0.0, 0.0]
+        for c, v, f in flat:
+            if c[0] == kind:
+                for key in enumerate(f):
+                    cell = sums.setdefault(key, [0.0, 0.0])
+                    cell[0] += q[v]
+                    cell[1] += 1 - q[v]
+                every[0] += q[v]
+                every[1] += 1 - q[v]
+        odds = {k: np.log(((y + 1) / (every[0] + 8)) / ((n + 1) / (every[1] + 8))) for k, (y, n) in sums.items()}
+        for c, v, f in flat:
+            if c[0] == kind:
+                score[c, v, f] = np.log(q[v] / (1 - q[v])) + sum(odds[k] for k in enumerate(f))
+    out = []
+    for own in found:
+        base = [c for c in own if c[1]]
+        spans = [(c[2], op3.KINDS.index(c[0]), c[0], c[1], c[3]) for c in own if c[1] or (score[(c, *seen(c))] > 0 and not any(b[2] < c[3] and c[2] < b[3] for b in base))]
+        kept, end = [], 0
+        for x in sorted(spans):
+            if x[3] or x[0] >= end:
+                kept.append(x)
+                end = end if x[3] else x[4]
+        out.append(kept)
+    return out
+
+
+def test_all_spans_and_masks_equal_brute_force(spark, tmp_path):
+    r = random.Random(11)
+    makers = (
+        lambda: f"{r.choice('abcd')}x{r.randint(1, 99)}@mail{r.randint(1, 3)}.{r.choice(('com', 'org', 'zz'))}", lambda: ".".join(str(r.randint(0, 300)) for _ in range(4)), lambda: "4111 1111 1111 1111",
+        lambda: f"+{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(100000, 9999999)}", lambda: f"({r.randint(200, 999)}) {r.randint(100, 999)}-{r.randint(1000, 9999)}", lambda: f"Dr. {r.choice(('Ann', 'Bo'))} {r.choice(('Lee', 'Kim'))}",
+        lambda: f"call {r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}", lambda: f"token={''.join(r.choice('abcXYZ0189') for _ in range(r.randint(8, 40)))}", lambda: f"{r.randint(100, 999)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
+        lambda: f"jo{r.randint(1, 9)} [at] site [dot] {r.choice(('net', 'q'))}", lambda: f"DE{r.randint(10, 99)} {r.randint(1000, 9999)} {r.randint(1000, 9999)} {r.randint(1000, 9999)}", lambda: r.choice(("word", "\U0001f600 é", "\n", "ssn", "contact")), lambda: str(r.randint(0, 10**15)),
+    )
+    texts = ["".join(r.choice(makers)() + r.choice((" ", ", ", "", "\n")) for _ in range(r.choice((3, 30, 700)))) for _ in range(40)] + ["plain", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = brute_private(texts)
+    assert sum(not x[3] for spans in expected for x in spans) > 300 and max(map(len, texts)) > 2 * op3.BLOCK
+    found = {r["doc_id"]: r["spans"] for r in op3.op3_pii(spark, str(tmp_path)).collect()}
+    assert found == {k: ",".join(f"{kind}:{start}:{stop}" for start, _, kind, _, stop in spans) for k, spans in enumerate(expected)}
+
+    def mask(text: str, spans: list[tuple]) -> str:
+        out, at = "", 0
+        for start, _, kind, _, stop in spans:
+            out += text[at:start] + f"<{kind.upper()}>" if start >= at else ""
+            at = max(at, stop)
+        return out + text[at:]
+
+    masks = {r["doc_id"]: r["text"] for r in op3.masked(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    assert masks == {k: mask(t, s) for k, (t, s) in enumerate(zip(texts, expected, strict=True))}
+
+
+def test_many_matches_take_linear_time(spark, tmp_path):
+    seconds = []
+    for n in (4_000, 16_000, 32_000):
+        text = " ".join(f"{k % 9}.{k % 7} mail{k}@x.org +1 555 010 {1000 + k % 9000}, 555-010-{1000 + k % 9000}" for k in range(n // 4))
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        began = time.perf_counter()
+        assert op3.op3_pii(spark, f"{tmp_path}/{n}").first()["n_email"] == n // 4
+        assert "@" not in op3.masked(spark.read.parquet(f"{tmp_path}/{n}/documents.parquet")).first()["text"]
+        seconds.append(time.perf_counter() - began)
+    assert seconds[2] < 2.6 * seconds[1], seconds  # the first warms up
+
+
 def test_masking(spark):
     frame = spark.createDataFrame([(1, "é mail x@y.org now", "k"), (2, None, "k"), (3, "clean", "k")], "doc_id long, text string, candidates string")
     assert {r["doc_id"]: (r["text"], r["candidates"]) for r in op3.masked(frame).collect()} == {1: ("é mail <EMAIL> now", "k"), 2: (None, "k"), 3: ("clean", "k")}
@@ -344,6 +452,8 @@ def test_pieces_equal_the_library(model):
         ids = pieces.encode(text)
         assert ids == library.encode(text)
         assert pieces.count(text)[0] == len(ids)
+        if not any(model.pieces[k][2] == 6 for k in ids):  # bytes stand for unknown characters, which have a score of their own
+            assert pieces.count(text)[1] == sum(model.pieces[k][1] for k in ids)
         assert pieces.decode(ids) == library.decode(ids)
         assert "▁" in text or pieces.decode(ids) == text
 
@@ -372,8 +482,13 @@ def test_pieces_equal_plain_dynamic_programme():
     r = random.Random(2)
     for _ in range(400):
         text = "".join(r.choice("ab xy") for _ in range(r.randint(0, 9)))
-        expected = best(" ".join(["", text]).replace(" ", "▁")) if text else []
+        shown = " ".join(["", text]).replace(" ", "▁")
+        expected = best(shown) if text else []
         assert ready.encode(text) == expected and ready.count(text)[0] == len(expected)
+        plain_score = [0.0] + [-np.inf] * len(shown)
+        for end in range(1, len(shown) + 1):
+            plain_score[end] = max(plain_score[i] + scores.get(shown[i:end], (-14.0 if end - i == 1 else -np.inf,))[0] for i in range(end))
+        assert ready.count(text)[1] == (plain_score[-1] if text else 0)
 
 
 def test_piece_tables(spark, docs, folder):
@@ -398,6 +513,64 @@ def test_language(spark, tmp_path):
     assert all(0 <= r["score"] <= 1 for r in found.values())
 
 
+def brute_ngrams(text: str) -> list[int]:
+    letters = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in f"\n{text}\n"]
+    letters = [x for k, x in enumerate(letters) if x or not k or letters[k - 1]]
+    out = []
+    for n in op1.ORDERS:
+        for k in range(len(letters) - n + 1):
+            if n > 1 or letters[k]:
+                code = 0
+                for x in letters[k : k + n]:
+                    code = (code * (0x110000 | 1) + x) % 2**64
+                out.append((code + n) * 0x9E3779B97F4A7C15 % 2**64 >> 64 - op1.BUCKETS.bit_length() + 1)
+    return out
+
+
+def test_prediction_equals_plain_loops(spark):
+    """Against one n-gram at a time; with ties, repeated rows, clashing columns and a long text."""
+    rng = np.random.default_rng(2)
+    model = op1.Model(["aa", "bb", "cc"], rng.uniform(1, 5, op1.BUCKETS), rng.normal(0, 30, (op1.BUCKETS, 3)), rng.normal(0, 1, 3), 1.7)
+    texts = ["one two", "one two", "Ünïcode ßtraße 123 日本語", "a", "\U00010400\U0001f600b", "word, " * 60_000, "x\n\ny", "", None, "12"]
+    frame = spark.createDataFrame([(k, t, 5.0, [1]) for k, t in enumerate(texts)], "doc_id long, text string, h double, buckets array<int>")
+    found = {r["doc_id"]: r for r in op1.predict(frame, model, ["doc_id", "h", "buckets"]).collect()}
+    for k, text in enumerate(texts):
+        if not any(c.isalpha() for c in text or ""):
+            assert (found[k]["lang_pred"], found[k]["score"]) == ("und", 0)
+            continue
+        counts = Counter(brute_ngrams(text))
+        total = sum(n * model.idf[b] for b, n in counts.items())
+        logits = (sum(n * model.idf[b] * model.weights[b] for b, n in counts.items()) / total + model.bias) / model.temperature
+        chance = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert found[k]["lang_pred"] == model.languages[int(chance.argmax())] and found[k]["score"] == pytest.approx(chance.max(), rel=1e-4)
+    flat = op1.Model(["aa", "bb"], np.ones(op1.BUCKETS), np.zeros((op1.BUCKETS, 2)), np.zeros(2), 1.0)
+    assert {(r["lang_pred"], r["score"]) for r in op1.predict(frame.limit(3), flat, ["doc_id"]).collect()} == {("aa", 0.5)}
+
+
+def test_ftrl_equals_plain_loops():
+    r = random.Random(3)
+    rows = [(np.array(sorted(r.sample(range(12), 4))), np.array([r.random() for _ in range(4)]), r.randrange(3)) for _ in range(60)]
+    weights, bias = op1.fit_ftrl(rows, 3, 2)
+    z, n, w = ({} for _ in range(3))
+    for _ in range(2):
+        for at, x, label in rows:
+            own = [(int(b), float(v)) for b, v in zip(at, x, strict=True)] + [(op1.BUCKETS, 1.0)]
+            for b, _ in own:
+                for c in range(3):
+                    zz, nn = z.get((b, c), 0.0), n.get((b, c), 0.0)
+                    w[b, c] = 0.0 if abs(zz) <= op1.L1 else -(zz - np.sign(zz) * op1.L1) / ((op1.BETA + nn**0.5) / op1.ALPHA + op1.L2)
+            logits = np.array([sum(v * w[b, c] for b, v in own) for c in range(3)])
+            p = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+            for b, v in own:
+                for c in range(3):
+                    g, nn = v * (p[c] - (c == label)), n.get((b, c), 0.0)
+                    z[b, c] = z.get((b, c), 0.0) + g - ((nn + g * g) ** 0.5 - nn**0.5) / op1.ALPHA * w[b, c]
+                    n[b, c] = nn + g * g
+    for (b, c), zz in z.items():
+        expected = 0.0 if abs(zz) <= op1.L1 else -(zz - np.sign(zz) * op1.L1) / ((op1.BETA + n[b, c] ** 0.5) / op1.ALPHA + op1.L2)
+        assert (bias[c] if b == op1.BUCKETS else weights[b, c]) == pytest.approx(expected, abs=1e-9)
+
+
 # Sharding ------------------------------------------------------------------------------------------------------------
 
 def test_sharding(spark, docs, folder):
@@ -411,6 +584,33 @@ def test_sharding(spark, docs, folder):
     assert all(sorted(x) == list(range(len(x))) for x in places.values())
 
 
+def test_equal_sizes_under_repeated_rows(spark, tmp_path):
+    """A third of all rows is one row; sizes still differ by the largest slot at most."""
+    rows = [(5, "the same text again")] * 6000 + [(k, "x" * (k % 40)) for k in range(12_000)] + [(None, None)] * 500
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op7.op7_sharding(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((i, len(t or "") + 1) for i, t in rows)
+    sizes, slots, places = Counter(), Counter(), {}
+    for r in found:
+        sizes[r["shard"]] += r["size"]
+        slots[r["vslot"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= max(slots.values()) <= 0.05 * sum(sizes.values()) / 16
+    assert all(sorted(x) == list(range(len(x))) for x in places.values())
+    assert len({r["vslot"] for r in found if r["doc_id"] == 5}) > 1000
+
+
+def test_map_versions_are_kept(spark, tmp_path):
+    loads = spark.createDataFrame([(k, 100 + k % 7, 1) for k in range(300)], "vslot int, bytes long, rows long").cache()
+    op7.store_map(op7.build_map(loads, 4, slots=400), f"{tmp_path}/maps")
+    first = op7.stored_map(spark, f"{tmp_path}/maps")
+    op7.store_map(op7.grow(first, loads), f"{tmp_path}/maps")
+    latest, earlier = op7.stored_map(spark, f"{tmp_path}/maps"), op7.stored_map(spark, f"{tmp_path}/maps", 1)
+    assert {r["version"] for r in latest.collect()} == {2} and rows_of(earlier) == rows_of(op7.build_map(loads, 4, slots=400))
+    moved = rows_of(latest.select("vslot", "shard")) - rows_of(earlier.select("vslot", "shard"))
+    assert {shard for _, shard in moved} == {4} and 50 <= len(moved) <= 65
+
+
 def test_map_edits(spark):
     loads = spark.createDataFrame([(k, 100 + k % 7, 1) for k in range(500)], "vslot int, bytes long, rows long").cache()
     first = op7.build_map(loads, 4, slots=600).cache()
@@ -430,12 +630,36 @@ def test_map_edits(spark):
 
 # Pipeline ------------------------------------------------------------------------------------------------------------
 
+def brute_rejects(text: str | None) -> bool:
+    """The rules of the policy in force, on measures of their own."""
+    n, chars, symbols, _, _, base_failed = brute_quality(text)
+    upper, lower, loud = (len(re.findall(c, text or "")) for c in ("[A-Z]", "[a-z]", "!"))
+    return base_failed or 100 * symbols > 6 * chars or not 2 * n <= chars <= 20 * n or (upper > 50 and upper > 2 * lower) or 100 * loud > 50 * n
+
+
+def brute_cut(text: str, items: list[tuple]) -> str | None:
+    """The text without benchmark passages; None if no word is left."""
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))]
+    words, covered = [text.translate(LOWER)[a:b] for a, b in places], set()
+    for i, t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+        for k in range(max(1, len(w) - 9) if w and i is not None else 0):
+            for at in range(len(words) - len(w[k : k + 10]) + 1):
+                if words[at : at + 10][: len(w[k : k + 10])] == w[k : k + 10]:
+                    covered.update(range(at, at + len(w[k : k + 10])))
+    if covered and len(covered) == len(words):
+        return None
+    out, at = "", 0
+    for k in sorted(covered):
+        if k - 1 not in covered:
+            out += text[at : places[k][0]]
+        at = places[k][1]
+    return out + text[at:]
+
+
 def test_pipeline_equals_brute_force(spark, docs, folder):
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    policy = op5.POLICIES[op5.CURRENT]
-    bits = {tuple(r)[:2]: r["fail_bits"] for r in op5.ledger(docs, keep=["doc_id", "text"]).select("doc_id", "text", "fail_bits").collect()}
-    rows = [x for x in rows if not bits[x] & policy.mask]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if not brute_rejects(r["text"])]
     groups = list(range(len(rows)))
     sets = [shingles(t, 5) for _, t in rows]
     for i in range(len(rows)):
@@ -443,9 +667,19 @@ def test_pipeline_equals_brute_force(spark, docs, folder):
             if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and groups[i] != groups[j]:
                 groups = [groups[j] if g == groups[i] else g for g in groups]
     kept = {min((x for x, h in zip(rows, groups, strict=True) if h == g), key=lambda x: (x[0] is None, x[0])) for g in set(groups)}
+    cut = [(i, c) for i, t in kept if (c := brute_cut(t, items)) is not None]
+    assert len(cut) < len(rows)
+    expected = Counter()
+    for (i, text), spans in zip(cut, brute_private([t for _, t in cut]), strict=True):
+        out, at = "", 0
+        for start, _, kind, _, stop in spans:
+            out += text[at:start] + f"<{kind.upper()}>" if start >= at else ""
+            at = max(at, stop)
+        out += text[at:]
+        expected[i, out, len(out)] += 1
     found = corpus_pipeline.run(spark, folder).collect()
-    assert Counter(r["doc_id"] for r in found) == Counter(i for i, _ in kept)
-    assert all(not brute_hits(r["text"], items)[4] and r["n_chars"] == len(r["text"]) and len(r["ids"]) == r["n_pieces"] for r in found)
+    assert Counter((r["doc_id"], r["text"], r["n_chars"]) for r in found) == expected
+    assert sum("<CARD>" in r["text"] for r in found) == 4 and all(len(r["ids"]) == r["n_pieces"] > 0 for r in found)
     stage = spark.read.parquet(f"{folder}/documents.parquet")
     for _, one in corpus_pipeline.STAGES[:-1]:
         assert one(spark, stage, folder).columns == stage.columns

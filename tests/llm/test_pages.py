@@ -193,6 +193,16 @@ def test_revisits(spark):
     assert resolved(spark, capture(1, "x", 1, "response")) == {}
 
 
+def test_revisits_with_clashing_columns_and_repeated_rows(spark):
+    schema = "record_id long, url string, ts long, kind string, digest string, length long, headers map<string, string>, url_key string, response string, asks string, bucket int, left string, r int, latest int"
+    more = ("own", "own", "own", 1, "own", 1, 1)
+    rows = [(*capture(1, "x/a", 1, "response", {"etag": "1"}), *more), (*capture(2, "x/a", 9, "revisit", {"etag": "1"}), *more)] * 2 + [(*capture(3, "x/a", 9, None), *more), (None,) * 14]
+    found = op6.resolve(spark.createDataFrame(rows, schema)).collect()
+    assert [(r["record_id"], r["status"], r["refers_to"]) for r in found] == [(2, "resolved", 1)] * 2
+    bare = op6.resolve(spark.createDataFrame([(None, None, None, "revisit", None, None, None, *more)], schema)).collect()
+    assert [(r["record_id"], r["status"]) for r in bare] == [(None, "orphan")]
+
+
 def test_revisits_equal_a_scan(spark):
     rng = np.random.default_rng(1)
     rows = [capture(i, f"h/{rng.integers(4)}", int(rng.integers(300)), "revisit" if rng.random() < 0.6 else "response", {"etag": "e"}) for i in range(400)]

@@ -20,16 +20,9 @@ def subseq(seq: Column | str, start: Column | str, end: Column | str) -> Column:
 
 
 def kmers(seq: Column | str, k: int) -> Column:
-    """Distinct runs of k bases; none if the sequence is shorter.
-
-    The sequence is bound to a variable first: else the optimizer may put what computes it inside the function of each run.
-    """
-
-    def of(s: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k)))
-        return F.when(F.length(s) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
-
-    return F.transform(F.array(_col(seq)), of)[0]
+    """Distinct runs of k bases, in the order of their first place; none if the sequence is shorter. One pass of a look-ahead
+    over the sequence: a substring for each place would walk to that place every time."""
+    return F.array_distinct(F.regexp_extract_all(_col(seq), F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def homopolymer_compressed(seq: Column | str) -> Column:

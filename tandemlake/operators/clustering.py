@@ -16,10 +16,12 @@ _SYNCED = "target_id long, read_id long, strand int, unit_ord int, start int, en
 
 
 def involved(overlaps: DataFrame, reads: DataFrame) -> DataFrame:
-    """(target_id, read_id, strand, seq, length): each target's reads, oriented like the target."""
+    """(target_id, read_id, strand, seq, length): each target's reads, oriented like the target; so are their `quals`, if reads have them."""
     near = neighbours(overlaps).select(F.col("read_id").alias("target_id"), F.col("other_id").alias("read_id"), F.col("strand").cast("int").alias("strand"))
-    joined = near.join(reads.select("read_id", "seq", "length"), "read_id")
-    return joined.select("target_id", "read_id", "strand", F.when(F.col("strand") == 1, revcomp("seq")).otherwise(F.col("seq")).alias("seq"), "length")
+    quals = ["quals"] if "quals" in reads.columns else []
+    joined = near.join(reads.select("read_id", "seq", "length", *quals), "read_id")
+    turned = lambda name, other: F.when(F.col("strand") == 1, other(name)).otherwise(F.col(name)).alias(name)
+    return joined.select("target_id", "read_id", "strand", turned("seq", revcomp), "length", *(turned(q, F.reverse) for q in quals))
 
 
 def synchronized(overlaps: DataFrame, units: DataFrame, reads: DataFrame, ward_threshold: float = 0.15, map_threshold: float = 0.1, compat: bool = False) -> DataFrame:
@@ -41,15 +43,20 @@ def synchronized(overlaps: DataFrame, units: DataFrame, reads: DataFrame, ward_t
 
 def clustered(synced: DataFrame, mates: DataFrame, ward_threshold: float = 0.01, alpha: float = 1.0) -> DataFrame:
     """synced with repr_id replaced by the cluster of each unit and its consensus as repr_seq. The sampler is seeded with
-    the target's id, so a lost task that runs again gives the same labels."""
+    the target's id, so a lost task that runs again gives the same labels. Where mates have `quals` (array<int>, a value for
+    each base), they weigh the bases of the units."""
+    has_quals = "quals" in mates.columns
     cut = synced.drop("repr_id").join(mates, ["target_id", "read_id", "strand"]).withColumn("unit", subseq("seq", "start", "end")).drop("seq", "length")
+    if has_quals:
+        cut = cut.withColumn("quals", F.slice("quals", F.col("start") + 1, F.col("end") - F.col("start")))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["read_id", "strand", "unit_ord"]).reset_index(drop=True)
         units = frame["unit"].tolist()
-        labels = SplitMerge(units, alpha=alpha, seed=int(frame["target_id"].iloc[0])).run(ward_threshold)
+        quals = [list(map(int, q)) for q in frame["quals"]] if has_quals else None
+        labels = SplitMerge(units, quals, alpha, int(frame["target_id"].iloc[0])).run(ward_threshold)
         cons = {k: consensus(sorted(u for u, x in zip(units, labels, strict=True) if x == k), "median") for k in set(labels)}
-        return frame.drop(columns="unit").assign(repr_id=labels, repr_seq=[cons[k] for k in labels])
+        return frame.drop(columns=["unit", *(["quals"] if has_quals else [])]).assign(repr_id=labels, repr_seq=[cons[k] for k in labels])
 
     return spread(cut, "target_id").groupBy("target_id").applyInPandas(run, _SYNCED + ", repr_seq string")
 

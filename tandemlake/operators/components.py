@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the checkpoint folder of the session; where none is set (tests), to one of our own."""
+    """df, computed once and written to the folder in spark.checkpoint.dir. Where the session names none, to one of our own
+    if all of Spark runs in this process (tests); a cluster must name one that all its machines share."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stages-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="stages-"))
     return df.checkpoint()
 
 

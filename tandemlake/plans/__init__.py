@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tandemlake.functions import sequences as S
 from tandemlake.functions.kernels import aligner, composition_log_prob, consensus_agg, variant_list
 from tandemlake.operators import clustering, contigs, detect, encode, graph, labels, overlap_search, overlaps, peaks, simulate, units, views
+from tandemlake.operators.components import kept
 from tandemlake.plans import stand_ins as V
 from tandemlake.schemas import OVERLAP_COLUMNS
 
@@ -148,6 +149,31 @@ def self_alignment_measures(spark, d):
     return detect.measured(rows)
 
 
+@query(f"with {V.UNITS} select read_id, ulen, count(*) as n, ulen * count(*) as total from units_v group by 1, 2")
+def composition_scatter(spark, d):
+    return views.composition_scatter(V.units(spark, d))
+
+
+@query(f"{_KDE} select o_orderkey as read_id, 512 as length from orders where o_orderkey in (select read_id from units_v join intervals on ulen between lo and hi group by 1 having sum(ulen) >= 60)")
+def peak_filtered_reads(spark, d):
+    return peaks.filter_reads(V.orders_as_reads(spark, d), V.units(spark, d), 60, low=1, high=50)
+
+
+@query(f"""with {V.UNITS}, e as (select read_id, cast(sum(ulen) as bigint) as covered from units_v group by 1)
+  select read_id, round(covered / length(o_orderpriority || o_orderstatus || o_orderkey), 2) as cover_rate from e join orders on o_orderkey = read_id""")
+def encoding_cover_rates(spark, d):
+    own = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat("o_orderpriority", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("seq"))
+    return encode.cover_rates(V.units(spark, d).select("read_id", F.col("ulen").alias("length")), own)
+
+
+@query(f"""with {V.UNITS}, s as (select read_id, unit_ord, substr(o_orderpriority || o_orderstatus || o_orderkey, cast(start % 7 as int) + 1, 5) as x from units_v join orders on o_orderkey = read_id)
+  select read_id, unit_ord, array_to_string(list_transform(range(1, length(x) + 1), lambda i: case when i > 1 and x[i] = x[i - 1] then '' else x[i] end), '') as unit_seq from s""")
+def compressed_unit_sequences(spark, d):
+    own = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("read_id"), F.concat("o_orderpriority", "o_orderstatus", F.col("o_orderkey").cast("string")).alias("seq"))
+    cut = V.units(spark, d).withColumns({"start": F.col("start") % 7, "end": F.col("start") % 7 + 5})
+    return units.sequences(cut, own, compressed=True).select("read_id", "unit_ord", "unit_seq")
+
+
 # Sequences -----------------------------------------------------------------------------------------------------------
 
 @query(f"with {V.READS} select read_id, seq from reads_v")
@@ -160,12 +186,25 @@ def revcomp(spark, d):
     return V.reads(spark, d).select("read_id", S.revcomp("seq").alias("seq"))
 
 
-@query(f"with {V.READS} select read_id, count(distinct substr(seq, cast(i as int), 13)) as n from reads_v, range(1, 40000) r(i) where i <= length(seq) - 12 group by 1")
+@query(f"with {V.READS} select read_id, reverse(translate(seq, 'acgtACGT', 'tgcaTGCA')) as seq, 1 - read_id % 2 as strand from reads_v")
+def reversed_reads(spark, d):
+    return units.reversed_reads(V.reads(spark, d).withColumn("strand", F.col("read_id") % 2))
+
+
+@query("""with p as (select a.p_partkey, list_distinct(list_transform(range(1, length(a.p_name) - 2), lambda i: a.p_name[i:i + 3])) as x, list_distinct(list_transform(range(1, length(b.p_name) - 2), lambda i: b.p_name[i:i + 3])) as y
+  from part a join part b on b.p_partkey = a.p_partkey + 1) select p_partkey, cast(len(list_intersect(x, y)) as bigint) as shared from p""")
+def shared_kmers(spark, d):
+    part = V.table(spark, d, "part").select("p_partkey", "p_name")
+    pairs = part.withColumnRenamed("p_name", "x").join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("y")), "p_partkey")
+    return views.shared_kmer_count(pairs, 4).select("p_partkey", F.col("shared").cast("long").alias("shared"))
+
+
+@query(f"with {V.READS} select read_id, count(distinct substr(seq, cast(i as int), 13)) as n from (select read_id, seq, unnest(range(1, length(seq) - 11)) as i from reads_v) group by 1")
 def distinct_kmers(spark, d):
     return V.reads(spark, d).filter("length(seq) >= 13").select("read_id", F.size(S.kmers("seq", 13)).cast("long").alias("n"))
 
 
-@query(f"""with {V.READS}, k as (select distinct read_id, substr(seq, cast(i as int), 13) as w from reads_v, range(1, 40000) r(i) where i <= length(seq) - 12),
+@query(f"""with {V.READS}, k as (select distinct read_id, substr(seq, cast(i as int), 13) as w from (select read_id, seq, unnest(range(1, length(seq) - 11)) as i from reads_v)),
   s as (select read_id, count(*) as n from k group by 1),
   p as (select a.read_id as a_read_id, b.read_id as b_read_id, count(*) as c from k a join k b using (w) where a.read_id < b.read_id group by 1, 2)
   select a_read_id, b_read_id, round(c / n, 6) as containment from p join s on b_read_id = s.read_id where c / n >= 0.4""")
@@ -331,6 +370,23 @@ def diagonal_label_diff(spark, d):
     return labels.diagonal_diffs(rows, known).withColumn("diff", F.round("diff", 9))
 
 
+@query()
+def part_unit_diffs(spark, d):
+    """Each part's type against the least type of its brand, in percent."""
+    part = V.table(spark, d, "part")
+    reprs = part.groupBy(F.col("p_brand").alias("repr_id")).agg(F.min("p_type").alias("seq"))
+    return views.unit_diffs(part.select("p_partkey", F.col("p_brand").alias("repr_id"), F.col("p_type").alias("unit_seq")), reprs, cyclic=False)
+
+
+@query()
+def read_unit_distances(spark, d):
+    """All units of neighbouring reads against each other, in percent."""
+    rows = unit_sequences(spark, d).select("read_id", "unit_ord", "unit_seq")
+    order = V.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    pairs = order.withColumn("next", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter("next IS NOT NULL")
+    return views.unit_distances(rows, pairs.select(F.col("o_orderkey").alias("a_read_id"), F.col("next").alias("b_read_id")))
+
+
 @query()
 def part_name_variants(spark, d):
     """Differences of each part's name from the consensus of its brand, counted."""
@@ -365,51 +421,51 @@ def simulated_repeat_units(spark, d):
     return detect.find_units(simulate.tandem_reads(spark, n))
 
 
-def _genome() -> str:
-    from random import Random
-
-    from tandemlake.functions.simulate import hetero_repeat
-
-    return hetero_repeat(Random(7), 200, 14, 4.0, 1500)
-
+def _assembled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Error-free reads of simulated genomes (one, and one more for each hundred suppliers from two hundred on), their units
+    and their overlaps."""
+    genomes = max(1, V.table(spark, d, "supplier").count() // 100)
+    rows = kept(simulate.reads_of_genomes(spark, genomes).select("read_id", "seq", "length"))
+    found = kept(detect.find_units(rows, min_len=600))
+    return rows, found, kept(overlap_search.overlaps_of_reads(found, rows, max_init_diff=0.02, max_diff=0.02))
 
-def _assembled(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Error-free reads of a simulated genome, their units and their overlaps."""
-    from tandemlake.operators.components import kept
 
-    rows = kept(simulate.reads_of(spark, _genome(), depth=5, length=2200, error_rate=0.0).select("read_id", "seq", "length"))
-    found = kept(detect.find_units(rows, min_len=400))
-    return rows, found, kept(overlap_search.overlaps_of_reads(found, rows, max_init_diff=0.02, max_diff=0.02))
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Clustered units around each read, and the reads as they are turned for it."""
+    rows, found, near = _assembled(spark, d)
+    mates = clustering.involved(near, rows)
+    return kept(clustering.clustered(clustering.synchronized(near, found, rows), mates)), mates
 
 
 @query()
 def simulated_overlaps(spark, d):
-    return _assembled(spark)[2]
+    return _assembled(spark, d)[2]
 
 
 @query()
 def simulated_contigs(spark, d):
-    rows, _, found = _assembled(spark)
+    rows, _, found = _assembled(spark, d)
     paths = graph.simple_paths(graph.transitive_reduction(graph.string_graph(overlaps.best_per_pair(found))))
     return contigs.consensus_contigs(paths, found, rows)
 
 
 @query()
 def simulated_labels(spark, d):
-    rows, found, near = _assembled(spark)
-    synced = clustering.synchronized(near, found, rows)
-    return clustering.clustered(synced, clustering.involved(near, rows))
+    return _labelled(spark, d)[0]
 
 
 @query()
-def simulated_encodings(spark, d):
-    """Reads of a simulated repeat as copies of its first unit."""
-    from random import Random
+def simulated_labelled_overlaps(spark, d):
+    """The second pass of overlaps, on the labels of simulated_labels."""
+    rows, mates = _labelled(spark, d)
+    return labels.labelled_overlaps(rows, mates, clustering.repr_units(rows))
 
-    from tandemlake.functions.simulate import non_tandem_seq
 
-    unit = non_tandem_seq(Random(7), 200)
-    return encode.encode_reads(_assembled(spark)[0], [(0, unit, 190, 210)])
+@query()
+def simulated_encodings(spark, d):
+    """Reads of simulated repeats as copies of one unit of the first."""
+    genome = simulate.hetero_genome("111:0", 300, 30, 4.0, 1500)
+    return encode.encode_reads(_assembled(spark, d)[0], [(0, genome[1500:1800], 285, 315)])
 
 
 @query()

@@ -131,6 +131,21 @@ def test_scripts(seed):
     assert not sim.has_period(sim.non_tandem_seq(r, 6)) and sim.has_period("acac") and not sim.has_period("a")
 
 
+def test_simulator_counts_and_ends():
+    r = Random(2)
+    assert [sim.deterministic_script(r, 200, (90, 5, 3, 2)).count(op) for op in "=XID"] == [186, 10, 6, 4]
+    assert len(sim.apply_script(r, "a" * 200, "=" * 100 + "D" * 50 + "X" * 50)) == 150
+    assert all(a != b for a, b in zip("acgt" * 20, sim.apply_script(r, "acgt" * 20, "X" * 80), strict=True))
+    genome = sim.unique_seq(r, 500)
+    reads = [sim.sampled_read(r, genome, 100, 0.0) for _ in range(2000)]
+    assert all((revcomp(s) if strand else s) == genome[start : start + len(s)] for s, start, strand in reads)
+    assert min(len(s) for s, *_ in reads) < 5 and max(len(s) for s, _, strand in reads if strand) == 101 and max(len(s) for s, _, strand in reads if not strand) == 100
+    covered = [sum(start <= at < start + len(s) for s, start, _ in reads) for at in (0, 250, 499)]
+    assert min(covered) > 0.3 * max(covered)  # the ends are read from one side alone
+    seq, unit = sim.homo_repeat(r, 50, 6, (98, 1, 0.5, 0.5), 40, 30)
+    assert len(seq) == 370 and len(unit) == 50
+
+
 class Scripted(SplitMerge):
     """A sampler whose log probabilities are given: the first before the rounds, the last for all that come later."""
 

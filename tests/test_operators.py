@@ -2,12 +2,14 @@ from __future__ import annotations
 
 from random import Random
 
+import pandas as pd
 import pytest
 
 from tandemlake.functions import simulate as sim
-from tandemlake.functions.align import revcomp
+from tandemlake.functions.align import align, align_cyclic, dovetail, revcomp
+from tandemlake.functions.clustering import SplitMerge
 from tandemlake.functions.kernels import register
-from tandemlake.operators import contigs, detect, graph, overlap_search, overlaps, simulate
+from tandemlake.operators import clustering, contigs, detect, graph, labels, overlap_search, overlaps, simulate, views
 from tandemlake.operators.components import min_labels
 from tandemlake.schemas import EDGES, OVERLAPS
 from tandemlake.sources import Options, fasta_lines, read_fasta, read_range, read_table, repeat_reads, write_fasta, write_stage, write_table
@@ -135,16 +137,106 @@ def test_from_alignments_to_units(spark):
 
 
 def test_contigs_lie_in_the_genome(spark):
-    genome = sim.hetero_repeat(Random(7), 200, 14, 4.0, 1500)
-    reads = simulate.reads_of(spark, genome, 5, 2200, 0.0).select("read_id", "seq", "length").cache()
+    reads = simulate.reads_of_genomes(spark, 2, 200, 14, flank=1500, depth=6, length=2500).cache()
+    genomes = [simulate.hetero_genome(f"111:{k}", 200, 14, 4.0, 1500) for k in range(2)]
     units = detect.find_units(reads, min_len=400).cache()
     found = overlap_search.overlaps_of_reads(units, reads).cache()
-    assert found.count() > 0
+    origin = {r["read_id"]: r["genome"] for r in reads.collect()}
+    assert found.count() > 0 and all(origin[r["a_read_id"]] == origin[r["b_read_id"]] for r in found.collect())
     paths = graph.simple_paths(graph.transitive_reduction(graph.string_graph(overlaps.best_per_pair(found))))
+    inside = lambda s: any(s in g or revcomp(s) in g for g in genomes)
     raw = [r["seq"] for r in graph.path_sequences(paths, reads).collect()]
-    assert raw and all(s in genome or revcomp(s) in genome for s in raw)
-    for r in contigs.consensus_contigs(paths, found, reads).collect():
-        assert r["seq"] in genome or revcomp(r["seq"]) in genome
+    assert raw and all(map(inside, raw))
+    assert all(inside(r["seq"]) for r in contigs.consensus_contigs(paths, found, reads).collect())
+
+
+@pytest.mark.parametrize("least", [0.2, 0.4, 0.75, 1.0])
+def test_containment_loses_no_pair(spark, least):
+    r = Random(3)
+    common = "".join(r.choice("acgt") for _ in range(40))
+    seqs = ["".join(r.choice((common, "acgtacgt", "".join(r.choice("acgt") for _ in range(15)))) for _ in range(r.randint(0, 6))) for _ in range(40)]
+    seqs += [seqs[5], seqs[6][:-20], "", "acg"]
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    words = [{s[i : i + 7] for i in range(len(s) - 6)} for s in seqs]
+    expected = {(i, j, len(x & y), len(x)) for i, x in enumerate(words) for j, y in enumerate(words) if i != j and x and len(x & y) / len(x) >= least}
+    found = overlap_search.containment(reads.withColumnRenamed("read_id", "query_id"), reads, 7, least).collect()
+    assert {tuple(x) for x in found} == expected and len(found) == len(expected)
+
+
+def test_labelled_overlaps_equal_brute_force(spark):
+    """Reads of one repeat, cut at its units and labelled with the true ones, some turned; every pair and shift is tried."""
+    r = Random(9)
+    kinds = [sim.unique_seq(r, 60) for _ in range(4)]
+    kinds[3] = sim.mutated(r, kinds[2], (95, 5, 0, 0))
+    order = [r.randrange(4) for _ in range(30)]
+    reads, units = [], []
+    for i, (a, b) in enumerate([(0, 9), (3, 14), (5, 8), (10, 22), (16, 30), (2, 4)]):
+        seq, strand = "".join(kinds[k] for k in order[a:b]), i % 2
+        reads.append((1, i, strand, seq, len(seq)))
+        units += [(1, i, strand, n, 60 * n, 60 * n + 60, k) for n, k in enumerate(order[a:b])]
+    frames = (
+        spark.createDataFrame(units, "target_id long, read_id long, strand int, unit_ord int, start int, end int, repr_id int"),
+        spark.createDataFrame(reads, "target_id long, read_id long, strand int, seq string, length int"),
+        spark.createDataFrame([(1, k, s) for k, s in enumerate(kinds)], "target_id long, repr_id int, seq string"),
+    )
+    found = labels.labelled_overlaps(*frames, max_units_diff=0.03, max_seq_diff=0.04).collect()
+    expected = set()
+    sequence_of, label = {i: s for _, i, _, s, _ in reads}, {i: [k for _, j, _, _, _, _, k in units if j == i] for i in range(6)}
+    for i in range(6):
+        for j in range(i + 1, 6):
+            for shift in range(3 - len(label[j]), len(label[i]) - 2):
+                pairs = [(label[i][n], label[j][n - shift]) for n in range(len(label[i])) if 0 <= n - shift < len(label[j])]
+                alns = [align(kinds[x], kinds[y]) for x, y in pairs]
+                if len(pairs) < 3 or min(len(label[i]), len(label[j])) < 3:
+                    continue
+                diff = sum(x.n_diff for x in alns) / sum(x.length for x in alns)
+                if diff >= 0.03:
+                    continue
+                one = dovetail(sequence_of[i], sequence_of[j], 60 * max(shift, 0), 60 * max(-shift, 0))
+                if one is None or one[5] / one[4] >= 0.04:
+                    continue
+                (s, e, t, f), (n, m) = one[:4], (len(sequence_of[i]), len(sequence_of[j]))
+                if i % 2:
+                    s, e, t, f = n - e, n - s, m - f, m - t
+                expected.add((i, j, (i ^ j) % 2, s, e, n, t, f, m, round(100 * diff, 2)))
+    assert {tuple(x) for x in found} == expected and len(expected) >= 4
+
+
+def test_unit_distances_and_diffs_equal_the_aligner(spark):
+    r = Random(4)
+    seqs = {(i, n): sim.unique_seq(r, r.randint(3, 9)) for i in range(3) for n in range(i + 1)}
+    units = spark.createDataFrame([(i, n, s) for (i, n), s in seqs.items()], "read_id long, unit_ord int, unit_seq string")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (1, 2)], "a_read_id long, b_read_id long")
+    percent = lambda x: round(100 * x.n_diff / x.length, 2)
+    for cyclic, one in ((False, align), (True, align_cyclic)):
+        found = {tuple(x)[:4]: x["diff"] for x in views.unit_distances(units, pairs, cyclic).collect()}
+        assert found == pytest.approx({(a, b, i, j): percent(one(seqs[a, i], seqs[b, j])) for a, b in ((0, 1), (1, 2)) for i in range(a + 1) for j in range(b + 1)}, abs=0.011)
+        reprs = spark.createDataFrame([(0, "acgtac"), (1, "ttgca")], "repr_id int, seq string")
+        rows = units.selectExpr("read_id", "unit_ord", "cast(unit_ord % 2 as int) as repr_id", "unit_seq")
+        found = {(x["read_id"], x["unit_ord"]): x["diff"] for x in views.unit_diffs(rows, reprs, cyclic).collect()}
+        assert found == pytest.approx({k: percent(one(s, ("acgtac", "ttgca")[k[1] % 2])) for k, s in seqs.items()}, abs=0.011)
+
+
+def test_quality_values_reach_the_clusters(spark, monkeypatch):
+    seen = []
+
+    class Recorder(SplitMerge):
+        def __init__(self, units, quals=None, alpha=1.0, seed=0):
+            super().__init__(units, quals, alpha, seed)
+            seen.append((units, quals))
+
+    monkeypatch.setattr(clustering, "SplitMerge", Recorder)
+    reads = spark.createDataFrame([(1, "acgtac", 6, [1, 2, 3, 4, 5, 6])], "read_id long, seq string, length int, quals array<int>")
+    near = spark.createDataFrame([(1, 1, 1)], "read_id long, other_id long, strand int")
+    monkeypatch.setattr(clustering, "neighbours", lambda _: near)
+    mates = clustering.involved(None, reads)
+    assert [(r["seq"], r["quals"]) for r in mates.collect()] == [("gtacgt", [6, 5, 4, 3, 2, 1])]
+    synced = spark.createDataFrame([(1, 1, 1, 0, 0, 3, 0), (1, 1, 1, 1, 3, 6, 0)], "target_id long, read_id long, strand int, unit_ord int, start int, end int, repr_id int")
+    captured = {}
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", lambda self, run, schema: captured.update(run=run), raising=True)
+    clustering.clustered(synced, mates)
+    frame = pd.DataFrame({"target_id": [1, 1], "read_id": [1, 1], "strand": [1, 1], "unit_ord": [0, 1], "start": [0, 3], "end": [3, 6], "unit": ["gta", "cgt"], "quals": [[6, 5, 4], [3, 2, 1]]})
+    assert list(captured["run"](frame).columns)[-2:] == ["repr_id", "repr_seq"] and seen == [(["gta", "cgt"], [[6, 5, 4], [3, 2, 1]])]
 
 
 def test_sql_registration(spark):

@@ -5,8 +5,9 @@ one separator, runs of it into one), its suffixes are sorted by prefix doubling,
 transform goes into a wavelet matrix. All benchmark windows are searched backward at once, the rows that are
 left walk to sampled suffix positions, and the words they cover merge into removal spans.
 
-The benchmark is read in blocks of bounded size, one broadcast each, so a benchmark of any size passes through
-a worker block by block. Documents never move: there is no shuffle.
+The benchmark is read in blocks of bounded size, one broadcast each. A shard's index serves all blocks of a round, which
+has BLOCKS_AT_ONCE at most: a worker holds no more of the benchmark at a time, however large it is. For a larger one, each
+further round reads the documents again with what was hit so far. Documents never move: there is no shuffle.
 
 Defined results: a null or empty text has no words and is clean; a benchmark row with null or wordless text or
 null id takes no part; items with equal windows all count; repeated item ids count once; equal documents get
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import ALNUM_WORD, LOWER, find_words, numbered, pieces_of, small_batches, table, text_slices
+from tandemlake.llm.common import ALNUM_WORD, LOWER, find_words, free_name, numbered, pieces_of, small_batches, table, text_slices, written
 
 WINDOW = 10
 #: Text bytes of a shard.
 SHARD_BYTES = 1 << 20
 #: Text bytes of a block of the benchmark, which bounds what is broadcast at once.
 BLOCK_BYTES = 8 << 20
+#: Blocks that are broadcast, and that a worker holds, at once.
+BLOCKS_AT_ONCE = 8
 #: Every so many places of the text the index keeps a suffix position.
 SAMPLE = 8
 
@@ -170,46 +174,50 @@ def build_block(items: list[tuple[str, str]], window: int = WINDOW) -> Block | N
     return Block(vocabulary, patterns, lengths, ends, np.array([k for x in owners.values() for k in sorted(x)]), [i for i, _ in items])
 
 
-def read_blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW) -> list[Broadcast]:
+def read_blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[Block]:
     """The benchmark (item_id, text), at most BLOCK_BYTES at a time on the driver."""
-    out: list[Broadcast] = []
     items: list[tuple[str, str]] = []
     held = 0
-
-    def close() -> None:
-        block = build_block(items, window) if items else None
-        if block:
-            out.append(spark.sparkContext.broadcast(block))
-
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").dropna().toLocalIterator():
         if items and held + len(text) > BLOCK_BYTES:
-            close()
+            yield from filter(None, [build_block(items, window)])
             items, held = [], 0
         items.append((item, text))
         held += len(text)
-    close()
-    return out
+    yield from filter(None, [build_block(items, window) if items else None])
 
 
-def _block_hits(block: Block, words: np.ndarray, distinct: pa.LargeBinaryArray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, word count and window of each occurrence in a shard whose texts begin at the words `first`."""
-    known = pc.fill_null(pc.index_in(distinct, value_set=block.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    symbols = known[words] + 1
+def _shard_hits(blocks: list[Block], words: np.ndarray, distinct: pa.LargeBinaryArray, first: np.ndarray) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block the first word, word count and window of each occurrence in a shard, whose texts begin at the words
+    `first`. One index, over the words that any block has, serves all of them."""
+    places = [pc.fill_null(pc.index_in(distinct, value_set=b.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) for b in blocks]
+    known = np.any([p >= 0 for p in places], axis=0)
+    symbol = np.where(known, np.cumsum(known), 0)
+    symbols = symbol[words]
     # a separator stands before each text; then runs of separators shrink to one
     with_ends = np.insert(symbols, first[:-1], 0)
     word = np.insert(np.arange(len(symbols)), first[:-1], -1)
     with_ends, word = np.append(with_ends, 0), np.append(word, -1)
     keep = np.append(True, (with_ends[1:] != 0) | (with_ends[:-1] != 0))
     text, word = with_ends[keep], word[keep]
-    index = FMIndex(text, len(block.vocabulary) + 1)
-    which, low, high = index.search(block.patterns, block.lengths)
-    counts = high - low
-    rows = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    which = np.repeat(which, counts)
-    return word[index.locate(rows)], block.lengths[which], which
-
-
-def _found(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], text: str, keep: list[str], clean: bool) -> Iterator[pa.RecordBatch]:
+    index = FMIndex(text, int(known.sum()) + 1)
+    for block, place in zip(blocks, places, strict=True):
+        here = np.zeros(len(block.vocabulary) + 1, np.int64)
+        here[place[place >= 0] + 1] = symbol[place >= 0]
+        patterns = here[block.patterns]
+        # windows with a word that the shard lacks cannot occur
+        possible = np.flatnonzero((patterns > 0).sum(axis=1) == block.lengths)
+        which, low, high = index.search(patterns[possible], block.lengths[possible])
+        counts = high - low
+        rows = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        which = possible[np.repeat(which, counts)]
+        yield block, word[index.locate(rows)], block.lengths[which], which
+
+
+def _found(batches: Iterator[pa.RecordBatch], shared: list[Broadcast], text: str, keep: list[str], clean: bool, so_far: str | None, later: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Batches with what the blocks hit. A later round adds it to the column `so_far` (spans of words, and items); all rounds
+    but the last give that column."""
+    blocks = [one.value for one in shared]
     for batch in batches:
         for part, data, offsets in text_slices(batch, text, SHARD_BYTES):
             lower = LOWER[data]
@@ -217,9 +225,11 @@ def _found(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], text: str
             words, distinct = numbered(pieces_of(lower, starts, stops))
             cover = np.zeros(len(starts) + 1, np.int64)
             items: dict[int, set[str]] = {}
-            for one in blocks if len(starts) else ():
-                block = one.value
-                begin, length, which = _block_hits(block, words, distinct, first)
+            for d, x in enumerate(part.column(so_far).to_pylist() if later else ()):
+                cover[[first[d] + a for a in x["begins"]]] += 1
+                cover[[first[d] + b for b in x["ends"]]] -= 1
+                items[d] = set(x["items"])
+            for block, begin, length, which in _shard_hits(blocks, words, distinct, first) if len(starts) and blocks else ():
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, begin + length, -1)
                 doc = np.searchsorted(first, begin, "right") - 1
@@ -234,6 +244,14 @@ def _found(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], text: str
             ends = np.flatnonzero(hit & ~np.append(joined, False)[: len(hit)])
             span_text = own[begins]
             span_ends = np.searchsorted(span_text, np.arange(len(first))).astype(np.int32)
+            if not last:
+                own_first = first[span_text]
+                hits = [{"begins": [], "ends": [], "items": sorted(items.get(d, ()))} for d in range(len(first) - 1)]
+                for d, a, z in zip(span_text.tolist(), (begins - own_first).tolist(), (ends + 1 - own_first).tolist(), strict=True):
+                    hits[d]["begins"].append(a)
+                    hits[d]["ends"].append(z)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in dict.fromkeys([*keep, text])), pa.array(hits, _SO_FAR)], [*dict.fromkeys([*keep, text]), so_far])
+                continue
             points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
             base = points[offsets[span_text]]
             spans = pa.StructArray.from_arrays([pa.array(points[starts[begins]] - base), pa.array(points[stops[ends]] - base)], ["start", "stop"])
@@ -261,16 +279,33 @@ def _found(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], text: str
             yield pa.RecordBatch.from_arrays(columns, [*keep, *(["clean_text"] if clean else []), "n_words", "n_hit", "items", "spans"])
 
 
+def _runner(*options: object):
+    return lambda batches: _found(batches, *options)
+
+
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, stop: long>>"
 
 
+_SO_FAR = pa.struct([("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", clean: bool = False) -> DataFrame:
     """`keep` columns, n_words, n_hit, items (ids with occurring windows) and spans (code points to remove, end
     exclusive), and with `clean` clean_text without these spans. A row per row of docs."""
-    blocks = read_blocks(docs.sparkSession, benchmark)
-    source = small_batches(docs).select(*dict.fromkeys([*keep, text]))
-    schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), *(["clean_text string"] if clean else []), FOUND])
-    return source.mapInArrow(lambda x: _found(x, blocks, text, keep, clean), schema)
+    source, so_far = small_batches(docs).select(*dict.fromkeys([*keep, text])), None
+    context = docs.sparkSession.sparkContext
+    fields = lambda names: [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names]
+    rounds = batched(read_blocks(benchmark), BLOCKS_AT_ONCE)
+    shared = [context.broadcast(b) for b in next(rounds, ())]
+    for more in rounds:
+        hits = so_far or free_name(source, "so_far")
+        schema = ", ".join([*fields(dict.fromkeys([*keep, text])), f"`{hits}` struct<begins: array<int>, ends: array<int>, items: array<string>>"])
+        source = written(source.mapInArrow(_runner(shared, text, keep, False, hits, so_far is not None, False), schema), "benchmark-hits")
+        for one in shared:
+            one.destroy()
+        shared, so_far = [context.broadcast(b) for b in more], hits
+    schema = ", ".join([*fields(keep), *(["clean_text string"] if clean else []), FOUND])
+    return source.mapInArrow(_runner(shared, text, keep, clean, so_far, so_far is not None, True), schema)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,8 @@ def test_decontamination_equals_brute_force(spark, docs, folder, monkeypatch):
     assert rows_of(op4.op4_decontamination(spark, folder).drop("spans")) == expected
     monkeypatch.setattr(op4, "BLOCK_BYTES", 10)  # a block for each item
     assert rows_of(op4.op4_decontamination(spark, folder).drop("spans")) == expected
+    monkeypatch.setattr(op4, "BLOCKS_AT_ONCE", 1)  # and a round for each block
+    assert rows_of(op4.op4_decontamination(spark, folder).drop("spans")) == expected
 
 
 def test_fm_index():

@@ -1,9 +1,10 @@
 """Not-modified revisits of a web archive, resolved by an as-of join.
 
 A revisit record (an answer 304) has no body: it refers to the latest earlier full response of the same
-canonical URL. Records are cut into time buckets, so that a URL with any share of all rows spreads over its
-buckets: within a bucket a window finds the latest response, and what earlier buckets leave behind is carried
-over on one row for each URL and bucket. Bodies never move; results name the response record, its digest and
+canonical URL. Records are cut into time buckets, and a bucket in which one URL has more than a fair share of all rows into
+shorter ones for that URL, so that a URL with any share of all rows spreads over its buckets: within a bucket a window
+finds the latest response, and what earlier buckets leave behind is carried over on one row for each URL and bucket. Only
+records of one URL at one time are never parted. Bodies never move; results name the response record, its digest and
 length, and the headers of the answer as the client would see them.
 
 Validators: ETags if both sides have one (compared weakly), else Last-Modified if both have it, else payload
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import table
+from tandemlake.llm.common import fair_share, sizes, table
 
 #: Headers that RFC 9110 (15.4.5, 15.3.4) lets a 304 response bring up to date.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -54,7 +55,7 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     ).filter("asks IS NOT NULL")
     response = F.when(~F.col("asks"), F.struct("ts", "record_id", "digest", "length", "headers"))
     named = named.withColumn("response", response)
-    known = named.filter("url_key IS NOT NULL AND ts IS NOT NULL")
+    known = _bucketed(named.filter("url_key IS NOT NULL AND ts IS NOT NULL"), bucket)
 
     # maps have no order: the latest is chosen by time and id
     left = known.groupBy("url_key", "bucket").agg(F.max_by("response", F.when(~F.col("asks"), F.struct("ts", "record_id"))).alias("left"))
@@ -67,6 +68,20 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return _answered(found.unionByName(lost))
 
 
+def _bucketed(known: DataFrame, bucket: int) -> DataFrame:
+    """known with `bucket` as the begin of each record's bucket in time; busy ones are parted evenly."""
+    counts = sizes(known, "url_key", "bucket")
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    begin = F.col("bucket") * bucket
+    if not total or most <= fair_share(total):
+        return known.withColumn("bucket", begin)
+    share = fair_share(total)
+    busy = counts.filter(F.col("n") > share).select("url_key", "bucket", F.ceil(F.col("n") / share).cast("int").alias("parts"))
+    length = F.greatest(F.ceil(F.lit(bucket) / F.coalesce("parts", F.lit(1))), F.lit(1))
+    marked = known.join(F.broadcast(busy), ["url_key", "bucket"], "left")  # fair_share bounds them
+    return marked.withColumn("bucket", begin + F.floor((F.col("ts") - begin) / length) * length).drop("parts")
+
+
 def _answered(rows: DataFrame) -> DataFrame:
     own, full = (lambda name: F.element_at("headers", name)), (lambda name: F.element_at("r.headers", name))
     tag = lambda x: F.regexp_replace(x, "^W/", "")

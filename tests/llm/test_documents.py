@@ -231,11 +231,13 @@ def brute_hits(text: str | None, items: list[tuple]) -> tuple:
 def test_decontamination_equals_brute_force(spark, docs, folder, monkeypatch):
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     expected = Counter((r["doc_id"], *brute_hits(r["text"], items)) for r in docs.collect())
+    cleaned = rows_of(op4.stage(spark, docs, folder))
     assert rows_of(op4.op4_decontamination(spark, folder).drop("spans")) == expected
     monkeypatch.setattr(op4, "BLOCK_BYTES", 10)  # a block for each item
     assert rows_of(op4.op4_decontamination(spark, folder).drop("spans")) == expected
     monkeypatch.setattr(op4, "BLOCKS_AT_ONCE", 1)  # and a round for each block
     assert rows_of(op4.op4_decontamination(spark, folder).drop("spans")) == expected
+    assert rows_of(op4.stage(spark, docs, folder)) == cleaned != rows_of(docs)
 
 
 def test_fm_index():

@@ -168,9 +168,9 @@ def capture(i, url, ts, kind, headers=None, digest=None):
     return (i, url, ts, kind, digest, 5 if kind == "response" else None, headers)
 
 
-def resolved(spark, *rows):
+def resolved(spark, *rows, bucket=10):
     schema = "record_id long, url string, ts long, kind string, digest string, length long, headers map<string, string>"
-    return {r["record_id"]: r for r in op6.resolve(spark.createDataFrame(rows, schema), bucket=10).collect()}
+    return {r["record_id"]: r for r in op6.resolve(spark.createDataFrame(rows, schema), bucket=bucket).collect()}
 
 
 def test_revisits(spark):
@@ -203,10 +203,13 @@ def test_revisits_with_clashing_columns_and_repeated_rows(spark):
     assert [(r["record_id"], r["status"]) for r in bare] == [(None, "orphan")]
 
 
-def test_revisits_equal_a_scan(spark):
+@pytest.mark.parametrize("bucket", [10, 7, 1000])
+def test_revisits_equal_a_scan(spark, bucket, monkeypatch):
+    """Also with one busy URL, whose buckets are parted."""
     rng = np.random.default_rng(1)
-    rows = [capture(i, f"h/{rng.integers(4)}", int(rng.integers(300)), "revisit" if rng.random() < 0.6 else "response", {"etag": "e"}) for i in range(400)]
-    found = resolved(spark, *rows)
+    monkeypatch.setattr(op6, "fair_share", lambda rows: 9)
+    rows = [capture(i, f"h/{rng.integers(4) if rng.random() < 0.6 else 0}", int(rng.integers(300)), "revisit" if rng.random() < 0.6 else "response", {"etag": "e"}) for i in range(400)]
+    found = resolved(spark, *rows, bucket=bucket)
     for i, url, ts, kind, *_ in rows:
         if kind == "revisit":
             earlier = [(t, k) for k, u, t, x, *_ in rows if u == url and x == "response" and t < ts]

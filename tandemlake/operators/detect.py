@@ -62,15 +62,17 @@ def cut_units(chosen: DataFrame, max_cv: float = 0.1) -> DataFrame:
     return listed.select("read_id", F.posexplode("units").alias("unit_ord", "u")).select("read_id", "unit_ord", "u.start", "u.end", "u.ulen")
 
 
-def find_units(reads: DataFrame, max_cv: float = 0.1, min_len: int = 1000, k: int = 12) -> DataFrame:
+def find_units(
+    reads: DataFrame, max_cv: float = 0.1, min_len: int = 1000, k: int = 12, min_hits: int = 20, max_diff: float = 0.2, min_distance: int = 20, min_span: int = 200, min_repeat: int = 500
+) -> DataFrame:
     """From reads to units in one narrow pass."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for i, seq in zip(frame["read_id"], frame["seq"], strict=True):
-                alns = self_alignments(seq or "", k)
-                rows += [(i, n, s, e, e - s) for n, (s, e) in enumerate(units_of(repeat_spans(alns), alns, max_cv, min_len))]
+                alns = self_alignments(seq or "", k, min_hits, max_diff, min_distance, min_span)
+                rows += [(i, n, s, e, e - s) for n, (s, e) in enumerate(units_of(repeat_spans(alns, min_repeat), alns, max_cv, min_len))]
             yield pd.DataFrame(rows, columns=["read_id", "unit_ord", "start", "end", "ulen"])
 
     return reads.select("read_id", "seq").mapInPandas(run, "read_id long, unit_ord int, start int, end int, ulen int")

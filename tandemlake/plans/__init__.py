@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -325,7 +326,17 @@ def best_out_edges(spark, d):
     return overlaps.best_edges(V.edges(spark, d))
 
 
-@query()
+@query(f"""with recursive {V.OVERLAPS}, {V.CLASSIFIED}, {V.INNER}, {V.EDGES},
+  e as materialized (select *, src_id || ':' || src_end as v, dst_id || ':' || dst_end as w from edges_v),
+  m as (select v, max(length) + 100 as longest from e group by v),
+  d as materialized (select distinct v, w from e),
+  ways as materialized (select distinct a.v, a.w, a.length as n, b.w as x, b.length as m from e a join e b on b.v = a.w join d on d.v = a.v and d.w = b.w),
+  elim as (select v, w, n, list(distinct x) as xs from ways join m using (v) where n + m <= longest group by v, w, n),
+  l as materialized (select v, list({{w: w, xs: xs}} order by n, w) as l from elim group by v),
+  r(v, k, gone) as (select v, cast(1 as bigint), cast([] as varchar[]) from l union all
+    select r.v, k + 1, case when list_contains(gone, l[k].w) then gone else list_distinct(list_concat(gone, l[k].xs)) end from r join l on l.v = r.v where k <= len(l)),
+  gone as (select distinct v, unnest(gone) as w from r union select v, x from ways where m < 100)
+select src_id, src_end, dst_id, dst_end, length, diff from e anti join gone using (v, w)""")
 def transitive_reduction(spark, d):
     return graph.transitive_reduction(V.edges(spark, d))
 
@@ -389,18 +400,20 @@ def read_unit_distances(spark, d):
 
 @query()
 def part_name_variants(spark, d):
-    """Differences of each part's name from the consensus of its brand, counted."""
-    part = V.table(spark, d, "part").select(F.col("p_brand").alias("repr_id"), F.col("p_name").alias("unit_seq"))
+    """Differences of each part's name from the consensus of its group, counted. As the units of a cluster are, groups are
+    bounded: each is of twenty parts."""
+    part = V.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("repr_id"), F.col("p_name").alias("unit_seq"))
     reprs = part.groupBy("repr_id").agg(consensus_agg("unit_seq").alias("seq"))
     return encode.detect_variants(part, reprs, 0.2)
 
 
 @query()
 def composition_likelihoods(spark, d):
-    part = V.table(spark, d, "part")
-    names = part.groupBy("p_brand").agg(F.sort_array(F.collect_set("p_type")).alias("names"))
-    voted = part.groupBy("p_brand").agg(consensus_agg("p_type").alias("cons"))
-    return names.join(voted, "p_brand").select("p_brand", "cons", F.round(composition_log_prob("cons", "names"), 6).alias("log_prob"))
+    """Of the types in each group of twenty parts, given their consensus."""
+    part = V.table(spark, d, "part").withColumn("repr_id", F.floor(F.col("p_partkey") / 20))
+    both = part.groupBy("repr_id").agg(F.sort_array(F.collect_set("p_type")).alias("names"))
+    voted = part.groupBy("repr_id").agg(consensus_agg("p_type").alias("cons"))
+    return both.join(voted, "repr_id").select("repr_id", "cons", F.round(composition_log_prob("cons", "names"), 6).alias("log_prob"))
 
 
 @query()
@@ -411,7 +424,8 @@ def repeat_alignments(spark, d):
 
 @query()
 def repeat_units(spark, d):
-    return detect.find_units(V.reads(spark, d), min_len=200, k=8)
+    """Units of the repeats that repeated lines and words leave in the documents' letters: short ones, so all limits are."""
+    return detect.find_units(V.reads(spark, d), max_cv=0.2, min_len=60, k=8, min_hits=10, min_distance=10, min_span=60, min_repeat=60)
 
 
 @query()
@@ -421,15 +435,17 @@ def simulated_repeat_units(spark, d):
     return detect.find_units(simulate.tandem_reads(spark, n))
 
 
+@lru_cache(maxsize=1)
 def _assembled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Error-free reads of simulated genomes (one, and one more for each hundred suppliers from two hundred on), their units
-    and their overlaps."""
+    and their overlaps, computed once for the queries that start from them."""
     genomes = max(1, V.table(spark, d, "supplier").count() // 100)
     rows = kept(simulate.reads_of_genomes(spark, genomes).select("read_id", "seq", "length"))
     found = kept(detect.find_units(rows, min_len=600))
     return rows, found, kept(overlap_search.overlaps_of_reads(found, rows, max_init_diff=0.02, max_diff=0.02))
 
 
+@lru_cache(maxsize=1)
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Clustered units around each read, and the reads as they are turned for it."""
     rows, found, near = _assembled(spark, d)
@@ -480,6 +496,6 @@ def brand_name_alignments(spark, d):
 @query()
 def name_variants(spark, d):
     """Each part's name against the next one's, difference by difference."""
-    order = Window.partitionBy("p_brand").orderBy("p_partkey")
-    rows = V.table(spark, d, "part").select("p_partkey", "p_name", F.lead("p_name").over(order).alias("next")).filter("next IS NOT NULL")
+    part = V.table(spark, d, "part").select("p_partkey", "p_name")
+    rows = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
     return rows.select("p_partkey", F.explode(variant_list("p_name", "next")).alias("v")).select("p_partkey", "v.*")

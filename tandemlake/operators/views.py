@@ -29,6 +29,16 @@ def length_transitions(units: DataFrame) -> DataFrame:
     return units.withColumn("next", F.lead("ulen").over(order)).filter("next IS NOT NULL").groupBy("ulen", "next").agg(F.count(F.lit(1)).alias("n"))
 
 
+def labelled_units(units: DataFrame) -> DataFrame:
+    """(read_id, unit_ord, start, end, repr_id, info): the bars of reads drawn as labelled units, with the text of each.
+    units: read_id, unit_ord, start, end, repr_id."""
+    info = F.concat(
+        F.lit("unit "), F.col("unit_ord"), F.lit(" (id="), F.coalesce(F.col("repr_id").cast("string"), F.lit("")), F.lit(") ["), F.col("start"), F.lit(":"), F.col("end"),
+        F.lit("] ("), F.col("end") - F.col("start"), F.lit(" bp)"),
+    )
+    return units.select("read_id", "unit_ord", "start", "end", "repr_id", info.alias("info"))
+
+
 def composition_scatter(units: DataFrame) -> DataFrame:
     """(read_id, ulen, n, total) for scatter plots of unit lengths in reads."""
     return units.groupBy("read_id", "ulen").agg(F.count(F.lit(1)).alias("n")).withColumn("total", F.col("n") * F.col("ulen"))

@@ -155,6 +155,11 @@ def composition_scatter(spark, d):
     return views.composition_scatter(V.units(spark, d))
 
 
+@query(f"""with {V.UNITS} select read_id, unit_ord, start, "end", ulen % 5 as repr_id, 'unit ' || unit_ord || ' (id=' || ulen % 5 || ') [' || start || ':' || "end" || '] (' || ulen || ' bp)' as info from units_v""")
+def labelled_read_view(spark, d):
+    return views.labelled_units(V.units(spark, d).withColumn("repr_id", F.col("ulen") % 5))
+
+
 @query(f"{_KDE} select o_orderkey as read_id, 512 as length from orders where o_orderkey in (select read_id from units_v join intervals on ulen between lo and hi group by 1 having sum(ulen) >= 60)")
 def peak_filtered_reads(spark, d):
     return peaks.filter_reads(V.orders_as_reads(spark, d), V.units(spark, d), 60, low=1, high=50)

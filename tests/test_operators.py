@@ -5,6 +5,7 @@ from random import Random
 import pandas as pd
 import pytest
 
+from tandemlake import __main__ as command
 from tandemlake.functions import simulate as sim
 from tandemlake.functions.align import align, align_cyclic, dovetail, revcomp
 from tandemlake.functions.clustering import SplitMerge
@@ -109,6 +110,19 @@ def test_fasta_round_trip(spark, tmp_path):
     assert read_table(spark, f"{tmp_path}/tsv").count() == 2
 
 
+def test_command_goes_on_where_it_was(spark, tmp_path):
+    write_fasta(simulate.tandem_reads(spark, 3, 300, 8), f"{tmp_path}/fasta")
+    (tmp_path / "o.toml").write_text('db_prefix = "x"\n[peaks]\nlow = 250\nhigh = 350\nmin_covered = 1000\nmin_density = 0.001\ndeviation = 0.1\n[detection]\nk = 12\n')
+    command.main([f"{tmp_path}/o.toml", f"{tmp_path}/fasta", f"{tmp_path}/out"])
+    found = {x: spark.read.parquet(f"{tmp_path}/out/{x}").count() for x in ("reads", "alignments", "units", "selected")}
+    assert found["reads"] == found["selected"] == 3 and found["units"] > 15
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    (tmp_path / "out/selected/_SUCCESS").unlink()
+    command.main([f"{tmp_path}/o.toml", f"{tmp_path}/fasta", f"{tmp_path}/out"])
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.parquet")}
+    assert {p.parts[-2] for p, _ in set(before.items()) ^ set(after.items())} == {"selected"}
+
+
 def test_options(tmp_path):
     (tmp_path / "o.toml").write_text('db_prefix = "x"\n[peaks]\nlow = 3\n[more]\na = 1\n')
     o = Options.load(tmp_path / "o.toml")

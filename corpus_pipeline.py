@@ -1,5 +1,10 @@
 """From raw documents to piece ids: quality rules, near-duplicate removal, benchmark decontamination, masking of
-personal data, SentencePiece encoding. Part of the corpus operators (tandemlake.llm)."""
+personal data, SentencePiece encoding. Part of the corpus operators (tandemlake.llm).
+
+Defined results: null and empty texts have too few words for the first stage and go; of repeated rows and of documents
+that are near copies one stays, whatever their ids (a null id comes last); documents that are benchmark passages throughout go;
+further columns, also under names that stages use, pass through; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +32,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir. Each result but the last is written to the session's shared folder, so
-    that a lost executor costs one stage's tasks at most."""
+    that a lost executor costs one stage's tasks at most; the tables stay there until the folder's owner clears it."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tandemlake.llm.common import free_name, small_batches, table, text_slices
-from tandemlake.llm.pieces import DEFAULT_MODEL, PieceModel, Pieces, read_model
+from tandemlake.llm.pieces import PieceModel, Pieces, read_model
 
 _ready: dict[PieceModel, Pieces] = {}
 
@@ -66,7 +66,7 @@ def decoded(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "d
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = read_model(spark, DEFAULT_MODEL)
+    model = read_model(spark)
     back = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", same.alias("round_trip"))
@@ -75,4 +75,4 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their piece ids and number of pieces."""
     ids = free_name(docs, "ids")
-    return encoded(docs, read_model(spark, DEFAULT_MODEL), ids=ids).withColumn("n_pieces", F.size(ids).cast("long"))
+    return encoded(docs, read_model(spark), ids=ids).withColumn("n_pieces", F.size(ids).cast("long"))

@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from tandemlake.llm.common import small_batches, table, text_slices
 from tandemlake.llm.op2_sentencepiece import ready
-from tandemlake.llm.pieces import DEFAULT_MODEL, PieceModel, read_model
+from tandemlake.llm.pieces import PieceModel, read_model
 
 
 def counted(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame:
@@ -36,4 +36,4 @@ def counted(docs: DataFrame, model: PieceModel, text: str = "text") -> DataFrame
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return counted(docs, read_model(spark, DEFAULT_MODEL)).select("doc_id", "n_tokens", "score")
+    return counted(docs, read_model(spark)).select("doc_id", "n_tokens", "score")

@@ -10,8 +10,8 @@ log-probabilities; for such a file piece number r in order of priority gets the
 -log((r + 1) * H), H the harmonic sum over all pieces, rounded to 1/16. Sums of sixteenths are exact in
 floating point, so results depend neither on the length of a text nor on where it is cut.
 
-A text is cut, with the same result, wherever no piece has the two neighbouring characters within it; so words
-and parts of words are segmented one by one, and each distinct one once. A part may be of any length.
+A text is cut, with the same result, wherever no piece has the two neighbouring characters within it; so words, and parts
+of long words, are segmented one by one, and each distinct one once. A part may be of any length.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words kept by a worker; then it starts anew.
 CACHE_WORDS = 300_000
-DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Longer words are not kept; they are cut into parts, which are.
+MEMO_CHARS = 64
+#: The setting of a session that names the model file for queries and stages, and the file where it names none.
+MODEL_SETTING, DEFAULT_MODEL = "spark.tandemlake.pieceModel", "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,8 +97,9 @@ class PieceModel:
         return PieceModel(tuple((t, scores.get(k, 0.0), kind) for k, (t, _, kind) in enumerate(self.pieces)), UNIGRAM, self.byte_fallback, self.dummy_prefix, self.squeeze_spaces)
 
 
-def read_model(spark: SparkSession, path: str) -> PieceModel:
+def read_model(spark: SparkSession, path: str | None = None) -> PieceModel:
     """The model file (well under a megabyte for usual vocabularies), read by Spark so that any store will do."""
+    path = path or spark.conf.get(MODEL_SETTING, DEFAULT_MODEL)
     found = spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("content").head()
     return PieceModel.parse(bytes(found[0]))
 
@@ -111,7 +115,7 @@ class _Memo(dict):
         value = self.compute(word)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= MEMO_CHARS:
             self[word] = value
         return value
 
@@ -137,8 +141,8 @@ class Pieces:
         self.separable = SPACE in self.singles and all(p[0] == SPACE == p[1] or p[1] != SPACE for p in self.inside)
         self._cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self._part_ids, self._part_counts = _Memo(self._segment), _Memo(self._count)
-        self._ids = _Memo(lambda w: b"".join(map(self._part_ids.__getitem__, self._parts(w))))
-        self._counts = _Memo(lambda w: tuple(map(sum, zip(*map(self._part_counts.__getitem__, self._parts(w)), strict=True))))
+        self._ids = _Memo(lambda w: self._segment(w) if len(w) <= MEMO_CHARS else b"".join(map(self._part_ids.__getitem__, self._parts(w))))
+        self._counts = _Memo(lambda w: self._count(w) if len(w) <= MEMO_CHARS else tuple(map(sum, zip(*map(self._part_counts.__getitem__, self._parts(w)), strict=True))))
         self._texts = [self._shown(t, kind) for t, _, kind in model.pieces]
 
     def _words(self, text: str) -> list[str]:
@@ -233,8 +237,11 @@ class Pieces:
 
     def count(self, text: str) -> tuple[int, float]:
         """Number of pieces and total score."""
-        found = list(map(self._counts.__getitem__, self._words(text)))
-        return sum(n for _, n in found), sum((s for s, _ in found), 0.0)
+        words = self._words(text)
+        if not words:
+            return 0, 0.0
+        scores, counts = zip(*map(self._counts.__getitem__, words), strict=True)
+        return sum(counts), sum(scores)
 
     @staticmethod
     def _shown(text: str, kind: int) -> str | None:

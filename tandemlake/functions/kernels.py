@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from tandemlake.functions.align import align, align_cyclic, dovetail, gapped, revcomp
+from tandemlake.functions.align import align, align_cyclic, cigar_of_text, dovetail, gapped, revcomp
 from tandemlake.functions.consensus import consensus, log_prob_align, log_prob_composition, log_prob_gen, variants
 from tandemlake.functions.units import split_units
 
@@ -43,6 +43,11 @@ def dovetailed(a: pd.Series, b: pd.Series, a_pos: pd.Series, b_pos: pd.Series) -
     return _frame([None if x is None or y is None else dovetail(x, y, int(i), int(j)) for x, y, i, j in zip(a, b, a_pos, b_pos, strict=True)], DOVETAILED)
 
 
+@F.pandas_udf(StringType())
+def text_cigar(a: pd.Series, symbols: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or s is None or y is None else cigar_of_text(x, s, y) for x, s, y in zip(a, symbols, b, strict=True)])
+
+
 @F.pandas_udf(ArrayType(_struct("start int, end int")))
 def unit_splits(ab: pd.Series, bb: pd.Series, cigar: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else [{"start": s, "end": e} for s, e in split_units(int(a), int(b), c)] for a, b, c in zip(ab, bb, cigar, strict=True)])

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tandemlake.functions.kernels import text_cigar
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, name, strand, seq, length): records split at `>` by the reader itself, so files split over
@@ -35,8 +37,11 @@ def read_range(reads: DataFrame, start: int, end: int) -> DataFrame:
     return reads.filter(F.col("read_id").between(start, end))
 
 
-def write_stage(df: DataFrame, path: str, by: str | None = None, blocks: int | None = None) -> DataFrame:
-    """Writes a stage's table and reads it back; `by` clusters rows of a key, `blocks` bounds the number of files."""
+def write_stage(df: DataFrame, path: str, by: str | None = None, blocks: int | None = None, block_bases: int | None = None) -> DataFrame:
+    """Writes a stage's table and reads it back; `by` clusters rows of a key, `blocks` bounds the number of files. With
+    `block_bases` there are as many files as the lengths of all reads need, of about that many bases each."""
+    if block_bases:
+        blocks = max(1, -(-(df.agg(F.sum("length")).first()[0] or 0) // block_bases))
     if by:
         df = df.repartition(blocks, by) if blocks else df.repartition(by)
     elif blocks:
@@ -66,6 +71,14 @@ def repeat_reads(reads: DataFrame, repeats: DataFrame, alignments: DataFrame, re
     return out.select(*reads.columns, empty("trs"), empty("alignments"))
 
 
+def aligned_paths(chosen: DataFrame, listing: DataFrame) -> DataFrame:
+    """chosen (read_id, ab, ae, bb, be and more) with the cigar of each alignment, from a listing that shows them as text:
+    the same keys, a_text, symbols and b_text. Only the paths of chosen alignments are made."""
+    keys = ["read_id", "ab", "ae", "bb", "be"]
+    shown = listing.select(*keys, "a_text", "symbols", "b_text")
+    return chosen.drop("cigar").join(shown, keys).withColumn("cigar", text_cigar("a_text", "symbols", "b_text")).drop("a_text", "symbols", "b_text")
+
+
 @dataclass(frozen=True)
 class Options:
     """Settings of a run, from a TOML file; unknown sections are kept in `other`."""

@@ -13,7 +13,7 @@ from tandemlake.functions.kernels import register
 from tandemlake.operators import clustering, contigs, detect, graph, labels, overlap_search, overlaps, simulate, views
 from tandemlake.operators.components import min_labels
 from tandemlake.schemas import EDGES, OVERLAPS
-from tandemlake.sources import Options, fasta_lines, read_fasta, read_range, read_table, repeat_reads, write_fasta, write_stage, write_table
+from tandemlake.sources import Options, aligned_paths, fasta_lines, read_fasta, read_range, read_table, repeat_reads, write_fasta, write_stage, write_table
 
 
 def edges_of(spark, *rows):
@@ -132,6 +132,15 @@ def test_options(tmp_path):
         Options.load(tmp_path / "p.toml")
 
 
+def test_paths_of_chosen_alignments(spark, tmp_path):
+    chosen = spark.createDataFrame([(1, 0, 2, 5, 2, 5)], "read_id long, aln_ord int, ab int, ae int, bb int, be int")
+    listing = spark.createDataFrame([(1, 2, 5, 2, 5, "aac-gt", "a[|*|]", "aacagt"), (1, 9, 9, 9, 9, "a", "?", "a")], "read_id long, ab int, ae int, bb int, be int, a_text string, symbols string, b_text string")
+    assert [(r["aln_ord"], r["cigar"]) for r in aligned_paths(chosen, listing).collect()] == [(0, "=I=")]
+    reads = spark.createDataFrame([(k, "acgt" * 25, 100) for k in range(50)], "read_id long, seq string, length int")
+    assert write_stage(reads, f"{tmp_path}/blocks", block_bases=1100).count() == 50
+    assert len(list((tmp_path / "blocks").glob("*.parquet"))) == 5
+
+
 def test_repeat_reads(spark):
     reads = spark.createDataFrame([(1, "acgt"), (2, "ac")], "read_id long, seq string")
     repeats = spark.createDataFrame([(1, 0, 0, 4)], "read_id long, tr_ord int, start int, end int")

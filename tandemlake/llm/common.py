@@ -186,16 +186,16 @@ def fair_share(rows: int) -> int:
     return max(256, rows // 5000)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], share: int, counts: DataFrame) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], share: int, counts: DataFrame, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row for each key. Keys with more than `share` rows on the left are dealt over
     several parts, for each of which right's row is repeated. counts: keys and n, the rows on the left."""
     hot = counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("hot_parts"))
     if not hot.limit(1).count():
-        return left.join(right, keys)
+        return left.join(right, keys, how)
     parts = F.coalesce("hot_parts", F.lit(1))
     dealt = left.join(F.broadcast(hot), keys, "left").withColumn("hot_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("hot_parts")
     every = right.join(F.broadcast(hot), keys, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
-    return dealt.join(every, [*keys, "hot_part"]).drop("hot_part")
+    return dealt.join(every, [*keys, "hot_part"], how).drop("hot_part")
 
 
 def sizes(df: DataFrame, *keys: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tandemlake.llm.op10_minhash_dedup import SQL as NEAR_SQL
 from tandemlake.llm.op10_minhash_dedup import op10_minhash_dedup
+from tandemlake.llm.op12_line_dedup import SQL as LINES_SQL
+from tandemlake.llm.op12_line_dedup import op12_line_dedup
 from tandemlake.llm.op1_language_id import op1_language_id
 from tandemlake.llm.op2_sentencepiece import op2_sentencepiece
 from tandemlake.llm.op3_pii import op3_pii
@@ -32,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op12_line_dedup": op12_line_dedup,
     "quality_ablations": quality_ablations,
     "slot_map_growth": slot_map_growth,
 }
@@ -41,6 +44,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": QUALITY_SQL,
     "op6_warc_revisits": WARC_SQL,
     "op10_minhash_dedup": NEAR_SQL,
+    "op12_line_dedup": LINES_SQL,
     "quality_ablations": ABLATIONS_SQL,
     "slot_map_growth": GROWTH_SQL,
 }

@@ -10,6 +10,8 @@ from tandemlake.llm.op10_minhash_dedup import SQL as NEAR_SQL
 from tandemlake.llm.op10_minhash_dedup import op10_minhash_dedup
 from tandemlake.llm.op12_line_dedup import SQL as LINES_SQL
 from tandemlake.llm.op12_line_dedup import op12_line_dedup
+from tandemlake.llm.op13_conversation_repair import SQL as REPAIR_SQL
+from tandemlake.llm.op13_conversation_repair import op13_conversation_repair
 from tandemlake.llm.op1_language_id import op1_language_id
 from tandemlake.llm.op2_sentencepiece import op2_sentencepiece
 from tandemlake.llm.op3_pii import op3_pii
@@ -35,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op12_line_dedup": op12_line_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
     "quality_ablations": quality_ablations,
     "slot_map_growth": slot_map_growth,
 }
@@ -45,6 +48,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc_revisits": WARC_SQL,
     "op10_minhash_dedup": NEAR_SQL,
     "op12_line_dedup": LINES_SQL,
+    "op13_conversation_repair": REPAIR_SQL,
     "quality_ablations": ABLATIONS_SQL,
     "slot_map_growth": GROWTH_SQL,
 }

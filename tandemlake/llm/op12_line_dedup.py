@@ -31,8 +31,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tandemlake.llm.common import cut, digests, fair_share, free_name, mix, numbered, sizes, small_batches, spread_join, table, text_slices, written
 
-#: Distinct keys of one shard, about: its arrays take some six bytes a key.
-SHARD_KEYS = 1 << 16
+#: Distinct keys of one shard, about: its arrays take some six bytes a key. A task gets so many visitors with one copy of them.
+SHARD_KEYS = 1 << 14
+SHARD_VISITORS = 1 << 16
 #: Bits of a level for each key that is still without a place.
 ROOM = 2
 WHITE = " \t\n\x0b\x0c\r"
@@ -217,7 +218,7 @@ def shared_lines(docs: DataFrame, text: str = "text", least_docs: int = 10, leas
     named = small_batches(docs).select(*_identity(text), text)
     lines = named.mapInArrow(lambda x: _visitors(x, text, least_chars), "i long, t long, no_id boolean, line int, a long, b long")
     lines = lines.withColumn("shard", F.pmod("a", F.lit(max(1, shards))))
-    share = fair_share(total or 0)
+    share = max(SHARD_VISITORS, fair_share(total or 0))
     hot = F.broadcast(index.filter(F.col("visitors") > share).select("shard", F.ceil(F.col("visitors") / share).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     dealt = lines.join(hot, "shard", "left").withColumn("part", F.pmod(F.xxhash64("i", "t", "line"), parts).cast("int")).drop("parts")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tandemlake.llm.op10_minhash_dedup import SQL as NEAR_SQL
 from tandemlake.llm.op10_minhash_dedup import op10_minhash_dedup
+from tandemlake.llm.op11_periodic_runs import SQL as RUNS_SQL
+from tandemlake.llm.op11_periodic_runs import op11_periodic_runs
 from tandemlake.llm.op12_line_dedup import SQL as LINES_SQL
 from tandemlake.llm.op12_line_dedup import op12_line_dedup
 from tandemlake.llm.op13_conversation_repair import SQL as REPAIR_SQL
@@ -36,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_line_dedup": op12_line_dedup,
     "op13_conversation_repair": op13_conversation_repair,
     "quality_ablations": quality_ablations,
@@ -47,6 +50,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": QUALITY_SQL,
     "op6_warc_revisits": WARC_SQL,
     "op10_minhash_dedup": NEAR_SQL,
+    "op11_periodic_runs": RUNS_SQL,
     "op12_line_dedup": LINES_SQL,
     "op13_conversation_repair": REPAIR_SQL,
     "quality_ablations": ABLATIONS_SQL,

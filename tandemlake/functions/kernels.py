@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 
 from tandemlake.functions.align import align, align_cyclic, cigar_of_text, dovetail, gapped, revcomp
 from tandemlake.functions.consensus import consensus, log_prob_align, log_prob_composition, log_prob_gen, variants
+from tandemlake.functions.seeds import places_in_windows
 from tandemlake.functions.units import split_units
 
 ALIGNED = "n_diff int, aln_len int, t_start int, t_end int, cigar string"
@@ -43,6 +44,14 @@ def dovetailed(a: pd.Series, b: pd.Series, a_pos: pd.Series, b_pos: pd.Series) -
     return _frame([None if x is None or y is None else dovetail(x, y, int(i), int(j)) for x, y, i, j in zip(a, b, a_pos, b_pos, strict=True)], DOVETAILED)
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def window_places(query: pd.Series, target: pd.Series, windows: pd.Series, max_diff: pd.Series, k: pd.Series) -> pd.Series:
+    """windows: for each row the begins and ends, one after the other."""
+    pairs = lambda w: list(zip(w[::2], w[1::2], strict=True))
+    rows = zip(query, target, windows, max_diff, k, strict=True)
+    return pd.Series([None if q is None or t is None else places_in_windows(q, t, pairs([int(x) for x in w]), float(d), int(n)) for q, t, w, d, n in rows])
+
+
 @F.pandas_udf(StringType())
 def text_cigar(a: pd.Series, symbols: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or s is None or y is None else cigar_of_text(x, s, y) for x, s, y in zip(a, symbols, b, strict=True)])

@@ -5,12 +5,20 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Sequence
+from itertools import groupby
+
+import numpy as np
 
 from tandemlake.functions.align import align
 
 #: Order in which equal counts are decided.
 ORDER = {c: k for k, c in enumerate("acgt-")}
 Variant = tuple[int, int, str, str]
+Edit = tuple[int, int, str]
+
+
+def operations(cigar: str) -> np.ndarray:
+    return np.frombuffer(cigar.encode(), np.uint8)
 
 
 def variants(template: str, seq: str, compat: bool = False) -> list[Variant]:
@@ -19,32 +27,44 @@ def variants(template: str, seq: str, compat: bool = False) -> list[Variant]:
     Insertions before a position count from 1; substitutions and deletions (base `-`) have place 0. With compat a
     difference right behind an insertion keeps the insertion's place, which only a match ends.
     """
-    out: list[Variant] = []
-    pos = place = read = 0
-    for op in align(seq, template).cigar:
-        if op == "I":
-            place += 1
-            out.append((pos, place, "I", seq[read]))
-            read += 1
-            continue
-        if op == "=" or not compat:
-            place = 0
-        if op != "=":
-            out.append((pos, place, op, seq[read] if op == "X" else "-"))
-        read += op != "D"
-        pos += 1
-    return out
+    ops = operations(align(seq, template).cigar)
+    inserted, deleted = ops == ord("I"), ops == ord("D")
+    before = np.cumsum(inserted)
+    ends = ops == ord("=") if compat else ~inserted
+    place = before - np.maximum.accumulate(np.where(ends, before, 0)) if len(ops) else before
+    pos, read = np.cumsum(~inserted) - ~inserted, np.cumsum(~deleted) - ~deleted
+    return [(int(pos[k]), int(place[k]), chr(ops[k]), "-" if deleted[k] else seq[read[k]]) for k in np.flatnonzero(ops != ord("="))]
 
 
-def count_variants(template: str, seqs: Iterable[str], compat: bool = False) -> Counter[Variant]:
+def pile(template: str, seqs: Iterable[str], compat: bool = False) -> Counter[Variant]:
+    """How often each difference from the template occurs; a sequence that occurs again is aligned once."""
     out: Counter[Variant] = Counter()
-    for s in seqs:
-        out.update(variants(template, s, compat))
+    for seq, n in Counter(seqs).items():
+        for v in variants(template, seq, compat):
+            out[v] += n
     return out
 
 
-def _most(counts: dict[str, int]) -> str:
-    return min(counts, key=lambda c: (-counts[c], ORDER.get(c.lower(), len(ORDER)), c))
+def column_vote(votes: Iterable[tuple[str, int]], rest: str, total: int) -> str:
+    """The base of a column: all that have no vote in it stand for `rest`."""
+    counts = Counter({rest: total})
+    for base, n in votes:
+        counts[base] += n
+        counts[rest] -= n
+    return min((c for c in counts if counts[c] > 0), key=lambda c: (-counts[c], ORDER.get(c.lower(), len(ORDER)), c), default=rest)
+
+
+def edited(template: str, edits: Iterable[Edit]) -> str:
+    """The template with bases put at (position, place): place 0 replaces (or, with `-`, removes) one, others stand before it."""
+    own = [""] * (len(template) + 1)
+    kept = [*template, ""]
+    for pos, place, base in sorted(edits):
+        base = "" if base == "-" else base
+        if place:
+            own[pos] += base
+        else:
+            kept[pos] = base
+    return "".join(x + y for x, y in zip(own, kept, strict=True))
 
 
 def seeded(seqs: Sequence[str], seed_choice: str) -> list[str]:
@@ -64,24 +84,9 @@ def consensus(seqs: Sequence[str], seed_choice: str = "original", compat: bool =
     if not seqs:
         return ""
     seed, *others = seeded(seqs, seed_choice)
-    total = len(seqs)
-    columns: dict[tuple[int, int], dict[str, int]] = {}
-    for (pos, place, _, base), n in count_variants(seed, others, compat).items():
-        column = columns.setdefault((pos, place), {})
-        column[base] = column.get(base, 0) + n
-    out = []
-    for pos in range(len(seed) + 1):
-        place = 1
-        while (pos, place) in columns:
-            column = dict(columns[pos, place])
-            column["-"] = column.get("-", 0) + total - sum(column.values())
-            out.append(_most(column))
-            place += 1
-        if pos < len(seed):
-            column = dict(columns.get((pos, 0), {}))
-            column[seed[pos]] = column.get(seed[pos], 0) + total - sum(column.values())
-            out.append(_most(column))
-    return "".join(c for c in out if c != "-")
+    rows = sorted(pile(seed, others, compat).items())
+    columns = groupby(rows, key=lambda row: row[0][:2])
+    return edited(seed, [(*at, column_vote(((v[3], n) for v, n in votes), seed[at[0]] if at[1] == 0 else "-", len(seqs))) for at, votes in columns])
 
 
 def polished(seqs: Sequence[str], seed_choice: str = "median", n_iter: int = 1) -> str:
@@ -97,46 +102,48 @@ def log_factorial(n: int) -> float:
     return math.lgamma(n + 1) / math.log(10)
 
 
+def error_rates(ops: np.ndarray, skipped: str, quality: Sequence[int] | None, p: float) -> np.ndarray:
+    """For each operation of a path the error rate of the base at hand; `skipped` is the operation that moves on to none."""
+    if quality is None or not len(quality):
+        return np.full(len(ops), p)
+    moves = ops != ord(skipped)
+    return (10 ** (-np.asarray(quality, float) / 10))[np.minimum(np.cumsum(moves) - moves, len(quality) - 1)]
+
+
+def _log_prob(ops: np.ndarray, right: np.ndarray) -> float:
+    """Of a path, given the probability that each of its columns is a match."""
+    right = np.clip(right, 1e-10, 1 - 1e-10)
+    return float(np.log10(np.where(ops == ord("="), right, 1 - right)).sum())
+
+
 def log_prob_gen(cons: str, obs: str, quality: Sequence[int] | None = None, p: float = 0.01) -> float:
     """log10 probability of an observation given the consensus; with qualities, an error rate for each of its bases."""
     if not cons:
         return -math.inf
-    cigar = align(cons, obs).cigar
-    if quality is None:
-        matches = cigar.count("=")
-        return matches * math.log10(1 - p) + (len(cigar) - matches) * math.log10(p)
-    total, at = 0.0, 0
-    for op in cigar:
-        error = min(max(10 ** (-quality[min(at, len(quality) - 1)] / 10), 1e-10), 1 - 1e-10)
-        total += math.log10(1 - error) if op == "=" else math.log10(error)
-        at += op != "I"
-    return total
+    ops = operations(align(cons, obs).cigar)
+    return _log_prob(ops, 1 - error_rates(ops, "I", quality, p))
 
 
 def log_prob_align(x: str, y: str, qx: Sequence[int] | None = None, qy: Sequence[int] | None = None, p: float = 0.01) -> float:
     """log10 probability that two observations have one origin."""
-    cigar = align(x, y).cigar
-    total, i, j = 0.0, 0, 0
-    for op in cigar:
-        a = 10 ** (-qx[min(i, len(qx) - 1)] / 10) if qx else p
-        b = 10 ** (-qy[min(j, len(qy) - 1)] / 10) if qy else p
-        both = min(max((1 - a) * (1 - b), 1e-10), 1 - 1e-10)
-        total += math.log10(both if op == "=" else 1 - both)
-        i += op != "D"
-        j += op != "I"
-    return total
+    ops = operations(align(x, y).cigar)
+    return _log_prob(ops, (1 - error_rates(ops, "D", qx, p)) * (1 - error_rates(ops, "I", qy, p)))
+
+
+def log_prob_columns(length: int, total: int, columns: Iterable[Sequence[int]], p: float) -> float:
+    """log10 multinomial probability of `total` sequences over a template of `length`, from the counts of the differences in
+    each column that has some."""
+    found = [sorted(x) for x in columns]
+    right, wrong = math.log10(1 - p), math.log10(p)
+    rest = [max(0, total - sum(x)) for x in found]
+    ways = sum(log_factorial(total) - log_factorial(r) - sum(map(log_factorial, x)) for x, r in zip(found, rest, strict=True))
+    return ways + wrong * sum(map(sum, found)) + right * (total * length + sum(rest))
 
 
 def log_prob_composition(cons: str, units: Sequence[str], p: float = 0.001) -> float:
     """log10 multinomial probability of the pile of units over the consensus."""
-    counts = count_variants(cons, units)
-    total = len(units)
     columns: dict[tuple[int, int], list[int]] = {}
-    for (pos, place, _, _), n in counts.items():
+    for (pos, place, _, _), n in pile(cons, units).items():
         columns.setdefault((pos, place), []).append(n)
     untouched = len(cons) - len({pos for pos, _ in columns if pos < len(cons)})
-    out = untouched * total * math.log10(1 - p)
-    for found in columns.values():
-        rest = max(0, total - sum(found))
-        out += log_factorial(total) - sum(log_factorial(n) - n * math.log10(p) for n in found) - log_factorial(rest) + rest * math.log10(1 - p)
-    return out
+    return log_prob_columns(untouched, len(units), columns.values(), p)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the folder in spark.checkpoint.dir. Where the session names none, to one of our own
-    if all of Spark runs in this process (tests); a cluster must name one that all its machines share."""
+    """df, computed once and written to the folder in spark.checkpoint.dir, which all machines must share. Where the session
+    names none, to one of our own, but only in local mode, where all of Spark runs in this process."""
     spark: SparkSession = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         given = spark.conf.get("spark.checkpoint.dir", None)
-        if not given and not spark.sparkContext.master.startswith("local"):
+        if not given and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="stages-"))
     return df.checkpoint()
@@ -25,6 +26,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], share: int) -> DataFrame:
+    """left joined with right, which has one row for each key. A key with more than `share` rows on the left (and a 5,000th of
+    all, so that the list of these can be broadcast) is dealt over several parts, to each of which right's row goes."""
+    counts = kept(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    share = max(share, (counts.agg(F.sum("n")).first()[0] or 0) // 5000)
+    hot = F.broadcast(counts.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("hot_parts")))
+    parts = F.coalesce("hot_parts", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("hot_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("hot_parts")
+    every = right.join(hot, keys, "left").withColumn("hot_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot_parts")
+    return spread(dealt, *keys, "hot_part").join(every, [*keys, "hot_part"]).drop("hot_part")
+
+
 def min_labels(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of (u, v): the least node of its component.
 

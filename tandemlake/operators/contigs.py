@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tandemlake.functions.align import align
-from tandemlake.functions.consensus import consensus
 from tandemlake.functions.sequences import revcomp
 from tandemlake.operators.graph import path_sequences
 from tandemlake.operators.overlaps import mirrored, normalized
+from tandemlake.operators.pile import consensus_of
 
 
 def placed_reads(paths: DataFrame, overlaps: DataFrame) -> DataFrame:
@@ -101,11 +101,7 @@ def consensus_contigs(paths: DataFrame, overlaps: DataFrame, reads: DataFrame, w
     parts = covered.select("path_id", "windows", _slices("cigar", "start", "part", "windows", F.lit(window)).alias("parts"))
     each = parts.select("path_id", F.explode(F.arrays_zip("windows", "parts")).alias("z")).select("path_id", F.col("z.windows").alias("w"), F.col("z.parts").alias("part"))
 
-    def vote(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        own = sorted(frame["part"])
-        return pd.DataFrame([(*key, own[0] if len(own) == 1 else consensus(own, "median"))], columns=["path_id", "w", "voted"])
-
-    voted = each.groupBy("path_id", "w").applyInPandas(vote, "path_id string, w int, voted string")
+    voted = consensus_of(each, ["path_id", "w"], "part", "voted")
     whole = raw.filter(F.col("size") >= window).select("path_id", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / window).cast("int") - 1)).alias("w"))
     pieces = whole.select("path_id", "w", F.expr(f"substring(seq, w * {window} + 1, {window})").alias("raw")).join(voted, ["path_id", "w"], "left")
     listed = pieces.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("voted", "raw").alias("s")))).alias("s"))

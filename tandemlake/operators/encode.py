@@ -3,49 +3,69 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlake.functions.align import align, revcomp
-from tandemlake.functions.kernels import variant_list
+from tandemlake.operators.pile import pile
 
+#: What claimed bases are overwritten with.
+MASK = b"N"
 ENCODINGS = "read_id long, start int, end int, length int, repr_id int, diff double, strand int, type string"
 
 
+def span_kind(start: int, end: int, length: int, margin: float, diff: float, noisy: float, usual: tuple[int, int]) -> str:
+    """What a mapped span of a read is: at the read's ends, unlike its representative, of unusual length, or complete."""
+    tests = (("boundary", start < margin or end > length - margin), ("noisy", diff >= noisy), ("deviating", not usual[0] <= end - start <= usual[1]))
+    return next((kind for kind, holds in tests if holds), "complete")
+
+
 def encode_read(seq: str, reprs: list[tuple[int, str, int, int]], max_diff: float = 0.4, noisy: float = 0.23, boundary: float = 0.15) -> list[tuple]:
-    """Greedy mapping of representatives (id, seq, least and greatest usual length) on both strands: the best hit is taken and
-    masked; then only candidates that it overlapped are mapped again. Rows of ENCODINGS without read_id, by start."""
-    masked = seq
-    strands = (0, 1)
-    oriented = {(k, s): (revcomp(u) if s else u) for k, u, _, _ in reprs for s in strands if u}
-    limits = {k: (lo, hi) for k, _, lo, hi in reprs}
-    margin = boundary * max((hi for *_, hi in reprs), default=0)
-    found = {key: align(u, masked, "glocal") for key, u in oriented.items()}
-    rows = []
-    last = 0
-    while found:
-        key = min(found, key=lambda x: (found[x].diff, x[1] != last, x))
-        hit = found[key]
-        if hit.diff >= max_diff or hit.t_end <= hit.t_start:
-            break
-        start, end = hit.t_start, hit.t_end
-        k, last = key
-        if start < margin or end > len(seq) - margin:
-            kind = "boundary"
-        elif hit.diff >= noisy:
-            kind = "noisy"
-        else:
-            kind = "complete" if limits[k][0] <= end - start <= limits[k][1] else "deviating"
-        rows.append((start, end, end - start, k, round(hit.diff, 3), last, kind))
-        masked = masked[:start] + "N" * (end - start) + masked[end:]
-        for other, aln in list(found.items()):
-            if aln.diff >= max_diff:
-                del found[other]
-            elif aln.t_start < end and start < aln.t_end:
-                found[other] = align(oriented[other], masked, "glocal")
-    return sorted(rows)
+    """Mapping of representatives (id, seq, least and greatest usual length) on both strands. Rows of ENCODINGS without read_id,
+    by start.
+
+    Spans are claimed from the likest hit on; of equal ones that on the strand of the span claimed before, then by id. A
+    queue holds one hit for each representative and strand. A hit whose place has been claimed in part since it was found
+    goes back into the queue with its next best place in what is free, or not at all if that is too unlike."""
+    usual = {k: (lo, hi) for k, _, lo, hi in reprs}
+    margin = boundary * max((hi for _, hi in usual.values()), default=0)
+    oriented = {(k, s): (revcomp(u) if s else u) for k, u, _, _ in reprs for s in (0, 1) if u}
+    free = bytearray(seq, "utf-8")
+    claimed: list[tuple] = []
+    queue: list[tuple[float, tuple[int, int], int, int, int]] = []  # the last: how many claims the hit knows of
+
+    def look(key: tuple[int, int]) -> None:
+        hit = align(oriented[key], free.decode(), "glocal")
+        if hit.diff < max_diff and hit.t_end > hit.t_start:
+            heappush(queue, (hit.diff, key, hit.t_start, hit.t_end, len(claimed)))
+
+    for key in oriented:
+        look(key)
+    strand = 0
+    while queue:
+        equal = [heappop(queue)]
+        while queue and queue[0][0] == equal[0][0]:
+            equal.append(heappop(queue))
+        touched = [any(s < end and start < e for s, e, *_ in claimed[known:]) for _, _, start, end, known in equal]
+        stale, fresh = ([hit for hit, t in zip(equal, touched, strict=True) if t is wanted] for wanted in (True, False))
+        for hit in stale:
+            look(hit[1])
+        if stale:  # they may now be as good as those that are left
+            for hit in fresh:
+                heappush(queue, hit)
+            continue
+        hit = min(fresh, key=lambda x: (x[1][1] != strand, x[1]))
+        for other in fresh:
+            if other is not hit:
+                heappush(queue, other)
+        diff, (k, strand), start, end, _ = hit
+        claimed.append((start, end, end - start, k, round(diff, 3), strand, span_kind(start, end, len(seq), margin, diff, noisy, usual[k])))
+        free[start:end] = MASK * (end - start)
+        look((k, strand))
+    return sorted(claimed)
 
 
 def encode_reads(reads: DataFrame, reprs: list[tuple[int, str, int, int]], **options: float) -> DataFrame:
@@ -66,8 +86,8 @@ def cover_rates(encodings: DataFrame, reads: DataFrame) -> DataFrame:
 
 def detect_variants(units: DataFrame, reprs: DataFrame, least_fraction: float = 0.1) -> DataFrame:
     """(repr_id, pos, place, op, base, n, fraction) of differences that enough of a representative's units have.
-    units: repr_id, unit_seq; reprs: repr_id, seq. One row for each unit and difference, counted with partial sums."""
-    each = units.join(reprs, "repr_id").select("repr_id", F.explode(variant_list("seq", "unit_seq")).alias("v")).select("repr_id", "v.*")
-    counts = each.groupBy("repr_id", "pos", "place", "op", "base").agg(F.count(F.lit(1)).alias("n"))
+    units: repr_id, unit_seq; reprs: repr_id, seq. Equal units are aligned once, counts are partial sums."""
+    counted = units.groupBy("repr_id", "unit_seq").agg(F.count(F.lit(1)).alias("n"))
+    counts = pile(counted.filter("unit_seq IS NOT NULL"), reprs, ["repr_id"], "unit_seq", "seq")
     totals = units.groupBy("repr_id").agg(F.count(F.lit(1)).alias("total"))
     return counts.join(totals, "repr_id").withColumn("fraction", F.col("n") / F.col("total")).filter(F.col("fraction") >= least_fraction).drop("total")

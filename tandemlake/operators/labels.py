@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,26 +22,92 @@ def repr_alignments(repr_units: DataFrame) -> DataFrame:
     return half.union(half.filter("i < j").select("target_id", F.col("j"), F.col("i"), "aln_len", "n_diff"))
 
 
-def diagonal_diffs(units: DataFrame, distances: DataFrame, min_units: int = 3) -> DataFrame:
+#: Units of one block of a target's reads, about; two blocks meet in one row.
+BLOCK_UNITS = 768
+_DIFFS = "target_id long, a_read_id long, b_read_id long, shift int, diff double"
+
+
+def _diagonals(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], known: tuple[np.ndarray, ...], min_units: int, same: bool) -> tuple[np.ndarray, ...]:
+    """(a read, b read, shift, diff) of two blocks. A block is (read, ord, label) by read; known is (i, j, length, differences).
+    All pairs of units are one matrix of labels, whose diagonals are summed for each pair of reads at once."""
+    labels, names = np.unique(np.concatenate((known[0], known[1])), return_inverse=True)
+    lengths, diffs = (np.zeros((len(labels), len(labels)), np.int64) for _ in range(2))
+    lengths[names[: len(known[0])], names[len(known[0]) :]] = known[2]
+    diffs[names[: len(known[0])], names[len(known[0]) :]] = known[3]
+
+    def side(x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        reads, number, sizes = np.unique(x[0], return_inverse=True, return_counts=True)
+        at = np.minimum(np.searchsorted(labels, x[2]), max(len(labels) - 1, 0))
+        use = (labels[at] == x[2]) & (sizes[number] >= min_units) if len(labels) else np.zeros(len(number), bool)
+        return reads, sizes, number[use], x[1][use].astype(np.int64), at[use]
+
+    (ra, na, ia, oa, la), (rb, nb, ib, ob, lb) = side(a), side(b)
+    if not len(ia) or not len(ib):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    low = int(oa.min() - ob.max())
+    width = int(oa.max() - ob.min()) - low + 1
+    code = (ia[:, None] * len(rb) + ib) * width + (oa[:, None] - ob - low)
+    later = ra[ia][:, None] > rb[ib]  # the first read of a pair is the one with the lower id
+    looked_up = lambda table: np.where(later, table[lb, la[:, None]], table[la[:, None], lb])
+    n = looked_up(lengths)
+    met = (n > 0) & (ra[ia][:, None] != rb[ib]) & ~(later & same)
+    found, at = np.unique(code[met], return_inverse=True)
+    total = np.bincount(at, n[met], len(found))
+    unlike = np.bincount(at, looked_up(diffs)[met], len(found))
+    pair, shift = found // width, found % width + low
+    x, y = pair // len(rb), pair % len(rb)
+    turned = ra[x] > rb[y]
+    first, second, shift = np.where(turned, rb[y], ra[x]), np.where(turned, ra[x], rb[y]), np.where(turned, -shift, shift)
+    nf, ns = np.where(turned, nb[y], na[x]), np.where(turned, na[x], nb[y])
+    allowed = (shift >= min_units - ns) & (shift <= nf - min_units)
+    return first[allowed], second[allowed], shift[allowed], (unlike / total)[allowed]
+
+
+def diagonal_diffs(units: DataFrame, distances: DataFrame, min_units: int = 3, less_than: float | None = None) -> DataFrame:
     """(target_id, a_read_id, b_read_id, shift, diff): for reads a < b of a target and every shift that pairs min_units or
-    more of their units, the share of differing columns over all pairs. units: target_id, read_id, unit_ord, repr_id."""
-    sides = {x: units.select("target_id", F.col("read_id").alias(f"{x}_read_id"), F.col("unit_ord").alias(f"{x}_ord"), F.col("repr_id").alias(f"{x}_repr")) for x in "ab"}
-    pairs = sides["a"].join(sides["b"], "target_id").filter("a_read_id < b_read_id")
-    known = distances.select("target_id", F.col("i").alias("a_repr"), F.col("j").alias("b_repr"), "aln_len", "n_diff")
-    summed = pairs.join(known, ["target_id", "a_repr", "b_repr"]).groupBy("target_id", "a_read_id", "b_read_id", (F.col("a_ord") - F.col("b_ord")).alias("shift")).agg(
-        F.sum("n_diff").alias("n_diff"), F.sum("aln_len").alias("aln_len")
-    )
-    sizes = units.groupBy("target_id", "read_id").agg(F.count(F.lit(1)).alias("n"))
-    for x in "ab":
-        summed = summed.join(sizes.select("target_id", F.col("read_id").alias(f"{x}_read_id"), F.col("n").alias(f"n{x}")), ["target_id", f"{x}_read_id"])
-    allowed = summed.filter((F.col("na") >= min_units) & (F.col("nb") >= min_units) & F.col("shift").between(min_units - F.col("nb"), F.col("na") - min_units))
-    return allowed.select("target_id", "a_read_id", "b_read_id", "shift", (F.col("n_diff") / F.col("aln_len")).alias("diff"))
+    more of their units, the share of differing columns over all pairs; with less_than only where it is less.
+    units: target_id, read_id, unit_ord, repr_id. Pairs of labels that distances lacks count for nothing.
+
+    A target's reads are dealt into blocks of about BLOCK_UNITS units. Every two blocks meet in a row of their own, on
+    which numpy sums the diagonals; so there is no row for each pair of units, and a deep target is many tasks' work."""
+    sizes = units.groupBy("target_id").agg(F.count(F.lit(1)).alias("n")).select("target_id", F.ceil(F.col("n") / BLOCK_UNITS).cast("int").alias("blocks"))
+    placed = units.join(sizes, "target_id").withColumn("block", F.pmod(F.xxhash64("read_id"), F.col("blocks")).cast("int"))
+    unit = F.struct(F.col("read_id").cast("long").alias("r"), F.col("unit_ord").cast("int").alias("o"), F.col("repr_id").cast("int").alias("l"))
+    packed = placed.groupBy("target_id", "blocks", "block").agg(F.sort_array(F.collect_list(unit)).alias("u"))
+    arrays = lambda x: [F.col(f"u.{f}").alias(f"{x}{f}") for f in "rol"]
+    others = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j")
+    a = packed.select("target_id", F.col("block").alias("i"), others, *arrays("a"))
+    earlier = F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i")
+    b = packed.select("target_id", earlier, F.col("block").alias("j"), *arrays("b"))
+    known = distances.groupBy("target_id").agg(F.collect_list(F.struct(*(F.col(c).cast("int").alias(c) for c in ("i", "j", "aln_len", "n_diff")))).alias("k"))
+    known = known.select("target_id", *(F.col(f"k.{c}").alias(f"k_{c}") for c in ("i", "j", "aln_len", "n_diff")))
+    rows = spread(a.join(b, ["target_id", "i", "j"]), "target_id", "i", "j").join(known, "target_id")
+    rows = rows.select(F.col("target_id").cast("long").alias("target_id"), *(c for c in rows.columns if c != "target_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: batch.column(c) for c in batch.schema.names if c not in ("target_id", "i", "j")}
+            flat = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
+            ends = {c: np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))) for c, x in lists.items()}
+            targets, same = batch.column("target_id").to_numpy(), batch.column("i").to_numpy() == batch.column("j").to_numpy()
+            out = []
+            for k in range(batch.num_rows):
+                part = {c: x[ends[c][k] : ends[c][k + 1]] for c, x in flat.items()}
+                one = _diagonals(*(tuple(part[f"{x}{f}"] for f in "rol") for x in "ab"), tuple(part[f"k_{c}"] for c in ("i", "j", "aln_len", "n_diff")), min_units, bool(same[k]))
+                if less_than is not None:
+                    one = tuple(x[one[3] < less_than] for x in one)
+                out.append((np.full(len(one[0]), targets[k]), *one))
+            if out:
+                t, x, y, s, d = (np.concatenate(c) for c in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(x), pa.array(y), pa.array(s.astype(np.int32)), pa.array(d)], [c.split()[0] for c in _DIFFS.split(", ")])
+
+    return rows.mapInArrow(run, _DIFFS)
 
 
 def labelled_overlaps(units: DataFrame, reads: DataFrame, repr_units: DataFrame, min_units: int = 3, max_units_diff: float = 0.01, max_seq_diff: float = 0.02) -> DataFrame:
     """Overlaps of labelled reads. units: schemas.LABELED_UNITS; reads: target_id, read_id, strand, seq, length as oriented
     for the target. diff is that of the labels. The result has a forward, is distinct, and reads overlap once for each shift."""
-    found = diagonal_diffs(units, repr_alignments(repr_units), min_units).filter(F.col("diff") < max_units_diff)
+    found = diagonal_diffs(units, repr_alignments(repr_units), min_units, max_units_diff)
     ends = found.withColumns({"a_ord": F.greatest("shift", F.lit(0)), "b_ord": F.greatest(-F.col("shift"), F.lit(0))})
     for x in "ab":
         place = units.select("target_id", F.col("read_id").alias(f"{x}_read_id"), F.col("unit_ord").alias(f"{x}_ord"), F.col("start").alias(f"{x}_pos"))

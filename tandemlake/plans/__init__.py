@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandemlake.functions import sequences as S
-from tandemlake.functions.kernels import aligner, composition_log_prob, consensus_agg, variant_list
-from tandemlake.operators import clustering, contigs, detect, encode, graph, labels, overlap_search, overlaps, peaks, simulate, units, views
+from tandemlake.functions.kernels import aligner, variant_list
+from tandemlake.operators import clustering, contigs, detect, encode, graph, labels, overlap_search, overlaps, peaks, pile, simulate, units, views
 from tandemlake.operators.components import kept
 from tandemlake.plans import stand_ins as V
 from tandemlake.schemas import OVERLAP_COLUMNS
@@ -403,22 +403,27 @@ def read_unit_distances(spark, d):
     return views.unit_distances(rows, pairs.select(F.col("o_orderkey").alias("a_read_id"), F.col("next").alias("b_read_id")))
 
 
+@query()
+def brand_consensus(spark, d):
+    """The consensus of the names of each brand's parts, and of all parts: groups of any size."""
+    part = V.table(spark, d, "part").select(F.explode(F.array("p_brand", F.lit("all"))).alias("repr_id"), F.col("p_name").alias("seq"))
+    return pile.consensus_of(part, ["repr_id"])
+
+
 @query()
 def part_name_variants(spark, d):
-    """Differences of each part's name from the consensus of its group, counted. As the units of a cluster are, groups are
-    bounded: each is of twenty parts."""
-    part = V.table(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("repr_id"), F.col("p_name").alias("unit_seq"))
-    reprs = part.groupBy("repr_id").agg(consensus_agg("unit_seq").alias("seq"))
+    """Differences of each part's name from the consensus of its brand, counted."""
+    part = V.table(spark, d, "part").select(F.col("p_brand").alias("repr_id"), F.col("p_name").alias("unit_seq"))
+    reprs = pile.consensus_of(part, ["repr_id"], "unit_seq", "seq")
     return encode.detect_variants(part, reprs, 0.2)
 
 
 @query()
 def composition_likelihoods(spark, d):
-    """Of the types in each group of twenty parts, given their consensus."""
-    part = V.table(spark, d, "part").withColumn("repr_id", F.floor(F.col("p_partkey") / 20))
-    both = part.groupBy("repr_id").agg(F.sort_array(F.collect_set("p_type")).alias("names"))
-    voted = part.groupBy("repr_id").agg(consensus_agg("p_type").alias("cons"))
-    return both.join(voted, "repr_id").select("repr_id", "cons", F.round(composition_log_prob("cons", "names"), 6).alias("log_prob"))
+    """Of all types of each brand's parts, given their consensus."""
+    part = V.table(spark, d, "part").select(F.col("p_brand").alias("repr_id"), F.col("p_type").alias("seq"))
+    voted = kept(pile.consensus_of(part, ["repr_id"]))
+    return voted.join(pile.composition_of(part, voted, ["repr_id"]), "repr_id").select("repr_id", F.col("consensus").alias("cons"), F.round("log_prob", 6).alias("log_prob"))
 
 
 @query()

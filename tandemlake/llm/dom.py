@@ -32,6 +32,7 @@ P_SCOPE = frozenset("td th caption button object".split())
 #: without a partner is one too, so a tag ends at the next '>' whenever the page has one.
 _ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
 _TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*+)({_ATTRIBUTES}(?=>)|[^>]*+)(>?)", re.S)
+_NAME = re.compile(r"(?:^|[\s/])(?:class|id)\s*=", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -56,6 +57,7 @@ TAG_GROUPS = {
     "article": {"article", "main"}, "nav": {"nav", "menu"}, "header": {"header", "hgroup"}, "footer": {"footer"}, "aside": {"aside"},
     "form": {"form", "fieldset", "label", "legend"}, "heading": {"h1", "h2", "h3", "h4", "h5", "h6"}, "paragraph": {"p", "blockquote", "pre"},
     "list": {"ul", "ol", "dl"}, "item": {"li", "dt", "dd"}, "table": {"table", "tbody", "thead", "tr", "td", "th"},
+    "figure": {"figure", "figcaption", "caption"}, "part": {"section", "div"},
 }
 _TAG_GROUP = {t: k for k, ts in enumerate(TAG_GROUPS.values()) for t in ts}
 INHERITED_TAGS = [list(TAG_GROUPS).index(x) for x in ("article", "nav", "header", "footer", "aside", "form")]
@@ -200,7 +202,7 @@ class Tree:
 FEATURES = (
     [f"tag_{x}" for x in TAG_GROUPS] + [f"token_{x}" for x in TOKENS] + [f"above_{x}" for x in TOKENS]
     + [f"under_{x}" for x in ("article", "nav", "header", "footer", "aside", "form")]
-    + ["depth", "chars", "words_a_text", "link_share", "density", "stops", "share", "of_parent", "before", "siblings", "sibling_place", "sibling_paragraphs", "parent_paragraph_chars", "children"]
+    + ["depth", "chars", "words_a_text", "link_share", "density", "stops", "share", "of_parent", "before", "siblings", "sibling_place", "sibling_paragraphs", "parent_paragraph_chars", "children", "named", "kin"]
 )
 
 
@@ -251,6 +253,11 @@ def node_features(tree: Tree) -> np.ndarray:
         under[k] = under[p] | (1 << groups[p] if groups[p] >= 0 else 0)
         depth[k] = depth[p] + 1
     whole = max(1, chars[0])
+    named = [_NAME.search(a) is not None if "=" in a else False for a in tree.attributes]
+    kinds: dict[tuple[int, str], int] = {}
+    for p, t in zip(parent, tree.tag, strict=True):
+        kinds[p, t] = kinds.get((p, t), 0) + 1
+    kin = [kinds[p, t] for p, t in zip(parent, tree.tag, strict=True)]  # elements of one kind under one parent
     out = np.zeros((n, len(FEATURES)), np.float32)
     bits, g = len(TOKENS), len(TAG_GROUPS)
     gathered = np.array(groups)
@@ -264,7 +271,7 @@ def node_features(tree: Tree) -> np.ndarray:
     paragraph_count = np.array(paragraphs)
     columns = (
         depth, np.log1p(c), np.array(words) / t, np.array(links) / np.maximum(c, 1), np.log1p(c / e), 100 * np.array(stops) / np.maximum(c, 1), c / whole, c / np.maximum(c[up], 1),
-        np.array(before_text) / whole, np.array(children)[up], np.array(place) / np.maximum(np.array(children)[up], 1), paragraph_count[up], np.log1p(np.array(own_paragraph)[up]), children,
+        np.array(before_text) / whole, np.array(children)[up], np.array(place) / np.maximum(np.array(children)[up], 1), paragraph_count[up], np.log1p(np.array(own_paragraph)[up]), children, named, kin,
     )
     for k, column in enumerate(columns):
         out[:, g + 2 * bits + 6 + k] = column

@@ -3,7 +3,8 @@
 Every block element of the page's tree gets a probability of being main text, from its tag, its attribute tokens
 and those above it, the density of its subtree, its depth and its siblings (dom.py). Decoding then chooses for
 each element, from the leaves up, whether all of it stays, all of it goes, or its children decide; so no element
-that goes has a descendant that stays, nor the reverse.
+that goes has a descendant that stays, nor the reverse. Losing main text weighs more than keeping other text (LOSS); the
+own text of menus, footers, sidebars and forms never stays; where nothing would stay, `remainder` decides.
 
 The trees are trained here, on pages that `training_page` writes by rule: many layouts, with and without telling
 tags and attributes, whose main text is known. TRAINING_PAGES bounds that set.
@@ -26,14 +27,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemlake.llm.common import small_batches, table, text_slices
-from tandemlake.llm.dom import Tree, node_features
+from tandemlake.llm.dom import TOKENS, Tree, node_features
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 2500
 #: Share of them that are bare text.
 BARE = 0.12
-TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
+TREES, DEPTH, RATE, BINS, SAMPLE = 60, 6, 0.2, 32, 0.4
 #: What leaving a choice to the children costs, in log-probability.
 MIXED = -0.7
+#: Losing main text weighs more than keeping other text: an element goes only at odds of e^LOSS to one.
+LOSS = 0.25
+#: Elements, and names of elements, that hold no main text.
+ASIDE = frozenset("nav menu header footer aside form".split())
+#: Those whose own text never is, whatever the trees say, and by what odds (the logarithm); what lies in them may be.
+NEVER_MAIN, SURE = frozenset("nav menu footer aside form".split()), 6.0
+NAMED_ASIDE = frozenset("menu header footer side advert notice form social".split())
 
 
 @dataclass
@@ -58,17 +66,21 @@ class Boosted:
 
 
 def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
-    """Logistic loss, second-order leaf values, histogram splits on at most BINS quantiles of each feature."""
+    """Logistic loss, second-order leaf values, histogram splits on at most BINS quantiles of each feature. Each tree sees
+    SAMPLE of the rows, drawn with a seed of its own."""
     n, width = x.shape
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(width)]
-    binned = np.column_stack([np.searchsorted(edges[k], x[:, k], "left") for k in range(width)])
+    binned = np.stack([np.searchsorted(edges[k], x[:, k], "left") for k in range(width)])
     inner, leaves = 2**DEPTH - 1, 2**DEPTH
     model = Boosted(np.zeros((trees, inner), np.int64), np.full((trees, inner), np.inf), np.zeros((trees, leaves)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))))
     margin = np.full(n, model.start)
     for tree in range(trees):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p) + 1e-9
-        at = np.zeros(n, np.int64)
+        chosen = np.random.default_rng(tree).random(n) < SAMPLE
+        p = 1 / (1 + np.exp(-margin[chosen]))
+        g, h = p - y[chosen], p * (1 - p) + 1e-9
+        seen, bins = x[chosen], binned[:, chosen]
+        rows = np.arange(len(seen))
+        at = np.zeros(len(seen), np.int64)
         for level in range(DEPTH):
             base, count = 2**level - 1, 2**level
             own = at - base
@@ -77,7 +89,7 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
                 cells = len(edges[k]) + 1
                 if cells < 2:
                     continue
-                code = own * cells + binned[:, k]
+                code = own * cells + bins[k]
                 gs = np.bincount(code, g, count * cells).reshape(count, cells).cumsum(axis=1)
                 hs = np.bincount(code, h, count * cells).reshape(count, cells).cumsum(axis=1)
                 ga, ha = gs[:, -1:], hs[:, -1:]
@@ -87,10 +99,11 @@ def fit_boosted(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Boosted:
                 for node in np.flatnonzero(gain[np.arange(count), split] > best):
                     best[node] = gain[node, split[node]]
                     model.features[tree, base + node], model.thresholds[tree, base + node] = k, edges[k][split[node]]
-            at = 2 * at + 1 + (x[np.arange(n), model.features[tree, at]] > model.thresholds[tree, at])
+            at = 2 * at + 1 + (seen[rows, model.features[tree, at]] > model.thresholds[tree, at])
         leaf = at - inner
         model.leaves[tree] = -RATE * np.bincount(leaf, g, leaves) / (np.bincount(leaf, h, leaves) + 1)
-        margin += model.leaves[tree, leaf]
+        one = Boosted(model.features[tree : tree + 1], model.thresholds[tree : tree + 1], model.leaves[tree : tree + 1], 0.0)
+        margin += one.margins(x)
     return model
 
 
@@ -138,31 +151,57 @@ def training_page(seed: int) -> str:
         one = lambda: r.choice((f"<li><b>{word()}</b><p>{sentences(1, 5)}</p></li>", f"<div class='{r.choice(('comment', 'reply', 'c'))}'><p>{sentences(1, 5)}</p></div>", f"<p>{sentences(1, 4)}</p>"))
         return mark(r.choice(("section", "div", "ol", "div")), 0, f"<h3>{words(1, 3)}</h3>" * r.randint(0, 1) + "".join(one() for _ in range(r.randint(1, 6))), "comments", "comment-list", "discussion", "reader-comments", "replies")
 
+    link = lambda a, b: f"<a href='/{word()}'>{words(a, b)}</a>"
+    name = lambda *names: f" {r.choice(('class', 'id'))}='{r.choice(names)}'" if r.random() < 0.6 else ""
+    kinds = ("ul", "ol", "ol")
+    #: Main text that looks like something else: lists of sources, paragraphs that are links, captions, boxes.
+    ODD = (
+        lambda: f"<{(t := r.choice(kinds))}{name('references', 'notes', 'sources', 'footnotes', 'further-reading', 'x')}>" + "".join(f"<li>{r.choice((link(3, 14), link(2, 9), words(1, 6) + '. ' + link(1, 8) + '.'))}</li>" for _ in range(r.randint(2, 9))) + f"</{t}>",
+        lambda: f"<p{name('link', 'source', 'more', 'ref', 'p')}>{link(2, 14)}</p>",
+        lambda: f"<p>{link(1, 8)}, {link(1, 8)}.</p>",
+        lambda: f"<figure{name('image', 'wide', 'media', 'photo')}><img src='/x.png'><figcaption{name('caption', 'credit')}>{r.choice((sentences(1, 2), words(1, 9)))}</figcaption></figure>",
+        lambda: f"<section{name('highlights', 'summary', 'intro', 'key-points', 'note', 'chapter', 'lead', 'box', 'infobox', 'part')}>{wordy()}</section>",
+        lambda: f"<div{name('highlight', 'pullquote', 'excerpt', 'alert-text', 'info', 'more-text', 'top-story', 'row', 'b2')}><p>{sentences(1, 4)}</p></div>",
+        lambda: f"<dl><dt>{words(1, 3)}</dt><dd>{sentences(1, 2)}</dd><dt>{words(1, 3)}</dt><dd>{sentences(1, 1)}</dd></dl>",
+        lambda: f"<pre>{words(3, 30)}</pre>",
+        lambda: f"<h{r.choice('3456')}>{words(1, 7)}</h3>",
+    )
+
     def body() -> str:
+        if r.random() < 0.12:  # a very short article
+            return r.choice(("", f"<h1 data-main='1'>{words(1, 5)}</h1>")) + f"<p data-main='1'>{r.choice((words(1, 4).capitalize() + '.', sentences(1, 1)))}</p>"
         out = [f"<{r.choice(('h1', 'h1', 'h2'))}>{words(2, 12).capitalize()}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.choice((1, 2, 4, 8, 14))):
             kind = r.random()
-            if kind < 0.7:
+            if kind < 0.62:
                 out.append(f"<p>{sentences(1, r.choice((1, 1, 4, 9)))}</p>" if r.random() < 0.9 else f"<p>{sentences(1, 5)}")
-            elif kind < 0.78:
+            elif kind < 0.68:
                 out.append(f"<p><b>{sentences(1, 2)}<br>")
-            elif kind < 0.84:
-                out.append("<ul>" + "".join(f"<li>{sentences(1, 1)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
-            elif kind < 0.88:
+            elif kind < 0.73:
+                out.append("<ul>" + "".join(f"<li>{sentences(1, 1) if r.random() < 0.7 else words(1, 3)}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            elif kind < 0.77:
                 out.append(f"<blockquote>{sentences(1, 3)}</blockquote>")
-            elif kind < 0.92:
+            elif kind < 0.81:
                 out.append(f"<h2>{words(1, 6)}</h2>")
-            elif kind < 0.95:
+            elif kind < 0.84:
                 out.append(f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 9)}</td></tr></table>")
+            elif kind < 0.96:
+                out.append(r.choice(ODD)())
             else:
                 out.append(f"<p>{words(2, 6)} <a href='/x'>{words(1, 4)}</a> {sentences(1, 2)}</p>")
+        if r.random() < 0.08:
+            out = [re.sub(r"^<p>(.*)</p>$", r"<div>\1</div>", x) for x in out]
         for k in range(len(out)):  # every block on its own says that it is main text
             out[k] = re.sub(r"^<(\w+)", r'<\1 data-main="1"', out[k])
             if r.random() < 0.06:
                 out[k] += r.choice((advert, share, form, side, notice))()
         return "".join(out)
 
+    #: Names of what holds an article, some of which tell of something else too.
+    held = lambda: r.choice(("content", "post", "entry", "article", "main", "page", "story", "comment", "news", "single", "blog")) + "-" + r.choice(("wrap", "wrapper", "sidebar-wrap", "with-sidebar", "no-sidebar", "area", "piece", "inner", "col", "block", "header-wrap", "text", "holder"))
     article = body()
+    if r.random() < 0.12:
+        article = mark(r.choice(("div", "div", "section")), None, article, held())
     inner = r.random()
     if inner < 0.55:
         article = mark("article", None, article, "post", "entry", "story")
@@ -173,7 +212,7 @@ def training_page(seed: int) -> str:
     elif r.random() < 0.25:
         article += comments()
     if r.random() < 0.3:
-        article = mark(r.choice(("main", "div")), None, article, "content", "main", "wrapper", "container")
+        article = mark(r.choice(("main", "div")), None, article, "content", "main", "wrapper", "container", held(), held())
     head = [x() for x, p in ((notice, 0.2), (header, 0.35), (menu, 0.75), (advert, 0.5)) if r.random() < p]
     tail = [x() for x, p in ((share, 0.15), (side, 0.3), (form, 0.2), (advert, 0.2), (footer, 0.8), (notice, 0.15)) if r.random() < p]
     if r.random() < 0.3:
@@ -181,7 +220,7 @@ def training_page(seed: int) -> str:
         r.shuffle(tail)
     page = "".join(head) + article + "".join(tail)
     if r.random() < 0.25:
-        page = mark("div", None, page, "wrapper", "page", "site", "container")
+        page = mark("div", None, page, "wrapper", "page", "site", "container", held())
     return f"<!DOCTYPE html><html><head><title>{words(2, 8)}</title><script>var x='</p>';</script></head><body>{page}</body></html>"
 
 
@@ -216,6 +255,9 @@ def trained() -> Boosted:
 def decode(tree: Tree, margins: np.ndarray) -> list[bool]:
     """For each block of text whether it stays: the best consistent choice for all elements."""
     n = len(tree.tag)
+    margins = margins + LOSS
+    sure = np.array([t in NEVER_MAIN for t in tree.tag])
+    margins = np.where(sure, np.minimum(margins, -SURE), margins)
     keep = -np.logaddexp(0, -margins)
     drop = -np.logaddexp(0, margins)
     has_text = np.zeros(n, bool)
@@ -236,7 +278,22 @@ def decode(tree: Tree, margins: np.ndarray) -> list[bool]:
     for k in range(n):
         above = state[tree.parent[k]] if k else 0
         state[k] = above or (1 if keep_all[k] >= best[k] else -1 if drop_all[k] >= best[k] else 0)
-    return [state[o] > 0 or (state[o] == 0 and margins[o] > 0) for o in tree.owner]
+    stays = [state[o] > 0 or (state[o] == 0 and margins[o] > 0) for o in tree.owner]
+    return stays if any(stays) else remainder(tree)
+
+
+def remainder(tree: Tree) -> list[bool]:
+    """For a page of which nothing would stay: the blocks with a word that lie in no menu, header, footer, sidebar, form, notice or
+    advert by tag or by name; among them those outside reader comments, if there are such."""
+    n = len(tree.tag)
+    outside, replies = [False] * n, [False] * n
+    for k in range(1, n):
+        names = {x for j, x in enumerate(TOKENS) if tree.attribute_groups(k) >> j & 1}
+        aside = tree.tag[k] in ASIDE or (bool(names & NAMED_ASIDE) and "content" not in names)
+        outside[k], replies[k] = outside[tree.parent[k]] or aside, replies[tree.parent[k]] or "comment" in names
+    wordy = [not outside[o] and re.search(r"\w", t) is not None for t, o in zip(tree.texts, tree.owner, strict=True)]
+    plain = [w and not replies[o] for w, o in zip(wordy, tree.owner, strict=True)]
+    return plain if any(plain) else wordy
 
 
 def extract(pages: list[str], model: Boosted) -> list[str]:

@@ -164,6 +164,73 @@ def test_extraction_equals_what_the_writer_marked(spark, tmp_path, model):
     assert lost <= 0.01 * sum(len(x.split("\n\n")) for x in truth.values())
 
 
+# Pages written by hand: a menu, an article of some kind, a footer; with the blocks that must be found, in any order, and no others.
+P = ["The first paragraph tells what happened in the town, and why.","A second one follows, with more on the matter.","Nobody knew of it before, said the mayor, who had come late.","Then the rain set in. It lasted for days.","A fifth closes the story."]
+def page(inner: str) -> str:
+    return f'<html><head><title>x</title></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact us</a></li></ul></nav>{inner}<footer>&copy; 2020 The Paper. All rights reserved.</footer></body></html>'
+PS = "".join(f"<p>{x}</p>" for x in P)
+HANDWRITTEN = {
+'refs': (f'<article><h1>Title of it</h1>{PS}<h2>References</h2><ol>'+"".join(f'<li><a href="/r{k}">Smith and others, a study of rain number {k}</a></li>' for k in range(6))+'</ol></article>', P+["Title of it","References"]+[f"Smith and others, a study of rain number {k}" for k in range(6)]),
+'refs_ul': (f'<article>{PS}<ul>'+"".join(f'<li><a href="/r{k}">Source {k}</a></li>' for k in range(6))+'</ul></article>', P+[f"Source {k}" for k in range(6)]),
+'linkp': (f'<article>{PS}<p><a href="/x">Read the full report of the committee here</a></p></article>', P+["Read the full report of the committee here"]),
+'linkp_mid': (f'<article><p>{P[0]}</p><p><a href="/x">The report</a></p><p>{P[1]}</p></article>', P[:2]+["The report"]),
+'figcap': (f'<article>{PS}<figure><img src=a><figcaption>The town hall in the rain.</figcaption></figure></article>', P+["The town hall in the rain."]),
+'figcap2': (f'<article><figure><img src=a><figcaption>Photo: A. Miller</figcaption></figure>{PS}</article>', P+["Photo: A. Miller"]),
+'highl': (f'<article>{PS}<section class="highlights"><p>Rain lasted for nine days in all.</p></section></article>', P+["Rain lasted for nine days in all."]),
+'short': ('<article><p>Short one.</p></article>', ["Short one."]),
+'short2': ('<article><h1>News</h1><p>Short one.</p></article>', ["News","Short one."]),
+'short3': ('<main><p>Hello there.</p></main>', ["Hello there."]),
+'short4': ('<div id="content"><p>Hello there.</p></div>', ["Hello there."]),
+'commentpiece': (f'<div class="comment-piece">{PS}<p>{P[0]} Again.</p></div>', P+[P[0]+" Again."]),
+'csw': (f'<div class="content-sidebar-wrap">{PS}</div>', P),
+'csw2': (f'<div class="content-sidebar-wrap"><article>{PS}</article><aside class="sidebar"><h3>Popular</h3><ul><li><a href=/>One</a></li><li><a href=/>Two</a></li></ul></aside></div>', P),
+'nosidebar': (f'<div class="page no-sidebar"><div class="entry">{PS}</div></div>', P),
+'articlehdr': (f'<article><header><h1>Title here</h1></header>{PS}</article>', P),
+'comments': (f'<article>{PS}</article><section class="comments"><h3>Comments</h3><div class="comment"><p>I liked it a lot, thanks.</p></div><div class="comment"><p>Me too, it was good.</p></div></section>', P),
+'comments_in': (f'<article>{PS}<div class="comments"><p>I liked it.</p><p>So did I.</p></div></article>', P),
+'ad_in': (f'<article><p>{P[0]}</p><div class="ad">Buy our shoes now.</div>'+"".join(f"<p>{x}</p>" for x in P[1:])+'</article>', P),
+'table': (f'<article>{PS}<table><tr><th>Day</th><th>Rain</th></tr><tr><td>Monday</td><td>12 mm</td></tr><tr><td>Tuesday</td><td>9 mm</td></tr></table></article>', P+["Day","Rain","Monday","12 mm","Tuesday","9 mm"]),
+'quote': (f'<article>{PS}<blockquote>It was wet.</blockquote></article>', P+["It was wet."]),
+'dl': (f'<article>{PS}<dl><dt>Rain</dt><dd>Water that falls.</dd></dl></article>', P+["Rain","Water that falls."]),
+'pre': (f'<article>{PS}<pre>x = 1 + 2</pre></article>', P+["x = 1 + 2"]),
+'h3s': ('<article>'+"".join(f"<h3>Part {k}</h3><p>{x}</p>" for k,x in enumerate(P))+'</article>', P+[f"Part {k}" for k in range(5)]),
+'sections': ('<main>'+"".join(f"<section id=s{k}><h2>Part {k}</h2><p>{x}</p></section>" for k,x in enumerate(P))+'</main>', P+[f"Part {k}" for k in range(5)]),
+'cookie': (f'<div class="cookie-banner"><p>We use cookies to make this site better.</p><button>OK</button></div><article>{PS}</article>', P),
+'newsletter': (f'<article>{PS}</article><form class="newsletter"><p>Get our letter every week.</p><input name=m></form>', P),
+'share': (f'<article>{PS}<div class="share"><a href=#>Tweet</a> <a href=#>Share</a></div></article>', P),
+'related': (f'<article>{PS}</article><aside class="related"><h3>More</h3><ul><li><a href=/>Another story of the rain</a></li><li><a href=/>A third story</a></li></ul></aside>', P),
+'list': (f'<article><h1>Ten things</h1><ul><li>Bread</li><li>Milk</li><li>Eggs from the farm.</li></ul></article>', ["Ten things","Bread","Milk","Eggs from the farm."]),
+'divs': ('<div class="x"><div>'+'</div><div>'.join(P)+'</div></div>', P),
+'linkinp': (f'<article><p>See <a href=/>the report</a> and <a href=/>the other</a>.</p>{PS}</article>', P+["See the report and the other."]),
+'alert-text': (f'<article>{PS}<div class="alert-text"><p>Stay at home, the river rises.</p></div></article>', P+["Stay at home, the river rises."]),
+'top-story': (f'<div class="top-story"><h1>Big</h1>{PS}</div>', P+["Big"]),
+'lead': (f'<article><p class="lead">{P[0]}</p><p class="note">{P[1]}</p></article>', P[:2]),
+'more-link': (f'<article>{PS}<p class="more"><a href="/y">Part two of this story</a></p></article>', P+["Part two of this story"]),
+'only-links': ('<article><h1>Links of the week</h1><ul>'+"".join(f'<li><a href="/l{k}">A long title of a linked story, number {k}</a></li>' for k in range(5))+'</ul></article>', ["Links of the week"]+[f"A long title of a linked story, number {k}" for k in range(5)]),
+}
+
+
+@pytest.mark.parametrize("kind", sorted(HANDWRITTEN))
+def test_handwritten_pages(model, kind):
+    inner, wanted = HANDWRITTEN[kind]
+    found = op8.extract([page(inner)], model)[0].split("\n\n")
+    assert sorted(set(found) - {"Title here"}) == sorted(set(wanted))
+
+
+def test_a_page_of_which_the_trees_would_keep_nothing(model):
+    """Wordy blocks outside menu, footer and form stay; reader comments only if there is nothing else."""
+    tree = Tree(page(f"<div class='comments'><p>{P[0]}</p></div><div class='x'><p>{P[1]}</p></div><form><p>{P[2]}</p></form>"))
+    kept = lambda t: [x for x, stays in zip(t.texts, op8.decode(t, np.full(len(t.tag), -9.0)), strict=True) if stays]
+    assert kept(tree) == [P[1]]
+    assert kept(Tree(page(f"<div class='comments'><p>{P[0]}</p></div>"))) == [P[0]]
+    assert kept(Tree(page(""))) == [] and kept(Tree("")) == []
+
+
+def test_a_form_around_the_page(model):
+    whole = page(f"<article><h1>Title of it</h1>{PS}</article>")
+    assert op8.extract([whole.replace("<body>", "<body><form>").replace("</body>", "</form></body>")], model) == op8.extract([whole], model)
+
+
 def capture(i, url, ts, kind, headers=None, digest=None):
     return (i, url, ts, kind, digest, 5 if kind == "response" else None, headers)
 

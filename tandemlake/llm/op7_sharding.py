@@ -6,9 +6,10 @@ on shards: first by giving the largest slots to the least loaded shard, later by
 must. Since the slots are even in number of records and thousands for each shard, shards come out near equal in bytes:
 two of them differ by the bytes of the largest slot at most.
 
-The law is `bytes`, for rows one by one: equal texts under different ids hash apart and are not held together. Rows equal
-in id and text share a slot as long as that slot is small; where more than HOT_ROWS rows of a slot hold over 1/HOT_PARTS
-of a shard, each of its rows hashes anew together with its place in the table, so that repeated rows spread like others.
+The law is `bytes`, for rows one by one: equal texts under different ids hash apart and are not held together. A row's
+virtual slot is a hash of its id, size, checksum and copy number, which counts rows that are equal in these; so it depends on no
+other row, nor on how the table is parted, and repeated rows spread like others. Equal rows are counted first and
+numbered in stretches of COPIES, so a row that makes up a third of the table is many tasks' work.
 
 A row's place in its shard is the number of rows in the shard's earlier slots plus its place in its own slot;
 no window spans more than one virtual slot.
@@ -29,22 +30,19 @@ from tandemlake.llm.common import cut, shared_folder, table
 
 VIRTUAL_SLOTS = 8192
 SHARDS = 16
-#: A slot is hot with more rows than this that hold more than this part of a shard: at most SHARDS * HOT_PARTS are.
-HOT_ROWS, HOT_PARTS = 64, 64
+#: Equal rows that one step numbers.
+COPIES = 20_000
 
 
-def records(docs: DataFrame, slots: int = VIRTUAL_SLOTS, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32 and vslot of each row; computed once, as places in the table may change between readings."""
+def records(docs: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32 and vslot, a row for each row of docs."""
     text = F.coalesce("text", F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     own = ["doc_id", "size", "text_crc32"]
-    slot = lambda *of: F.pmod(F.xxhash64(*of), F.lit(slots)).cast("int")
-    first = cut(sized.withColumns({"at": F.monotonically_increasing_id(), "vslot": slot(*own)}))
-    loads = slot_loads(first)
-    total = loads.agg(F.sum("bytes").alias("total"))
-    hot = loads.filter(F.col("rows") > HOT_ROWS).crossJoin(F.broadcast(total)).filter(F.col("bytes") * shards * HOT_PARTS > F.col("total"))  # one row
-    marked = first.join(F.broadcast(hot.select("vslot", F.lit(True).alias("hot"))), "vslot", "left")
-    return marked.select(*own, F.when(F.col("hot"), slot(*own, "at")).otherwise(F.col("vslot")).alias("vslot"))
+    sized = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    counted = sized.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    dealt = counted.filter(F.col("n") > COPIES).repartition(*own, "first").unionByName(counted.filter(F.col("n") <= COPIES))
+    copies = dealt.select(*own, F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES, "n") - 1)).alias("copy"))
+    return copies.select(*own, F.pmod(F.xxhash64(*own, "copy"), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_loads(rows: DataFrame) -> DataFrame:
@@ -154,6 +152,28 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def slot_map_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maps of three versions over the operator's own slots: the first, one with a further shard, and one rebalanced after
+    every second id has come once more. For each version and shard: rows, bytes, and the rows that came from another
+    shard of the version before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = cut(records(docs))
+    loads = cut(slot_loads(rows))
+    again = docs.filter(F.col("doc_id") % 2 == 0).unionByName(docs)
+    later = cut(slot_loads(records(again)))
+    maps = f"{shared_folder(spark)}/slot-maps-{uuid.uuid4().hex}"
+    store_map(build_map(loads), maps)
+    store_map(grow(stored_map(spark, maps), loads), maps)
+    store_map(rebalance(stored_map(spark, maps), later), maps)
+    out = []
+    for version, own in ((1, loads), (2, loads), (3, later)):
+        before = stored_map(spark, maps, max(1, version - 1)).select("vslot", F.col("shard").alias("from"))
+        placed = own.join(stored_map(spark, maps, version), "vslot").join(before, "vslot")
+        sums = (F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("from") != F.col("shard"), F.col("rows")).otherwise(0)).alias("moved"))
+        out.append(placed.groupBy("version", "shard").agg(*sums))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def slot_map_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edit of a map for one more shard: every slot with its bytes, its shard and its shard afterwards. Slots and the
     first map are plain remainders here, so that SQL can follow."""

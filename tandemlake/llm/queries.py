@@ -23,7 +23,7 @@ from tandemlake.llm.op5_quality_rules import ABLATIONS_SQL, op5_quality_rules, q
 from tandemlake.llm.op5_quality_rules import SQL as QUALITY_SQL
 from tandemlake.llm.op6_warc_revisits import SQL as WARC_SQL
 from tandemlake.llm.op6_warc_revisits import op6_warc_revisits
-from tandemlake.llm.op7_sharding import GROWTH_SQL, op7_sharding, slot_map_growth
+from tandemlake.llm.op7_sharding import GROWTH_SQL, op7_sharding, slot_map_growth, slot_map_history
 from tandemlake.llm.op8_html_extraction import op8_html_extraction
 from tandemlake.llm.op9_token_counts import op9_token_counts
 
@@ -43,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_conversation_repair": op13_conversation_repair,
     "quality_ablations": quality_ablations,
     "slot_map_growth": slot_map_growth,
+    "slot_map_history": slot_map_history,
 }
 
 ORACLE_SQL: dict[str, str] = {

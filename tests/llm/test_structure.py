@@ -14,6 +14,7 @@ from itertools import pairwise
 import numpy as np
 import pytest
 
+from tandemlake.llm import op7_sharding as op7
 from tandemlake.llm import op11_periodic_runs as op11
 from tandemlake.llm import op12_line_dedup as op12
 from tandemlake.llm import op13_conversation_repair as op13
@@ -259,3 +260,33 @@ def test_repaired_turns_are_legal(spark):
         turns.sort(key=lambda x: x.place)
         assert re.fullmatch("(s?(ua)+)?", "".join(x.role[0] for x in turns))
         assert sha("\n".join(f"{x.role}:{x.text}" for x in turns)) == digest[c]
+
+
+# Shards --------------------------------------------------------------------------------------------------------------
+
+def test_slots_depend_on_nothing_but_the_row(spark, folder, monkeypatch):
+    """Adding other rows, hundreds of copies of one among them, or parting the table otherwise moves no row."""
+    monkeypatch.setattr(op7, "COPIES", 100)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    before = rows_of(op7.records(docs))
+    assert rows_of(op7.records(docs.repartition(11, "text"))) == before and sum(before.values()) == docs.count()
+    more = docs.unionByName(spark.createDataFrame([(77, "one row of many copies")] * 700 + [(5000 + k, "new") for k in range(50)], "doc_id long, text string"))
+    after = rows_of(op7.records(more))
+    assert before <= after and sum(after.values()) == docs.count() + 750
+    copies = Counter(slot for (i, _, _, slot), n in after.items() for _ in range(n) if i == 77)
+    assert len(copies) > 600  # spread over the slots
+
+
+def test_maps_of_the_operators_own_rows(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(k, "x" * r.randint(1, 400)) for k in range(3000)] + [(3000, "a repeated row")] * 500
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(x["version"], x["shard"]): x for x in op7.slot_map_history(spark, str(tmp_path)).collect()}
+    total = {v: sum(x["rows"] for (w, _), x in found.items() if w == v) for v in (1, 2, 3)}
+    assert total == {1: 3500, 2: 3500, 3: 3500 + 1500 + 500}
+    sizes = {v: [x["bytes"] for (w, _), x in found.items() if w == v] for v in (1, 2, 3)}
+    assert len(sizes[1]) == 16 and len(sizes[2]) == len(sizes[3]) == 17
+    assert max(sizes[1]) - min(sizes[1]) <= 2 * 401 * 4
+    assert all(x["moved"] == (x["rows"] if shard == 16 else 0) for (v, shard), x in found.items() if v == 2)  # only into the new shard
+    assert all(x["moved"] == 0 for (v, _), x in found.items() if v == 1)
+    assert max(sizes[3]) < 1.03 * sum(sizes[3]) / 17 and 0 < sum(x["moved"] for (v, _), x in found.items() if v == 3) < 0.35 * total[3]

@@ -7,6 +7,7 @@ continuation bytes never fall in an ASCII class, hence byte classes and characte
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -156,11 +157,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where the session names none, one of our own if all of Spark runs in this
-    process (tests); a cluster must name one that all its machines share."""
+    """The folder in spark.checkpoint.dir, which all machines must share. Where the session names none, one of our own, but only
+    in local mode, where all of Spark runs in this process."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
@@ -211,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    state = lambda e: tuple(low(both(e)).agg(F.sum("n"), F.max("n"), F.sum(F.xxhash64("u", "m", "n") % 1_000_000_007)).first())
+    state = lambda e: low(both(e)).agg(F.sum("n"), F.max("n")).first()
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = state(edges)
     while before[0]:
@@ -222,10 +223,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("u <> v").distinct()
         least = low(large)
         small = meet(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        last = edges
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         after = state(edges)
-        if after == before:
-            break
+        if after == before and not edges.join(last, ["u", "v"], "left_anti").limit(1).count():
+            break  # as many edges as before, and no other
         before = after
     own = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").union(own)

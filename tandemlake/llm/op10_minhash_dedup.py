@@ -5,6 +5,7 @@
 2. Texts with equal sets are one class, found by an aggregation with map-side minima.
 3. In each bucket of equal band keys the classes are compared with one centre (the least), on full sets. That
    joins large groups of near copies without any pair among their other members.
+   Sets are made again only for a row of each class that shares a bucket; a filter of fixed size tells these rows.
 4. Buckets whose members are then still in several components are settled exactly: inside bounded blocks of
    such a bucket, every two members of different components are compared on full sets. The main component's
    members meet only the others. Only links leave a block, never pairs.
@@ -39,8 +40,8 @@ from tandemlake.llm.common import LOWER, SPACED_WORD, components, cut, digests,
 MISS, MOST_BANDS = 2.4e-7, 52
 #: Shingles in one block of step 4, on either side.
 BLOCK_SHINGLES = 1 << 18
-#: Candidate classes whose ids are broadcast at most (24 bytes each); beyond, the texts are shuffled.
-BROADCAST_CLASSES = 400_000
+#: Bits of the filter that tells rows of candidates from others, whatever their number; on the driver and in each worker.
+FILTER_BITS = 1 << 26
 
 
 def banding(num: int, den: int) -> tuple[int, int]:
@@ -125,16 +126,43 @@ def _sketched(batches: Iterator[pa.RecordBatch], words: int, shape: tuple[int, i
             )
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _filter_bit(no_id: np.ndarray, i: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return (mix(mix(i.view(np.uint64) + no_id.astype(np.uint64)) ^ t.view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, offsets in text_slices(batch):
+        bits = _filter_bit(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("no_id", "i", "t")))
+        yield pa.RecordBatch.from_arrays([pa.array(bits >> 6), pa.array(np.uint64(1) << (bits & 63).astype(np.uint64)).view(pa.int64())], ["word", "bits"])
+
+
+def row_filter(rows: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, set where a row (no_id, i, t) falls: any row's bit tells that it may be one of them."""
+    words = rows.mapInArrow(_marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch], words: int, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The sets of rows that the filter lets through; of a row that a task meets again, once."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("no_id", "i", "t")]
+        bits = _filter_bit(*keys)
+        chosen = []
+        for k in np.flatnonzero((held[bits >> 6] >> (bits & 63)) & 1).tolist():
+            row = tuple(x[k] for x in keys)
+            if row not in seen:
+                seen.add(row)
+                chosen.append(k)
+        if not chosen:
+            continue
+        for _, data, offsets in text_slices(batch.take(pa.array(chosen))):
             sets, prints = shingle_sets(data, offsets, words)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("a"), part.column("b"), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                ["a", "b", "own_a", "own_b", "shingles"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["a", "b", "shingles"])
 
 
 def _block_links(block: pa.Table, num: int, den: int) -> pa.Table:
@@ -197,12 +225,12 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
 
     candidates = cut(members.select("a", "b").distinct().join(classes.drop("bands", "n"), ["a", "b"]))
     n = candidates.count()
-    wanted = candidates.select("one.no_id", F.coalesce("one.doc_id", F.lit(0)).alias("i"), "one.t", "a", "b")
-    given = docs.select("text", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("i"), F.xxhash64("text").alias("t"))
-    chosen = given.join(F.broadcast(wanted) if n <= BROADCAST_CLASSES else wanted, ["no_id", "i", "t"]).select("text", "a", "b")
-    schema = "a long, b long, own_a long, own_b long, shingles array<long>"
-    sets = chosen.mapInArrow(lambda x: _with_sets(x, words), schema).filter("a = own_a AND b = own_b")
-    sets = cut(sets.select("a", "b", "shingles").dropDuplicates(["a", "b"]).withColumn("node", node()))
+    wanted = candidates.select("one.no_id", F.coalesce("one.doc_id", F.lit(0)).cast("long").alias("i"), "one.t")
+    held = docs.sparkSession.sparkContext.broadcast(row_filter(wanted))
+    given = docs.select("text", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.xxhash64("text").alias("t"))
+    sets = given.mapInArrow(lambda x: _with_sets(x, words, held.value), "a long, b long, shingles array<long>")
+    sets = sets.join(candidates.select("a", "b"), ["a", "b"]).dropDuplicates(["a", "b"])
+    sets = cut(sets.withColumn("node", node()))
 
     pairs = members.select("a", "b", node("centre.a", "centre.b").alias("u")).distinct().filter(F.col("u") != node())
     centres = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))

@@ -75,4 +75,4 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their piece ids and number of pieces."""
     ids = free_name(docs, "ids")
-    return encoded(docs, read_model(spark), ids=ids).withColumn("n_pieces", F.size(ids).cast("long"))
+    return encoded(docs, read_model(spark), ids=ids).withColumn(free_name(docs, "n_pieces"), F.size(ids).cast("long"))

@@ -183,8 +183,10 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the current policy keeps, with their own columns."""
-    own = docs.columns
-    return ledger(docs, keep=own).filter(kept(POLICIES[CURRENT])).select(*own)
+    names = {c: f"own_{k}_{c}" for k, c in enumerate(docs.columns)}  # so that none bears the name of a measure
+    renamed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    passed = ledger(renamed, names["text"], list(names.values())).filter(kept(POLICIES[CURRENT]))
+    return passed.select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()))
 
 
 _WHITE = r"\x20\x09-\x0D"

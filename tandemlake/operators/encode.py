@@ -79,6 +79,18 @@ def encode_reads(reads: DataFrame, reprs: list[tuple[int, str, int, int]], **opt
     return reads.select("read_id", "seq").mapInPandas(run, ENCODINGS)
 
 
+def encode_with(reads: DataFrame, **options: float) -> DataFrame:
+    """ENCODINGS of reads that bring representatives of their own: `reprs`, an array of (repr_id, seq, low, high)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = ([(int(r["repr_id"]), r["seq"], int(r["low"]), int(r["high"])) for r in rs] for rs in frame["reprs"])
+            rows = [(i, *x) for i, s, rs in zip(frame["read_id"], frame["seq"], own, strict=True) if s for x in encode_read(s, rs, **options)]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ENCODINGS.split(", ")])
+
+    return reads.select("read_id", "seq", "reprs").mapInPandas(run, ENCODINGS)
+
+
 def cover_rates(encodings: DataFrame, reads: DataFrame) -> DataFrame:
     sums = encodings.groupBy("read_id").agg(F.sum("length").alias("covered"))
     return reads.join(sums, "read_id").select("read_id", F.round(F.col("covered") / F.length("seq"), 2).alias("cover_rate"))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandemlake.functions import sequences as S
 from tandemlake.functions.kernels import aligner, variant_list
-from tandemlake.operators import clustering, contigs, detect, encode, graph, labels, overlap_search, overlaps, peaks, pile, simulate, units, views
+from tandemlake.operators import clustering, contigs, detect, encode, graph, labels, overlap_search, overlaps, peaks, pile, units, views
 from tandemlake.operators.components import kept
 from tandemlake.plans import stand_ins as V
 from tandemlake.schemas import OVERLAP_COLUMNS
@@ -438,60 +437,62 @@ def repeat_units(spark, d):
     return detect.find_units(V.reads(spark, d), max_cv=0.2, min_len=60, k=8, min_hits=10, min_distance=10, min_span=60, min_repeat=60)
 
 
-@query()
-def simulated_repeat_units(spark, d):
-    """Units found in simulated repeats of 350 bases, a read for each supplier and nation."""
-    n = V.table(spark, d, "supplier").count() + V.table(spark, d, "nation").count()
-    return detect.find_units(simulate.tandem_reads(spark, n))
-
-
-@lru_cache(maxsize=1)
 def _assembled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Error-free reads of simulated genomes (one, and one more for each hundred suppliers from two hundred on), their units
-    and their overlaps, computed once for the queries that start from them."""
-    genomes = max(1, V.table(spark, d, "supplier").count() // 100)
-    rows = kept(simulate.reads_of_genomes(spark, genomes).select("read_id", "seq", "length"))
-    found = kept(detect.find_units(rows, min_len=600))
-    return rows, found, kept(overlap_search.overlaps_of_reads(found, rows, max_init_diff=0.02, max_diff=0.02))
+    """Reads of the repeats that the benchmark's items spell, their units and their overlaps."""
+    rows = kept(V.genome_reads(spark, d).select("read_id", "seq", "length"))
+    found = kept(detect.find_units(rows, min_len=250, min_hits=15, min_span=150, min_repeat=250))
+    return rows, found, kept(overlap_search.overlaps_of_reads(found, rows))
 
 
-@lru_cache(maxsize=1)
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Clustered units around each read, and the reads as they are turned for it."""
+    """Clustered units around each of these reads, and the reads as they are turned for it."""
     rows, found, near = _assembled(spark, d)
     mates = clustering.involved(near, rows)
     return kept(clustering.clustered(clustering.synchronized(near, found, rows), mates)), mates
 
 
 @query()
-def simulated_overlaps(spark, d):
+def item_units(spark, d):
+    """Units of the reads that spell benchmark items."""
+    return detect.find_units(V.genome_reads(spark, d), min_len=250, min_hits=15, min_span=150, min_repeat=250)
+
+
+@query()
+def item_boundary_matches(spark, d):
+    """Where boundary units of these reads lie in other reads."""
+    rows = V.genome_reads(spark, d).select("read_id", "seq", "length")
+    return overlap_search.boundary_matches(kept(item_units(spark, d)), rows)
+
+
+@query()
+def item_overlaps(spark, d):
     return _assembled(spark, d)[2]
 
 
 @query()
-def simulated_contigs(spark, d):
+def item_contigs(spark, d):
     rows, _, found = _assembled(spark, d)
     paths = graph.simple_paths(graph.transitive_reduction(graph.string_graph(overlaps.best_per_pair(found))))
-    return contigs.consensus_contigs(paths, found, rows)
+    return contigs.consensus_contigs(paths, found, rows, 200)
 
 
 @query()
-def simulated_labels(spark, d):
+def item_labels(spark, d):
     return _labelled(spark, d)[0]
 
 
 @query()
-def simulated_labelled_overlaps(spark, d):
-    """The second pass of overlaps, on the labels of simulated_labels."""
+def item_labelled_overlaps(spark, d):
+    """The second pass of overlaps, on the labels of item_labels."""
     rows, mates = _labelled(spark, d)
     return labels.labelled_overlaps(rows, mates, clustering.repr_units(rows))
 
 
 @query()
-def simulated_encodings(spark, d):
-    """Reads of simulated repeats as copies of one unit of the first."""
-    genome = simulate.hetero_genome("111:0", 300, 30, 4.0, 1500)
-    return encode.encode_reads(_assembled(spark, d)[0], [(0, genome[1500:1800], 285, 315)])
+def item_encodings(spark, d):
+    """Each of these reads as copies of its item's unit."""
+    units_of_items = V.genomes(spark, d).select("item_id", F.array(F.struct(F.lit(0).alias("repr_id"), F.col("unit").alias("seq"), F.lit(V.UNIT - 4).alias("low"), F.lit(V.UNIT + 4).alias("high"))).alias("reprs"))
+    return encode.encode_with(V.genome_reads(spark, d).join(units_of_items, "item_id"))
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tandemlake.functions.sequences import revcomp
 from tandemlake.operators.graph import string_graph
 
 
@@ -96,3 +97,31 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("src_id"), F.lit("E").alias("src_end"), F.col("next").alias("dst_id"), F.lit("E").alias("dst_end"),
         (F.col("o_orderkey") % 97 + 1).cast("int").alias("length"), ((F.col("o_orderkey") % 7) * 1.0).alias("diff"),
     )
+
+
+#: Of the genomes that are made of texts: bases of a unit and of a flank, copies of the unit; of their reads: length and step.
+UNIT, FLANK, COPIES, READ, STEP = 90, 200, 12, 700, 130
+
+
+def genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, unit, genome): a tandem repeat for each benchmark item of UNIT letters or more. Its letters, four by four the
+    same base, make the unit; each copy has another base in one place of its own; flanks are spelt from hashes of the text."""
+    letters = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac")
+    spelt = lambda k: F.translate(F.md5(F.concat("text", F.lit(str(k)))), "0123456789abcdef", "acgtacgtacgtacgt")
+    flank = lambda k: F.substring(F.concat(*(spelt(k + n) for n in range(FLANK // 32 + 1))), 1, FLANK)
+
+    def copied(j):
+        at = (j * 7) % UNIT
+        return F.concat(F.col("unit").substr(F.lit(1), at), F.translate(F.col("unit").substr(at + 1, F.lit(1)), "acgt", "cgta"), F.col("unit").substr(at + 2, F.lit(UNIT)))
+
+    own = table(spark, sf_dir, "benchmark").filter(F.length(letters) >= UNIT).select("item_id", "text", F.substring(letters, 1, UNIT).alias("unit"))
+    copies = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(COPIES)), copied), "")
+    return own.select("item_id", "unit", F.concat(flank(0), copies, flank(100)).alias("genome"))
+
+
+def genome_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read_id, seq, length, item_id, true_start, true_strand): reads of every genome at every STEP bases, each other one reversed."""
+    starts = F.posexplode(F.sequence(F.lit(0), F.length("genome") - READ, F.lit(STEP))).alias("k", "true_start")
+    rows = genomes(spark, sf_dir).select("item_id", "genome", starts).withColumn("piece", F.col("genome").substr(F.col("true_start") + 1, F.lit(READ)))
+    seq = F.when(F.col("k") % 2 == 1, revcomp("piece")).otherwise(F.col("piece"))
+    return rows.select((F.col("item_id") * 100 + F.col("k")).alias("read_id"), seq.alias("seq"), F.lit(READ).alias("length"), "item_id", "true_start", (F.col("k") % 2).alias("true_strand"))

@@ -9,17 +9,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlake.functions.kernels import unit_splits
-from tandemlake.functions.units import SelfAlignment, covering, repeat_spans, self_alignments, units_of
+from tandemlake.functions.units import READ_TYPES, SelfAlignment, covering, repeat_spans, self_alignments, units_of
 
 _CHOSEN = "read_id long, aln_ord int, ab int, ae int, bb int, be int, cigar string"
 
 
-def detect(reads: DataFrame, k: int = 12, min_hits: int = 20, max_diff: float = 0.2) -> DataFrame:
-    """Self-alignments (see schemas.SELF_ALIGNMENTS) of each read. CCS reads bear larger k and smaller max_diff."""
+def settings(read_type: str | None, given: dict) -> dict:
+    """Options of self_alignments: those of the read type (CLR or CCS), where one is named, and over them those given."""
+    if read_type is not None and read_type not in READ_TYPES:
+        raise ValueError(f"unknown read type {read_type}; known are {', '.join(READ_TYPES)}")
+    return {**READ_TYPES.get(read_type or "", {}), **given}
+
+
+def detect(reads: DataFrame, read_type: str | None = None, **options: float) -> DataFrame:
+    """Self-alignments (see schemas.SELF_ALIGNMENTS) of each read, with options of self_alignments."""
+    options = settings(read_type, options)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, *x) for i, s in zip(frame["read_id"], frame["seq"], strict=True) if s for x in self_alignments(s, k, min_hits, max_diff)]
+            rows = [(i, *x) for i, s in zip(frame["read_id"], frame["seq"], strict=True) if s for x in self_alignments(s, **options)]
             yield pd.DataFrame(rows, columns=["read_id", "ab", "ae", "bb", "be", "cigar"])
 
     return reads.select("read_id", "seq").mapInPandas(run, "read_id long, ab int, ae int, bb int, be int, cigar string")
@@ -62,16 +70,15 @@ def cut_units(chosen: DataFrame, max_cv: float = 0.1) -> DataFrame:
     return listed.select("read_id", F.posexplode("units").alias("unit_ord", "u")).select("read_id", "unit_ord", "u.start", "u.end", "u.ulen")
 
 
-def find_units(
-    reads: DataFrame, max_cv: float = 0.1, min_len: int = 1000, k: int = 12, min_hits: int = 20, max_diff: float = 0.2, min_distance: int = 20, min_span: int = 200, min_repeat: int = 500
-) -> DataFrame:
-    """From reads to units in one narrow pass."""
+def find_units(reads: DataFrame, max_cv: float = 0.1, min_len: int = 1000, min_repeat: int = 500, read_type: str | None = None, **options: float) -> DataFrame:
+    """From reads to units in one narrow pass, with options of self_alignments."""
+    options = settings(read_type, options)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for i, seq in zip(frame["read_id"], frame["seq"], strict=True):
-                alns = self_alignments(seq or "", k, min_hits, max_diff, min_distance, min_span)
+                alns = self_alignments(seq or "", **options)
                 rows += [(i, n, s, e, e - s) for n, (s, e) in enumerate(units_of(repeat_spans(alns, min_repeat), alns, max_cv, min_len))]
             yield pd.DataFrame(rows, columns=["read_id", "unit_ord", "start", "end", "ulen"])
 

@@ -355,6 +355,16 @@ def simple_paths(spark, d):
     return graph.simple_paths(V.chains(spark, d)).select("src_id", "dst_id", "length", "diff", "n_edges")
 
 
+@query(f"""{_CHAINS}, s as (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as pos from c where nxt is not null),
+  b as (select o_custkey, pos // 4 as block, count(*) as n_edges, sum(o_orderkey % 97 + 1) as length, arg_min(o_orderkey, pos) as src_id, arg_max(nxt, pos) as dst_id from s group by 1, 2)
+  select cast(block as int) as block, cast(n_edges as int) as n_edges, cast(length as bigint) as length, src_id, dst_id,
+    cast(coalesce(sum(length) over (partition by o_custkey order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as begin from b""")
+def path_blocks(spark, d):
+    """Paths in rows of four edges, with prefix sums."""
+    rows = graph.path_blocks(graph.path_steps(V.chains(spark, d)), 4)
+    return rows.select("block", "n_edges", "length", F.col("first.src_id").alias("src_id"), F.col("last.dst_id").alias("dst_id"), "begin")
+
+
 @query("""with c as (select o_custkey, o_orderkey, o_orderdate, row_number() over w as place, count(*) over (partition by o_custkey) as n from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))
   select string_agg(case when place = 1 then 'order ' || o_orderkey || o_orderpriority_ else right('order ' || o_orderkey || o_orderpriority_, cast(before as int)) end, '' order by place) as seq
   from (select c.*, o.o_orderpriority as o_orderpriority_, lag(c.o_orderkey % 97 + 1) over (partition by c.o_custkey order by place) as before from c join orders o using (o_orderkey)) where n > 1 group by o_custkey""")

@@ -103,3 +103,30 @@ def test_encoding_goes_on_over_masked_and_unknown_bases():
     seq = "N" * 30 + unit + unit[:20] + "N" + unit[21:] + "N" * 30
     rows = encode_read(seq, [(0, unit, 38, 42)], 0.3, 0.2)
     assert [(s, e) for s, e, *_ in rows if e - s > 35] == [(30, 70), (70, 110)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 4096])
+def test_path_blocks_hold_what_paths_do(spark, size):
+    """A long path, a circle and branches: blocks put together are the paths in one row, and their sequences."""
+    from tandemlake.operators import graph
+    from tandemlake.schemas import EDGES
+
+    r = Random(4)
+    ids = list(range(40))
+    rows = [(a, "E", a + 1, "E", r.randint(0, 4), float(r.randint(0, 3))) for a in ids] + [(100 + k, "B", 100 + (k + 1) % 5, "B", 2, 1.0) for k in range(5)] + [(20, "E", 77, "E", 3, 0.0)]
+    edges, reads = spark.createDataFrame(rows, EDGES), spark.createDataFrame([(k, sim.unique_seq(r, 9)) for k in [*range(41), *range(100, 105), 77]], "read_id long, seq string")
+    steps = graph.path_steps(edges).cache()
+    blocks = graph.path_blocks(steps, size).collect()
+    assert all(len(b["edges"]) == b["n_edges"] <= size for b in blocks)
+    whole = graph.simple_paths(edges).collect()
+    found: dict = {}
+    for b in sorted(blocks, key=lambda b: b["block"]):
+        own = found.setdefault(b["path_id"], [])
+        assert b["begin"] == sum(e["length"] for e in own)
+        own += b["edges"]
+    assert sorted(map(str, found.values())) == sorted(str(p["path"]) for p in whole) and 100 in {p["src_id"] for p in whole}
+    pieces: dict = {}
+    for b in sorted(graph.path_sequence_blocks(steps, reads, size).collect(), key=lambda b: b["block"]):
+        assert b["begin"] == len(pieces.get(b["path_id"], ""))
+        pieces[b["path_id"]] = pieces.get(b["path_id"], "") + b["seq"]
+    assert sorted(pieces.values()) == sorted(x["seq"] for x in graph.path_sequences(graph.simple_paths(edges), reads).collect())

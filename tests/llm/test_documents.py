@@ -687,3 +687,19 @@ def test_pipeline_equals_brute_force(spark, docs, folder):
     stage = spark.read.parquet(f"{folder}/documents.parquet")
     for _, one in corpus_pipeline.STAGES[:-1]:
         assert one(spark, stage, folder).columns == stage.columns
+
+
+def test_stages_keep_columns_that_bear_their_names(spark, folder, tmp_path):
+    """By value and type, through all stages."""
+    words = " ".join(f"word{k} of the text" for k in range(30))
+    names = ["n_words", "n_pieces", "fail_bits", "ids", "t", "own_0_doc_id", "candidates", "shingles"]
+    rows = [(k, f"{words} number {k} " + " ".join(f"{k}x{n}" for n in range(60)), "en", "s", 3, *(f"mine {n} {k}" for n in names)) for k in range(4)]
+    now = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, now = now, stage(spark, now, folder)
+        now.write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert now.schema.simpleString() == before.schema.simpleString()
+    found = now.collect()
+    assert len(found) == 4 and {tuple(r[n] for n in names) for r in found} == {tuple(f"mine {n} {k}" for n in names) for k in range(4)}

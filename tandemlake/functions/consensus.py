@@ -67,6 +67,12 @@ def edited(template: str, edits: Iterable[Edit]) -> str:
     return "".join(x + y for x, y in zip(own, kept, strict=True))
 
 
+def elected(seed: str, votes: Counter[Variant], total: int) -> str:
+    """The majority of `total` sequences, one of them the seed, from the counted differences of the others from it."""
+    columns = groupby(sorted(votes.items()), key=lambda row: row[0][:2])
+    return edited(seed, [(*at, column_vote(((v[3], n) for v, n in found), seed[at[0]] if at[1] == 0 else "-", total)) for at, found in columns])
+
+
 def seeded(seqs: Sequence[str], seed_choice: str) -> list[str]:
     """seqs with the seed first: as given, or in descending length with the longest or the median in front."""
     if seed_choice == "original":
@@ -84,9 +90,7 @@ def consensus(seqs: Sequence[str], seed_choice: str = "original", compat: bool =
     if not seqs:
         return ""
     seed, *others = seeded(seqs, seed_choice)
-    rows = sorted(pile(seed, others, compat).items())
-    columns = groupby(rows, key=lambda row: row[0][:2])
-    return edited(seed, [(*at, column_vote(((v[3], n) for v, n in votes), seed[at[0]] if at[1] == 0 else "-", len(seqs))) for at, votes in columns])
+    return elected(seed, pile(seed, others, compat), len(seqs))
 
 
 def polished(seqs: Sequence[str], seed_choice: str = "median", n_iter: int = 1) -> str:
@@ -142,8 +146,13 @@ def log_prob_columns(length: int, total: int, columns: Iterable[Sequence[int]],
 
 def log_prob_composition(cons: str, units: Sequence[str], p: float = 0.001) -> float:
     """log10 multinomial probability of the pile of units over the consensus."""
+    return log_prob_pile(cons, pile(cons, units), len(units), p)
+
+
+def log_prob_pile(cons: str, counted: Counter[Variant], total: int, p: float = 0.001) -> float:
+    """The same from the counted differences of `total` units."""
     columns: dict[tuple[int, int], list[int]] = {}
-    for (pos, place, _, _), n in pile(cons, units).items():
+    for (pos, place, _, _), n in counted.items():
         columns.setdefault((pos, place), []).append(n)
     untouched = len(cons) - len({pos for pos, _ in columns if pos < len(cons)})
-    return log_prob_columns(untouched, len(units), columns.values(), p)
+    return log_prob_columns(untouched, total, columns.values(), p)

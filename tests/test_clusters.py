@@ -8,8 +8,10 @@ from random import Random
 import pytest
 
 from tandemlake.functions import simulate as sim
-from tandemlake.functions.clustering import SplitMerge
+from tandemlake.functions.align import align, align_cyclic
+from tandemlake.functions.clustering import SplitMerge, distance_matrix, ward
 from tandemlake.functions.consensus import consensus, log_prob_composition, log_prob_gen, variants
+from tandemlake.functions.linkage import similar_pairs, ward_cut
 from tandemlake.functions.tally import Tally
 
 
@@ -76,3 +78,43 @@ def test_sampler_makes_the_moves_of_the_plain_one(seed):
     mine.sweep(moved, range(len(units)))
     plain.sweep(again, range(len(units)))
     assert moved == again
+
+
+def turned(units: list[str], seed: int) -> list[str]:
+    r = Random(seed)
+    at = [r.randrange(len(u) + 1) for u in units]
+    return [u[k:] + u[:k] for u, k in zip(units, at, strict=True)]
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+@pytest.mark.parametrize("threshold", [0.0, 0.01, 0.03, 0.08, 0.15, 0.3, 0.6])
+def test_no_pair_within_the_threshold_is_left_out(threshold, cyclic):
+    for seed in range(4):
+        units = ["", "a", "c", "ac", "acgtac", *family(seed, 16, 4, 40)]
+        units = list(dict.fromkeys(turned(units, seed) if cyclic else units))
+        one = align_cyclic if cyclic else align
+        found = list(similar_pairs(units, threshold, cyclic))
+        assert len(found) == len(set(found)) and all(j < i for i, j in found)
+        assert {(i, j) for i in range(len(units)) for j in range(i) if one(units[i], units[j]).diff <= threshold} <= set(found)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.01, 0.03, 0.08, 0.15, 0.3])
+def test_sparse_cut_equals_that_of_the_matrix(threshold):
+    for seed in range(6):
+        units = family(seed, 26, 4, 50)
+        assert ward_cut(units, threshold) == ward(distance_matrix(units), threshold)
+        around = turned(units, seed)
+        assert ward_cut(around, threshold, True) == ward(distance_matrix(around, True), threshold)
+    assert ward_cut([], threshold) == [] and ward_cut(["", "", "a"], threshold) == [0, 0, 1]
+
+
+def test_unlike_units_are_never_aligned(monkeypatch):
+    """A group of thousands of units of a hundred kinds: alignments stay within kinds."""
+    r = Random(5)
+    kinds = [sim.unique_seq(r, 100) for _ in range(100)]
+    units = [u for k in kinds for u in [k] * 60 + [k[:n] + {"a": "c", "c": "g", "g": "t", "t": "a"}[k[n]] + k[n + 1 :] for n in (10, 50, 90)]]
+    calls = []
+    monkeypatch.setattr("tandemlake.functions.linkage.align", lambda x, y: calls.append(1) or align(x, y))
+    labels = ward_cut(units, 0.011)
+    assert len(set(labels)) >= 100 and len(calls) <= 100 * 6
+    assert all(len({labels[63 * k + n] for n in range(60)}) == 1 for k in range(100))

@@ -76,8 +76,9 @@ _REFINED = StructType([StructField("start", IntegerType()), StructField("end", I
 
 
 @F.pandas_udf(_REFINED)
-def _refined(contig: pd.Series, start: pd.Series, seq: pd.Series) -> pd.DataFrame:
-    rows = [refine(c, int(s), r) or (None,) * 4 for c, s, r in zip(contig, start, seq, strict=True)]
+def refined(contig: pd.Series, start: pd.Series, seq: pd.Series) -> pd.DataFrame:
+    known = lambda c, s, r: c is not None and r is not None and not pd.isna(s)
+    rows = [(refine(c, int(s), r) if known(c, s, r) else None) or (None,) * 4 for c, s, r in zip(contig, start, seq, strict=True)]
     return pd.DataFrame(rows, columns=["start", "end", "part", "cigar"]).astype({"start": "Int32", "end": "Int32"})
 
 
@@ -94,7 +95,7 @@ def consensus_contigs(paths: DataFrame, overlaps: DataFrame, reads: DataFrame, w
     spots = spots.filter(F.col("pos") + F.length("read") > 0).withColumn("read", F.when(F.col("strand") == 1, revcomp("read")).otherwise(F.col("read")))
     joined = spots.join(raw, "path_id").withColumn("base", F.greatest(F.col("pos") - 200, F.lit(0)))
     piece = F.expr("substring(seq, int(base) + 1, int(length(read) * 1.2) + 500)")
-    found = joined.select("path_id", "base", _refined(piece, F.col("pos") - F.col("base"), "read").alias("r")).filter("r.start IS NOT NULL")
+    found = joined.select("path_id", "base", refined(piece, F.col("pos") - F.col("base"), "read").alias("r")).filter("r.start IS NOT NULL")
     found = found.select("path_id", (F.col("r.start") + F.col("base")).cast("int").alias("start"), (F.col("r.end") + F.col("base")).cast("int").alias("end"), "r.part", "r.cigar")
     low, high = F.ceil(F.col("start") / window).cast("int"), F.floor(F.col("end") / window).cast("int") - 1
     covered = found.filter(low <= high).withColumn("windows", F.sequence(low, high))

@@ -505,6 +505,26 @@ def item_encodings(spark, d):
     return encode.encode_with(V.genome_reads(spark, d).join(units_of_items, "item_id"))
 
 
+def _item_repeats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Encodings of these reads by item, the reads, and the items' units."""
+    rows = kept(item_encodings(spark, d)).withColumn("repr_id", F.floor(F.col("read_id") / 100).cast("int"))
+    return rows, V.genome_reads(spark, d), V.genomes(spark, d).select(F.col("item_id").cast("int").alias("repr_id"), F.col("unit").alias("seq"))
+
+
+@query()
+def item_variant_vectors(spark, d):
+    """Encodings of item_encodings with the variants that each complete copy of an item's unit has."""
+    return encode.variant_vectors(*_item_repeats(spark, d), 0.04)
+
+
+@query()
+def item_variant_linkage(spark, d):
+    """Which variants of an item's copies go together."""
+    rows, reads, reprs = _item_repeats(spark, d)
+    copies = kept(encode.complete_units(rows, reads))
+    return encode.variant_linkage(kept(encode.variant_lists(copies, reprs, encode.variant_columns(copies, reprs, 0.04))))
+
+
 @query()
 def brand_name_alignments(spark, d):
     """Dot-plot points of neighbouring parts' names."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pytest
 
 from tandemlake import plans
 from tandemlake.functions.align import align, dovetail, revcomp
+from tandemlake.functions.consensus import variants
+from tandemlake.operators import encode
 from tandemlake.operators.encode import encode_read
 from tandemlake.plans import stand_ins as V
 
@@ -88,3 +92,53 @@ def test_encodings_equal_each_reads_own(spark, folder, reads, genomes):
     found = {tuple(r) for r in plans.QUERIES["item_encodings"](spark, folder).collect()}
     assert found == {(i, *x) for i, r in reads.items() for x in encode_read(r["seq"], [(0, genomes[r["item_id"]]["unit"], V.UNIT - 4, V.UNIT + 4)])}
     assert sum(x[-1] == "complete" for x in found) > 2 * len(reads)
+
+
+def matrix(encodings, reads, reprs, least, squeeze=lambda s: s):
+    """{encoding: vector} and {(repr, a, b): units that have both}, by plain loops; encodings as tuples of ENCODINGS."""
+    own, counts, totals = {}, {}, Counter()
+    for e in encodings:
+        if e[7] == "complete":
+            unit = reads[e[0]][e[1] : e[2]]
+            own[e] = variants(reprs[e[4]], squeeze(revcomp(unit) if e[6] else unit))
+            totals[e[4]] += 1
+            counts.setdefault(e[4], Counter()).update(own[e])
+    columns = {k: sorted(v for v, n in c.items() if n / totals[k] >= least) for k, c in counts.items()}
+    vectors = {e: [int(v in vs) for v in columns[e[4]]] or [0] for e, vs in own.items()}
+    both = Counter((e[4], a, b) for e, x in vectors.items() for a in range(len(x)) for b in range(a + 1, len(x)) if x[a] and x[b])
+    return vectors, both
+
+
+def test_variant_vectors_and_linkage_equal_a_plain_matrix(spark, folder, reads, genomes):
+    found = [tuple(r) for r in plans.QUERIES["item_variant_vectors"](spark, folder).select(*(x.split()[0] for x in encode.ENCODINGS.split(", ")), "var_vec").collect()]
+    vectors, both = matrix([r[:-1] for r in found], {i: r["seq"] for i, r in reads.items()}, {i: g["unit"] for i, g in genomes.items()}, 0.04)
+    assert {r[:-1]: r[-1] for r in found if r[-1] is not None} == vectors and len(found) == plans.QUERIES["item_encodings"](spark, folder).count()
+    assert max(map(len, vectors.values())) > 3 and any(map(any, vectors.values()))
+    linked = plans.QUERIES["item_variant_linkage"](spark, folder).collect()
+    assert {(r["repr_id"], r["col_a"], r["col_b"]): r["n_both"] for r in linked} == both
+    for r in linked:
+        xs, ys = zip(*((x[r["col_a"]], x[r["col_b"]]) for e, x in vectors.items() if e[4] == r["repr_id"]), strict=True)
+        assert (r["n_a"], r["n_b"], r["total"]) == (sum(xs), sum(ys), len(xs))
+        n, a, b, c = len(xs), sum(xs), sum(ys), r["n_both"]
+        assert r["r2"] == (pytest.approx((n * c - a * b) ** 2 / (a * (n - a) * b * (n - b)), abs=1e-6) if a < n and b < n else None)
+
+
+def test_variant_vectors_of_odd_rows(spark):
+    """Missing reads and representatives, copies of one unit, no variants at all, and rows that aren't complete."""
+    squeeze = lambda s: "".join(c for k, c in enumerate(s) if not k or s[k - 1] != c)
+    reads = {1: "acgtacgtaagtacgg", 2: "ttttcccc"}
+    rows = [
+        (1, 0, 4, 4, 0, 0.0, 0, "complete"), (1, 4, 8, 4, 0, 0.0, 1, "complete"), (1, 8, 12, 4, 0, 0.0, 0, "complete"), (1, 12, 16, 4, 0, 0.0, 0, "noisy"),
+        (2, 0, 4, 4, 1, 0.0, 0, "complete"), (2, 0, 4, 4, 1, 0.0, 0, "complete"),
+    ]
+    lost = [(9, 0, 4, 4, 0, 0.0, 0, "complete"), (2, 4, 8, 4, 7, 0.0, 0, "complete"), (2, 4, 8, 4, 1, 0.0, 0, None)]
+    table = spark.createDataFrame(rows + lost, encode.ENCODINGS)
+    given = spark.createDataFrame(list(reads.items()), "read_id long, seq string")
+    reprs = {0: "acgt", 1: "tttt"}
+    shown = spark.createDataFrame(list(reprs.items()), "repr_id int, seq string")
+    for compressed in (False, True):
+        found = sorted((tuple(r) for r in encode.variant_vectors(table, given, shown, 0.3, compressed).collect()), key=str)
+        one = squeeze if compressed else lambda s: s
+        vectors, _ = matrix(rows, reads, {k: one(s) for k, s in reprs.items()}, 0.3, one)
+        assert found == sorted(((*e, vectors.get(e)) for e in rows + lost), key=str)
+    assert encode.variant_vectors(table.limit(0), given, shown).count() == 0

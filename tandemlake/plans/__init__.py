@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tandemlake.functions import sequences as S
 from tandemlake.functions.kernels import aligner, variant_list
 from tandemlake.operators import clustering, contigs, detect, encode, graph, labels, overlap_search, overlaps, peaks, pile, units, views
-from tandemlake.operators.components import kept
+from tandemlake.operators.components import kept, spread
 from tandemlake.plans import stand_ins as V
 from tandemlake.schemas import OVERLAP_COLUMNS
 
@@ -502,7 +502,7 @@ def item_labelled_overlaps(spark, d):
 def item_encodings(spark, d):
     """Each of these reads as copies of its item's unit."""
     units_of_items = V.genomes(spark, d).select("item_id", F.array(F.struct(F.lit(0).alias("repr_id"), F.col("unit").alias("seq"), F.lit(V.UNIT - 4).alias("low"), F.lit(V.UNIT + 4).alias("high"))).alias("reprs"))
-    return encode.encode_with(V.genome_reads(spark, d).join(units_of_items, "item_id"))
+    return encode.encode_with(spread(V.genome_reads(spark, d).join(units_of_items, "item_id"), "read_id"))
 
 
 def _item_repeats(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

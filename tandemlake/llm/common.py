@@ -182,6 +182,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Rows of a few short columns that are worth a task of their own.
+TASK_ROWS = 1 << 16
+
+
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has about so many short rows, in tasks of TASK_ROWS: each task of a shuffle leaves files, however little it has."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def fair_share(rows: int) -> int:
     """Rows of one key that a task may get: at most 5,000 keys have more, so a list of these may be broadcast."""
     return max(256, rows // 5000)
@@ -214,17 +223,19 @@ def components(edges: DataFrame) -> DataFrame:
     low = lambda e: e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     state = lambda e: low(both(e)).agg(F.sum("n"), F.max("n")).first()
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = state(edges)
+    before = state(narrowed(edges, edges.count()))
     while before[0]:
-        share = fair_share(before[0])
+        share, few = fair_share(before[0]), lambda df: narrowed(df, before[0])  # noqa: B023
+        edges = few(edges)
         meet = lambda e, least: spread_join(e, least.drop("n"), ["u"], share, least) if before[1] > share else e.join(least.drop("n"), "u")  # noqa: B023, E731
         near = both(edges)
         large = meet(near.filter("v > u"), low(near).withColumn("m", F.least("u", "m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        least = low(large)
+        large = few(few(large.filter("u <> v")).distinct())
+        least = few(low(large))
         small = meet(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         last = edges
-        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        small = few(small.union(least.select("u", F.col("m").alias("v"))))
+        edges = few(cut(few(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())))
         after = state(edges)
         if after == before and not edges.join(last, ["u", "v"], "left_anti").limit(1).count():
             break  # as many edges as before, and no other

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemlake.llm.common import LOWER, SPACED_WORD, components, cut, digests, fair_share, find_words, free_name, mix, numbered, pieces_of, sizes, small_batches, spread_join, table, text_slices, window_hashes
+from tandemlake.llm.common import LOWER, SPACED_WORD, components, cut, digests, fair_share, find_words, free_name, mix, narrowed, numbered, pieces_of, sizes, small_batches, spread_join, table, text_slices, window_hashes
 
 #: The probability that a pair at the threshold is missed, at most; and the bands for which more rows are still taken.
 MISS, MOST_BANDS = 2.4e-7, 52
@@ -217,14 +217,17 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
     node = lambda a="a", b="b": F.concat(F.hex(a), F.lit("-"), F.hex(b))
 
     rows = classes.select(F.explode("bands").alias("key"), "a", "b")
-    found = rows.groupBy("key").agg(F.min(F.struct("a", "b")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # read for their sizes, for hot ones, and by the join: every band of every class is shuffled for them
+    found = cut(rows.groupBy("key").agg(F.min(F.struct("a", "b")).alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     size = found.agg(F.sum("n")).first()[0]
     if not size:
         return sketches.drop("bands"), classes.select("a", "b", F.col("first").alias("component_id"), F.col("one").alias("keeper"), "n")
-    members = cut(spread_join(rows, found.select("key", "centre"), ["key"], fair_share(size), found))
+    found = narrowed(found, size)
+    members = narrowed(cut(spread_join(rows, found.select("key", "centre"), ["key"], fair_share(size), found)), size)
 
     candidates = cut(members.select("a", "b").distinct().join(classes.drop("bands", "n"), ["a", "b"]))
     n = candidates.count()
+    candidates = narrowed(candidates, n)
     wanted = candidates.select("one.no_id", F.coalesce("one.doc_id", F.lit(0)).cast("long").alias("i"), "one.t")
     held = docs.sparkSession.sparkContext.broadcast(row_filter(wanted))
     given = docs.select("text", F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("i"), F.xxhash64("text").alias("t"))
@@ -240,21 +243,23 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
     linked = linked.select("u", "v", (F.size("x") + F.size("y")).alias("total"), shared.alias("shared"))
     links = cut(linked.filter(F.col("shared") * den >= (F.col("total") - F.col("shared")) * num).select("u", "v"))
 
-    labels = _labels(links, n)
+    labels = narrowed(_labels(narrowed(links, links.count()), n), n)
     placed = cut(
         members.select("key", node().alias("node")).join(labels, "node", "left")
         .join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node")
         .select("key", "node", F.coalesce("label", "node").alias("label"), "n")
     )
+    placed = narrowed(placed, size)
     more = _settle(placed, sets, num, den, fair_share(size))
     # what was found so far is one node for each label
     own = candidates.select("a", "b", "first", "one", node().alias("node")).join(labels, "node", "left")
-    own = cut(own.select("a", "b", "first", "one", F.coalesce("label", "node").alias("label"), "node"))
+    own = narrowed(cut(own.select("a", "b", "first", "one", F.coalesce("label", "node").alias("label"), "node")), n)
     label_of = lambda x: own.select(F.col("node").alias(x), F.col("label").alias(f"{x}_label"))
+    more = narrowed(more, more.count())
     joined = more.join(label_of("u"), "u").join(label_of("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
     whole = components(joined).select(F.col("node").alias("label"), F.col("label").alias("whole"))
     by_label = own.groupBy("label").agg(F.min("first").alias("first"), F.min("one").alias("one"), F.count(F.lit(1)).alias("n"))
-    by_label = cut(by_label.join(whole, "label", "left").withColumn("whole", F.coalesce("whole", "label")))
+    by_label = narrowed(cut(by_label.join(whole, "label", "left").withColumn("whole", F.coalesce("whole", "label"))), n)
     by_whole = by_label.groupBy("whole").agg(F.min("first").alias("component_id"), F.min("one").alias("keeper"))
     by_label = by_label.join(by_whole, "whole").select("label", "n", "component_id", "keeper")
     moved = cut(spread_join(own.select("a", "b", "label"), by_label.drop("n"), ["label"], fair_share(n), by_label.select("label", "n")).select("a", "b", "component_id", "keeper"))
@@ -265,12 +270,12 @@ def duplicate_classes(docs: DataFrame, words: int = 3, num: int = 85, den: int =
 def _labels(links: DataFrame, n: int) -> DataFrame:
     """(node, label) of the nodes of links (u a centre, v a member): equal labels mean connected. Members stand with the
     least of their centres, so that only centres take part in the rounds of `components`."""
-    nearest = cut(links.groupBy("v").agg(F.min("u").alias("c")).select(F.col("v").alias("node"), "c"))
-    centres = cut(links.select(F.col("u").alias("node")).distinct())
+    nearest = narrowed(cut(links.groupBy("v").agg(F.min("u").alias("c")).select(F.col("v").alias("node"), "c")), n)
+    centres = narrowed(cut(links.select(F.col("u").alias("node")).distinct()), n)
     between = links.join(nearest.withColumnRenamed("node", "v"), "v").select("u", F.col("c").alias("v"))
     between = between.union(nearest.join(centres, "node").select(F.col("node").alias("u"), F.col("c").alias("v"))).filter("u <> v").distinct()
     found = components(between)
-    labelled = cut(centres.join(found, "node", "left").select(F.col("node").alias("c"), F.coalesce("label", "node").alias("label")))
+    labelled = narrowed(cut(centres.join(found, "node", "left").select(F.col("node").alias("c"), F.coalesce("label", "node").alias("label"))), n)
     of_members = spread_join(nearest, labelled, ["c"], fair_share(n), sizes(nearest, "c")).select("node", "label")
     return cut(of_members.union(labelled.join(nearest, labelled["c"] == nearest["node"], "left_anti").select("c", "label")))
 

@@ -18,6 +18,7 @@ from tandemlake.llm import op7_sharding as op7
 from tandemlake.llm import op11_periodic_runs as op11
 from tandemlake.llm import op12_line_dedup as op12
 from tandemlake.llm import op13_conversation_repair as op13
+from tandemlake.llm.common import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WHITE = " \t\n\x0b\x0c\r"
@@ -290,3 +291,18 @@ def test_maps_of_the_operators_own_rows(spark, tmp_path):
     assert all(x["moved"] == (x["rows"] if shard == 16 else 0) for (v, shard), x in found.items() if v == 2)  # only into the new shard
     assert all(x["moved"] == 0 for (v, _), x in found.items() if v == 1)
     assert max(sizes[3]) < 1.03 * sum(sizes[3]) / 17 and 0 < sum(x["moved"] for (v, _), x in found.items() if v == 3) < 0.35 * total[3]
+
+
+def test_small_links_take_few_tasks(spark):
+    """Each task of each round leaves files: rounds over a few links must not have as many tasks as shuffles may have."""
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {x: spark.conf.get(x) for x in names}
+    try:
+        for x, value in names.items():
+            spark.conf.set(x, value)
+        found = components(spark.createDataFrame([(f"{k:03}", f"{k + 1:03}") for k in range(40)], "u string, v string"))
+        assert found.rdd.getNumPartitions() <= 4
+        assert {tuple(x) for x in found.collect()} == {(f"{k:03}", "000") for k in range(41)}
+    finally:
+        for x, value in before.items():
+            spark.conf.set(x, value)

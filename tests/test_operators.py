@@ -78,6 +78,20 @@ def test_transitive_reduction_equals_sequential_marking(spark):
     assert {(x["src_id"], x["dst_id"]) for x in found.collect()} == sequential_reduction(edges, 100)
 
 
+def test_two_step_ways_go_round_hubs(spark, monkeypatch):
+    """All ways, also over edges from a node to itself; a hub's in-edges must not meet all its out-edges."""
+    r = Random(5)
+    edges = {(str(r.randrange(14)), str(r.randrange(14)), r.randint(1, 9)) for _ in range(90)}
+    edges |= {(f"i{k}", "hub", 1) for k in range(300)} | {("hub", f"o{k}", 2) for k in range(300)} | {("i7", "o9", 3)}
+    direct = {(v, w) for v, w, _ in edges}
+    expected = {(v, w, n, x, m) for v, w, n in edges for u, x, m in edges if u == w and (v, x) in direct}
+    passed = []
+    monkeypatch.setattr(graph, "kept", lambda df: passed.append(df.count()) or df.checkpoint())
+    found = graph.two_step_ways(spark.createDataFrame(sorted(edges), "v string, w string, n int"))
+    assert {tuple(x) for x in found.select("v", "w", "n", "x", "m").collect()} == expected and ("i7", "hub", 1, "o9", 2) in expected
+    assert passed[0] <= len(expected) + 5
+
+
 def test_simple_paths(spark):
     found = {(r["src_id"], r["dst_id"], r["length"], r["diff"], r["n_edges"]) for r in graph.simple_paths(edges_of(spark, (1, 2, 10, 1), (2, 3, 30, 2), (3, 4, 5, 1), (3, 5, 5, 1), (8, 9, 1, 1), (9, 8, 1, 1))).collect()}
     assert found == {(1, 3, 40, 1.75, 2), (3, 4, 5, 1.0, 1), (3, 5, 5, 1.0, 1), (8, 8, 2, 1.0, 2)} or found == {(1, 3, 40, 1.75, 2), (3, 4, 5, 1.0, 1), (3, 5, 5, 1.0, 1), (9, 9, 2, 1.0, 2)}

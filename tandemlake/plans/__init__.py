@@ -539,4 +539,4 @@ def name_variants(spark, d):
     """Each part's name against the next one's, difference by difference."""
     part = V.table(spark, d, "part").select("p_partkey", "p_name")
     rows = part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
-    return rows.select("p_partkey", F.explode(variant_list("p_name", "next")).alias("v")).select("p_partkey", "v.*")
+    return spread(rows, "p_partkey").select("p_partkey", F.explode(variant_list("p_name", "next")).alias("v")).select("p_partkey", "v.*")

@@ -16,7 +16,8 @@ def dot_plot(left: DataFrame, right: DataFrame, k: int = 13) -> DataFrame:
         runs = F.when(F.length("seq") >= k, F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda i: F.substring("seq", i, F.lit(k))))
         return df.select("pair_id", F.col("read_id").alias(name), F.posexplode(runs).alias(at, "kmer"))
 
-    return words(left, "read_id", "x").join(words(right, "other_id", "y"), ["pair_id", "kmer"]).select("read_id", "other_id", "x", "y")
+    # rows of words are far more than their sequences let Spark expect: never broadcast
+    return words(left, "read_id", "x").hint("merge").join(words(right, "other_id", "y"), ["pair_id", "kmer"]).select("read_id", "other_id", "x", "y")
 
 
 def shared_kmer_count(pairs: DataFrame, k: int = 13) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from tandemlake import __main__ as command
+from tandemlake.functions import kernels
 from tandemlake.functions import simulate as sim
 from tandemlake.functions.align import align, align_cyclic, dovetail, revcomp
 from tandemlake.functions.clustering import SplitMerge
@@ -92,6 +93,21 @@ def test_two_step_ways_go_round_hubs(spark, monkeypatch):
     assert passed[0] <= len(expected) + 5
 
 
+def test_equal_pairs_of_a_batch_are_aligned_once(monkeypatch):
+    calls = []
+    monkeypatch.setattr(kernels, "align", lambda q, t, mode: calls.append((q, t)) or align(q, t, mode))
+    found = kernels.aligner("global").func(pd.Series(["acgt", None, "acgt", "aa"]), pd.Series(["acct", "a", "acct", "aa"]))
+    assert found["n_diff"].tolist() == [1, pd.NA, 1, 0] and found["cigar"].tolist() == ["==X=", None, "==X=", "=="]
+    assert calls == [("acgt", "acct"), ("aa", "aa")]
+
+
+def test_dot_plots_do_not_broadcast_words(spark):
+    rows = spark.createDataFrame([(1, 1, "acgta")], "pair_id int, read_id int, seq string")
+    found = views.dot_plot(rows, rows, 4)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in found.collect()} == {(1, 1, 0, 0), (1, 1, 1, 1)}
+
+
 def test_simple_paths(spark):
     found = {(r["src_id"], r["dst_id"], r["length"], r["diff"], r["n_edges"]) for r in graph.simple_paths(edges_of(spark, (1, 2, 10, 1), (2, 3, 30, 2), (3, 4, 5, 1), (3, 5, 5, 1), (8, 9, 1, 1), (9, 8, 1, 1))).collect()}
     assert found == {(1, 3, 40, 1.75, 2), (3, 4, 5, 1.0, 1), (3, 5, 5, 1.0, 1), (8, 8, 2, 1.0, 2)} or found == {(1, 3, 40, 1.75, 2), (3, 4, 5, 1.0, 1), (3, 5, 5, 1.0, 1), (9, 9, 2, 1.0, 2)}

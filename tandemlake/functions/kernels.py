@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tandemlake.functions.align import align, align_cyclic, cigar_of_text, dovetail, gapped, revcomp
 from tandemlake.functions.consensus import consensus, log_prob_align, log_prob_composition, log_prob_gen, variants
@@ -29,12 +29,31 @@ def _frame(rows: list[tuple | None], names: str) -> pd.DataFrame:
 
 
 def aligner(mode: str) -> Callable:
-    """Column function (query, target) -> struct of ALIGNED; null where either is null."""
+    """Column function (query, target) -> struct of ALIGNED; null where either is null. Equal rows of a batch are aligned once."""
 
     @F.pandas_udf(_struct(ALIGNED))
     def run(query: pd.Series, target: pd.Series) -> pd.DataFrame:
         one = align_cyclic if mode == "cyclic" else lambda q, t: align(q, t, mode)
-        return _frame([None if q is None or t is None else tuple(one(q, t)) for q, t in zip(query, target, strict=True)], ALIGNED)
+        place: dict[tuple, int] = {}
+        at = [place.setdefault(pair, len(place)) for pair in zip(query, target, strict=True)]
+        return _frame([None if q is None or t is None else tuple(one(q, t)) for q, t in place], ALIGNED).take(at).reset_index(drop=True)
+
+    return run
+
+
+def aligned_sizes(mode: str) -> Callable:
+    """Column function (query, target) -> long: differences times 2^32 and the alignment's length, of aligner's alignment. Without
+    its path, most of the time of short sequences is saved."""
+
+    @F.pandas_udf(LongType())
+    def run(query: pd.Series, target: pd.Series) -> pd.Series:
+        one = align_cyclic if mode == "cyclic" else lambda q, t: align(q, t, mode)
+        known: dict[tuple, int | None] = {}
+        for q, t in zip(query, target, strict=True):
+            if (q, t) not in known:
+                found = None if q is None or t is None else one(q, t)
+                known[q, t] = found and found.n_diff << 32 | found.length
+        return pd.Series([known[pair] for pair in zip(query, target, strict=True)], dtype="Int64")
 
     return run
 

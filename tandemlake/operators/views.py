@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlake.functions.kernels import aligner
+from tandemlake.functions.kernels import aligned_sizes, aligner
 from tandemlake.functions.sequences import kmers
 
 
@@ -49,8 +49,9 @@ def unit_distances(units: DataFrame, pairs: DataFrame, cyclic: bool = False) ->
     """(a_read_id, b_read_id, a_ord, b_ord, diff) in percent of all units of paired reads; units: read_id, unit_ord, unit_seq."""
     side = lambda x: units.select(F.col("read_id").alias(f"{x}_read_id"), F.col("unit_ord").alias(f"{x}_ord"), F.col("unit_seq").alias(x))
     rows = pairs.select("a_read_id", "b_read_id").distinct().join(side("a"), "a_read_id").join(side("b"), "b_read_id")
-    r = aligner("cyclic" if cyclic else "global")("a", "b")
-    return rows.withColumn("r", r).select("a_read_id", "b_read_id", "a_ord", "b_ord", F.round(100 * F.col("r.n_diff") / F.col("r.aln_len"), 2).alias("diff"))
+    r = aligned_sizes("cyclic" if cyclic else "global")("a", "b")
+    diff = F.round(100 * F.shiftright("r", 32) / F.col("r").bitwiseAND(F.lit((1 << 32) - 1)), 2)
+    return rows.withColumn("r", r).select("a_read_id", "b_read_id", "a_ord", "b_ord", diff.alias("diff"))
 
 
 def unit_diffs(units: DataFrame, reprs: DataFrame, cyclic: bool = True) -> DataFrame:

@@ -48,3 +48,8 @@ def test_query_equals_sql(spark, duck, name):
     ours, theirs = __spark_entry__.queries()[name](spark, str(FOLDER)).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert normal(ours) == normal(theirs)
+
+
+@pytest.mark.parametrize("name", ["repeat_units", "repeat_alignments", "name_variants"])
+def test_costly_rows_are_dealt_over_all_tasks(spark, name):
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4

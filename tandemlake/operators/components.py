@@ -38,6 +38,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+#: Rows of a table that one task sorts or groups, about.
+TASK_ROWS = 500_000
+
+
+def in_parts(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys into parts of about TASK_ROWS of its `rows`, and one for each core at least: what a task sorts doesn't grow with the table."""
+    return df.repartition(max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], share: int) -> DataFrame:
     """left joined with right, which has one row for each key. A key with more than `share` rows on the left (and a 5,000th of
     all, so that the list of these can be broadcast) is dealt over several parts, to each of which right's row goes."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tandemlake.operators.components import min_labels
+from tandemlake.operators.components import min_labels, stored
 from tandemlake.schemas import OVERLAP_COLUMNS
 
 _MIRRORED = {"a_start": ("a_len", "a_end"), "a_end": ("a_len", "a_start"), "b_start": ("b_len", "b_end"), "b_end": ("b_len", "b_start")}
@@ -84,12 +84,16 @@ def reduced(overlaps: DataFrame, max_slip: int = 100) -> DataFrame:
     """Of the overlaps of a pair that are linked by steps of at most max_slip in all four coordinates, the one with the
     least diff, first in order on ties.
 
-    Steps are found by an equi-join on the pair and a coarse cell of a_start, components by label propagation, so a
-    pair with any number of overlaps spreads over its cells.
+    An overlap whose neighbours of the pair, by a_start, are farther away is alone and stands. Of the others steps are found
+    by an equi-join on the pair and a coarse cell of a_start, components by label propagation, so that they spread over cells.
     """
     places = ["a_start", "a_end", "b_start", "b_end"]
     key = ["a_read_id", "b_read_id", "strand"]
-    nodes = overlaps.select(*OVERLAP_COLUMNS).distinct().withColumn("node", F.concat_ws(":", *(F.lpad(F.col(c).cast("string"), 12, "0") for c in [*key, *places, "a_len", "b_len"]), F.col("diff").cast("string")))
+    order = Window.partitionBy(*key).orderBy("a_start")
+    far = lambda begin, end: F.coalesce(end - begin > max_slip, F.lit(True))
+    alone = F.col("a_start").isNotNull() & far(F.lag("a_start").over(order), F.col("a_start")) & far(F.col("a_start"), F.lead("a_start").over(order))
+    told = stored(overlaps.select(*OVERLAP_COLUMNS, alone.alias("alone")))
+    nodes = stored(told.filter("NOT alone").select(*OVERLAP_COLUMNS).distinct().withColumn("node", F.monotonically_increasing_id()))
     cell = F.floor(F.col("a_start") / (max_slip + 1))
     left = nodes.select(*key, *(F.col(c).alias(f"l_{c}") for c in places), F.col("node").alias("u"), F.explode(F.array(cell, cell + 1)).alias("cell"))
     right = nodes.select(*key, *(F.col(c).alias(f"r_{c}") for c in places), F.col("node").alias("v"), cell.alias("cell"))
@@ -97,7 +101,8 @@ def reduced(overlaps: DataFrame, max_slip: int = 100) -> DataFrame:
     steps = left.join(right, [*key, "cell"]).filter(near[0] & near[1] & near[2] & near[3] & (F.col("u") != F.col("v"))).select("u", "v")
     labelled = nodes.join(min_labels(steps), "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = Window.partitionBy(*key, "label").orderBy("diff", *OVERLAP_COLUMNS)
-    return labelled.withColumn("place", F.row_number().over(order)).filter("place = 1").select(*OVERLAP_COLUMNS)
+    chosen = labelled.withColumn("place", F.row_number().over(order)).filter("place = 1").select(*OVERLAP_COLUMNS)
+    return told.filter("alone").select(*OVERLAP_COLUMNS).union(chosen)
 
 
 def best_edges(edges: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandemlake.functions.sequences import revcomp
+from tandemlake.operators.components import in_parts
 from tandemlake.operators.graph import string_graph
 
 
@@ -48,16 +49,19 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An overlap for each lineitem between its supplier and its part, of all kinds but `contains`."""
     kind = F.when(F.col("l_orderkey") % 1000 == 0, 2).otherwise(F.col("l_orderkey") % 2)
     s = (500 + (F.col("l_orderkey") * 37 + F.col("l_partkey") * 11) % 8000).cast("int")
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    rows = lines.select(
         F.col("l_suppkey").cast("int").alias("a_read_id"), F.col("l_partkey").cast("int").alias("b_read_id"), (F.col("l_linenumber") % 2).alias("strand"),
         kind.cast("int").alias("kind"), s.alias("s"), F.round(F.col("l_discount") * 20, 2).alias("diff"),
     ).filter("a_read_id < b_read_id")
+    # kind and s make the places, and places tell them; so rows are shuffled, and once, before there are places
+    rows = in_parts(rows, lines.count(), "a_read_id", "b_read_id", "strand").distinct()
     by = lambda zero, one, two: F.when(F.col("kind") == 0, zero).when(F.col("kind") == 1, one).otherwise(two)
     n, s = F.lit(10000), F.col("s")
-    return lines.select(
+    return rows.select(
         "a_read_id", "b_read_id", "strand", by(s, F.lit(0), F.lit(0)).alias("a_start"), by(n, n - s, n).alias("a_end"), n.alias("a_len"),
         by(F.lit(0), s, s).alias("b_start"), by(n - s, n, s + n).alias("b_end"), by(n, n, F.lit(20000)).alias("b_len"), "diff",
-    ).distinct()
+    )
 
 
 OVERLAPS = """overlaps_v as (

@@ -296,3 +296,22 @@ def test_sql_registration(spark):
     register(spark)
     assert spark.sql("select align_global('acgt', 'aagt').n_diff as n").first()["n"] == 1
     assert spark.sql("select consensus(s) as c from values ('acgt'), ('acgt'), ('aagt') t(s)").first()["c"] == "acgt"
+
+
+def test_reduced_links_only_what_is_near(spark, monkeypatch):
+    """Against brute force, with repeated rows and nulls; what is near is numbered, so that no text of all columns is shuffled."""
+    r = Random(4)
+    rows = [(r.randrange(6), r.randrange(6, 9), r.randrange(2), r.choice((0, 90, 150, 700)), r.choice((900, 950, 1400)), 2000, r.choice((0, 60)), 1500, 2000, float(r.randrange(4))) for _ in range(60)]
+    rows += [(50 + i, 60 + i, 0, 100, 900, 2000, 0, 1500, 2000, 1.0) for i in range(200)] + [rows[0], (1, 6, 0, None, 900, 2000, 0, 1500, 2000, 1.0)] + [(1, 6, 0, None, 900, 2000, 0, 1500, 2000, 1.0)]
+    searched, search = [], overlaps.min_labels
+    monkeypatch.setattr(overlaps, "min_labels", lambda steps: searched.append(steps.dtypes) or search(steps))
+    found = sorted((tuple(x) for x in overlaps.reduced(spark.createDataFrame(rows, OVERLAPS)).collect()), key=str)
+    nodes = list(dict.fromkeys(rows))
+    near = lambda x, y: x[:3] == y[:3] and all(x[c] is not None and y[c] is not None and abs(x[c] - y[c]) <= 100 for c in (3, 4, 6, 7))
+    label = {x: i for i, x in enumerate(nodes)}
+    for _ in nodes:
+        for x in nodes:
+            label[x] = min([label[x], *(label[y] for y in nodes if near(x, y))])
+    order = lambda x: (x[9], *(-1 if v is None else v for v in x))
+    wanted = sorted((min((x for x in nodes if label[x] == i), key=order) for i in set(label.values())), key=str)
+    assert found == wanted and len(wanted) < len(nodes) - 5 and searched == [[("u", "bigint"), ("v", "bigint")]]

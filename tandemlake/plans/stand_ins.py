@@ -20,7 +20,8 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     length = F.col("l_quantity").cast("int")
     end = F.sum(length).over(rows)
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    return in_parts(lines, lines.count(), "l_orderkey").select(
         F.col("l_orderkey").alias("read_id"), F.row_number().over(order).cast("long").alias("unit_ord"), (end - length).alias("start"), end.alias("end"), length.alias("ulen")
     )
 

@@ -5,14 +5,16 @@ from random import Random
 import pandas as pd
 import pytest
 
+import __spark_entry__
 from tandemlake import __main__ as command
 from tandemlake.functions import kernels
 from tandemlake.functions import simulate as sim
 from tandemlake.functions.align import align, align_cyclic, dovetail, revcomp
 from tandemlake.functions.clustering import SplitMerge
 from tandemlake.functions.kernels import register
-from tandemlake.operators import clustering, contigs, detect, graph, labels, overlap_search, overlaps, simulate, views
+from tandemlake.operators import clustering, components, contigs, detect, graph, labels, overlap_search, overlaps, simulate, views
 from tandemlake.operators.components import min_labels
+from tandemlake.plans import stand_ins
 from tandemlake.schemas import EDGES, OVERLAPS
 from tandemlake.sources import Options, aligned_paths, fasta_lines, read_fasta, read_range, read_table, repeat_reads, write_fasta, write_stage, write_table
 
@@ -315,3 +317,10 @@ def test_reduced_links_only_what_is_near(spark, monkeypatch):
     order = lambda x: (x[9], *(-1 if v is None else v for v in x))
     wanted = sorted((min((x for x in nodes if label[x] == i), key=order) for i in set(label.values())), key=str)
     assert found == wanted and len(wanted) < len(nodes) - 5 and searched == [[("u", "bigint"), ("v", "bigint")]]
+
+
+def test_tasks_of_units_and_overlaps_grow_in_number(spark, monkeypatch):
+    """A task sorts as many rows of a larger table as of a small one."""
+    monkeypatch.setattr(components, "TASK_ROWS", 500)
+    for rows in (stand_ins.units(spark, "/root/testdata/sf0.001"), stand_ins.overlaps(spark, "/root/testdata/sf0.001"), __spark_entry__.queries()["merged_intervals"](spark, "/root/testdata/sf0.001")):
+        assert rows.rdd.getNumPartitions() >= 12

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlake.functions.kernels import aligner, dovetailed
+from tandemlake.functions.kmers import ranges, starts_of
 from tandemlake.operators.components import spread
 from tandemlake.schemas import OVERLAP_COLUMNS
 
@@ -24,43 +26,92 @@ def repr_alignments(repr_units: DataFrame) -> DataFrame:
 
 #: Units of one block of a target's reads, about; two blocks meet in one row.
 BLOCK_UNITS = 768
+#: Pairs of units that numpy takes at once: many rows of small targets, or one row.
+STEP = 1 << 20
 _DIFFS = "target_id long, a_read_id long, b_read_id long, shift int, diff double"
 
 
-def _diagonals(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], known: tuple[np.ndarray, ...], min_units: int, same: bool) -> tuple[np.ndarray, ...]:
-    """(a read, b read, shift, diff) of two blocks. A block is (read, ord, label) by read; known is (i, j, length, differences).
-    All pairs of units are one matrix of labels, whose diagonals are summed for each pair of reads at once."""
-    labels, names = np.unique(np.concatenate((known[0], known[1])), return_inverse=True)
-    lengths, diffs = (np.zeros((len(labels), len(labels)), np.int64) for _ in range(2))
-    lengths[names[: len(known[0])], names[len(known[0]) :]] = known[2]
-    diffs[names[: len(known[0])], names[len(known[0]) :]] = known[3]
-
-    def side(x: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        reads, number, sizes = np.unique(x[0], return_inverse=True, return_counts=True)
-        at = np.minimum(np.searchsorted(labels, x[2]), max(len(labels) - 1, 0))
-        use = (labels[at] == x[2]) & (sizes[number] >= min_units) if len(labels) else np.zeros(len(number), bool)
-        return reads, sizes, number[use], x[1][use].astype(np.int64), at[use]
-
-    (ra, na, ia, oa, la), (rb, nb, ib, ob, lb) = side(a), side(b)
-    if not len(ia) or not len(ib):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
-    low = int(oa.min() - ob.max())
-    width = int(oa.max() - ob.min()) - low + 1
-    code = (ia[:, None] * len(rb) + ib) * width + (oa[:, None] - ob - low)
-    later = ra[ia][:, None] > rb[ib]  # the first read of a pair is the one with the lower id
-    looked_up = lambda table: np.where(later, table[lb, la[:, None]], table[la[:, None], lb])
-    n = looked_up(lengths)
-    met = (n > 0) & (ra[ia][:, None] != rb[ib]) & ~(later & same)
-    found, at = np.unique(code[met], return_inverse=True)
-    total = np.bincount(at, n[met], len(found))
-    unlike = np.bincount(at, looked_up(diffs)[met], len(found))
-    pair, shift = found // width, found % width + low
-    x, y = pair // len(rb), pair % len(rb)
-    turned = ra[x] > rb[y]
-    first, second, shift = np.where(turned, rb[y], ra[x]), np.where(turned, ra[x], rb[y]), np.where(turned, -shift, shift)
-    nf, ns = np.where(turned, nb[y], na[x]), np.where(turned, na[x], nb[y])
+class Side(NamedTuple):
+    """Units of one side of several rows, each row's by read: row, read, place and label of each; and the rows' starts."""
+
+    row: np.ndarray
+    read: np.ndarray
+    ord: np.ndarray
+    label: np.ndarray
+
+    @property
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the reads begin, and the number of each unit's read."""
+        begins = starts_of(self.row, self.read)
+        return begins, np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(self.row))))
+
+
+def _diagonals(a: Side, b: Side, known: tuple[np.ndarray, ...], same: np.ndarray, min_units: int) -> tuple[np.ndarray, ...]:
+    """(row, a read, b read, shift, diff) of rows of two blocks each, all at once. known is (row, i, j, length, differences); same tells rows
+    whose two blocks are one. Units of every two reads are paired as numbers, which are summed by read, read and shift."""
+    rows = np.arange(len(same) + 1)
+    code = lambda row, label: row << 32 | (label.astype(np.int64) + (1 << 31))
+    labels, place = np.unique(np.concatenate((code(known[0], known[1]), code(known[0], known[2]))), return_inverse=True)
+    first = np.searchsorted(labels, rows << 32)
+    many = np.diff(first)
+    table = np.concatenate(([0], np.cumsum(many * many)))
+    at = lambda row, i, j: table[row] + (i - first[row]) * many[row] + j - first[row]
+    lengths, diffs = np.zeros(table[-1], np.int64), np.zeros(table[-1], np.int64)
+    spot = at(known[0], place[: len(known[0])], place[len(known[0]) :])
+    lengths[spot], diffs[spot] = known[3], known[4]
+
+    def usable(x: Side) -> tuple[Side, np.ndarray]:
+        """Units with a known label in reads of min_units, with the labels' places, and numbers of units of the reads."""
+        begins, number = x.groups
+        sizes = np.diff(np.append(begins, len(number)))[number]
+        found = np.minimum(np.searchsorted(labels, code(x.row, x.label)), max(len(labels) - 1, 0))
+        use = (labels[found] == code(x.row, x.label)) & (sizes >= min_units) if len(labels) else np.zeros(len(number), bool)
+        return Side(x.row[use], x.read[use], x.ord[use].astype(np.int64), found[use]), sizes[use]
+
+    (a, a_sizes), (b, b_sizes) = usable(a), usable(b)
+    if not len(a.row) or not len(b.row):
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0),)
+    (a_begins, x), (b_begins, y) = a.groups, b.groups
+    a_first, b_first = np.searchsorted(a.row, rows), np.searchsorted(b.row, rows)
+    # of one block with itself a read meets those behind it
+    behind = np.append(a_begins[1:], len(a.row))[x] - a_first[a.row] + b_first[a.row]
+    begin = np.where(same[a.row], behind, b_first[a.row])
+    counts = b_first[a.row + 1] - begin
+    i, j = np.repeat(np.arange(len(a.row)), counts), ranges(begin, counts)
+    later = a.read[i] > b.read[j]  # the first read of a pair is the one with the lower id
+    row = a.row[i]
+    spot = at(row, np.where(later, b.label[j], a.label[i]), np.where(later, a.label[i], b.label[j]))
+    n = lengths[spot]
+    met = (n > 0) & (a.read[i] != b.read[j])
+    i, j, n, spot = i[met], j[met], n[met], spot[met]
+    if not len(i):
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0),)
+
+    shift = a.ord[i] - b.ord[j]
+    pair = x[i] * len(b_begins) + y[j]
+    order = np.argsort(pair, kind="stable")
+    i, j, n, spot, shift, pair = i[order], j[order], n[order], spot[order], shift[order], pair[order]
+    begins = starts_of(pair)
+    low, high = np.minimum.reduceat(shift, begins), np.maximum.reduceat(shift, begins)
+    base = np.concatenate(([0], np.cumsum(high - low + 1)))
+    of = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(pair))))
+    slot = base[of] + shift - low[of]
+    if base[-1] > 8 * len(slot):  # places far apart
+        found, slot = np.unique(slot, return_inverse=True)
+        total = np.bincount(slot, n, len(found))
+        unlike = np.bincount(slot, diffs[spot], len(found))
+    else:
+        total = np.bincount(slot, n, base[-1])
+        found = np.flatnonzero(total)
+        total, unlike = total[found], np.bincount(slot, diffs[spot], base[-1])[found]
+    own = np.searchsorted(base, found, "right") - 1
+    i, j, shift = i[begins[own]], j[begins[own]], found - base[own] + low[own]
+    turned = a.read[i] > b.read[j]
+    shift = np.where(turned, -shift, shift)
+    nf, ns = np.where(turned, b_sizes[j], a_sizes[i]), np.where(turned, a_sizes[i], b_sizes[j])
     allowed = (shift >= min_units - ns) & (shift <= nf - min_units)
-    return first[allowed], second[allowed], shift[allowed], (unlike / total)[allowed]
+    pairs = np.where(turned, b.read[j], a.read[i]), np.where(turned, a.read[i], b.read[j])
+    return a.row[i][allowed], *(r[allowed] for r in pairs), shift[allowed], (unlike / total)[allowed]
 
 
 def diagonal_diffs(units: DataFrame, distances: DataFrame, min_units: int = 3, less_than: float | None = None) -> DataFrame:
@@ -90,16 +141,19 @@ def diagonal_diffs(units: DataFrame, distances: DataFrame, min_units: int = 3, l
             flat = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in lists.items()}
             ends = {c: np.concatenate(([0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False)))) for c, x in lists.items()}
             targets, same = batch.column("target_id").to_numpy(), batch.column("i").to_numpy() == batch.column("j").to_numpy()
-            out = []
-            for k in range(batch.num_rows):
-                part = {c: x[ends[c][k] : ends[c][k + 1]] for c, x in flat.items()}
-                one = _diagonals(*(tuple(part[f"{x}{f}"] for f in "rol") for x in "ab"), tuple(part[f"k_{c}"] for c in ("i", "j", "aln_len", "n_diff")), min_units, bool(same[k]))
+            work = np.cumsum(np.diff(ends["ar"]) * np.diff(ends["br"]))
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(work, (work[first - 1] if first else 0) + STEP, "right")))
+                part = {c: x[ends[c][first] : ends[c][last]] for c, x in flat.items()}
+                row = {c: np.repeat(np.arange(last - first), np.diff(ends[c][first : last + 1])) for c in ("ar", "br", "k_i")}
+                a, b = (Side(row[f"{x}r"], *(part[f"{x}{f}"] for f in "rol")) for x in "ab")
+                t, *found = _diagonals(a, b, (row["k_i"], *(part[f"k_{c}"] for c in ("i", "j", "aln_len", "n_diff"))), same[first:last], min_units)
+                found = [targets[first:last][t], found[0], found[1], found[2].astype(np.int32), found[3]]
                 if less_than is not None:
-                    one = tuple(x[one[3] < less_than] for x in one)
-                out.append((np.full(len(one[0]), targets[k]), *one))
-            if out:
-                t, x, y, s, d = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(x), pa.array(y), pa.array(s.astype(np.int32)), pa.array(d)], [c.split()[0] for c in _DIFFS.split(", ")])
+                    found = [x[found[-1] < less_than] for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], [c.split()[0] for c in _DIFFS.split(", ")])
+                first = last
 
     return rows.mapInArrow(run, _DIFFS)
 

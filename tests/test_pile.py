@@ -130,3 +130,18 @@ def test_path_blocks_hold_what_paths_do(spark, size):
         assert b["begin"] == len(pieces.get(b["path_id"], ""))
         pieces[b["path_id"]] = pieces.get(b["path_id"], "") + b["seq"]
     assert sorted(pieces.values()) == sorted(x["seq"] for x in graph.path_sequences(graph.simple_paths(edges), reads).collect())
+
+
+def test_diagonals_of_many_targets_are_summed_at_once(spark, monkeypatch):
+    """Targets of a few units don't each take a call of their own."""
+    calls, one = [], labels._diagonals
+    monkeypatch.setattr(labels, "_diagonals", lambda *x: calls.append(1) or one(*x))
+    units = [(t, i, o, (t + i + o) % 3) for t in range(40) for i in range(3) for o in range(4)]
+    known = [(t, i, j, 20, abs(i - j)) for t in range(40) for i in range(3) for j in range(3)]
+    batches = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, run, schema: batches.append((run, df.toArrow())) or df)
+    labels.diagonal_diffs(spark.createDataFrame(units, "target_id long, read_id long, unit_ord int, repr_id int"), spark.createDataFrame(known, "target_id long, i int, j int, aln_len int, n_diff int"))
+    (run, rows), = batches
+    found = [tuple(x.values()) for b in run(iter(rows.combine_chunks().to_batches())) for x in b.to_pylist()]
+    wanted = brute_diagonals(units, {(t, i, j): (n, d) for t, i, j, n, d in known}, 3)
+    assert {x[:4]: x[4] for x in found} == pytest.approx(wanted) and len(found) == len(wanted) and len(calls) == 1 < rows.num_rows

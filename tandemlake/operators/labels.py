@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tandemlake.functions.kernels import aligner, dovetailed
 from tandemlake.functions.kmers import ranges, starts_of
-from tandemlake.operators.components import spread
+from tandemlake.operators.components import computed, spread
 from tandemlake.schemas import OVERLAP_COLUMNS
 
 
@@ -167,7 +167,7 @@ def labelled_overlaps(units: DataFrame, reads: DataFrame, repr_units: DataFrame,
         place = units.select("target_id", F.col("read_id").alias(f"{x}_read_id"), F.col("unit_ord").alias(f"{x}_ord"), F.col("start").alias(f"{x}_pos"))
         own = reads.select("target_id", F.col("read_id").alias(f"{x}_read_id"), F.col("strand").alias(f"{x}_strand"), F.col("seq").alias(f"{x}_seq"), F.col("length").alias(f"{x}_len"))
         ends = ends.join(place, ["target_id", f"{x}_read_id", f"{x}_ord"]).join(own, ["target_id", f"{x}_read_id"])
-    rows = spread(ends, "target_id", "a_read_id", "b_read_id", "shift").withColumn("r", dovetailed("a_seq", "b_seq", "a_pos", "b_pos")).filter(F.col("r").isNotNull() & (F.col("r.n_diff") / F.col("r.aln_len") < max_seq_diff))
+    rows = computed(spread(ends, "target_id", "a_read_id", "b_read_id", "shift"), "r", dovetailed("a_seq", "b_seq", "a_pos", "b_pos")).filter(F.col("r").isNotNull() & (F.col("r.n_diff") / F.col("r.aln_len") < max_seq_diff))
     turned = F.col("a_strand") == 1
     place = lambda x, e, other: F.when(turned, F.col(f"{x}_len") - F.col(f"r.{x}_{other}")).otherwise(F.col(f"r.{x}_{e}")).alias(f"{x}_{e}")
     out = rows.select(

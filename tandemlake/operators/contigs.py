@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tandemlake.functions.align import align
 from tandemlake.functions.sequences import revcomp
+from tandemlake.operators.components import computed, kept, spread
 from tandemlake.operators.graph import path_sequences
 from tandemlake.operators.overlaps import mirrored, normalized
 from tandemlake.operators.pile import consensus_of
@@ -95,14 +96,15 @@ def consensus_contigs(paths: DataFrame, overlaps: DataFrame, reads: DataFrame, w
     spots = spots.filter(F.col("pos") + F.length("read") > 0).withColumn("read", F.when(F.col("strand") == 1, revcomp("read")).otherwise(F.col("read")))
     joined = spots.join(raw, "path_id").withColumn("base", F.greatest(F.col("pos") - 200, F.lit(0)))
     piece = F.expr("substring(seq, int(base) + 1, int(length(read) * 1.2) + 500)")
-    found = joined.select("path_id", "base", refined(piece, F.col("pos") - F.col("base"), "read").alias("r")).filter("r.start IS NOT NULL")
+    rows = spread(joined.select("path_id", "read_id", "pos", "base", "read", piece.alias("piece")), "path_id", "read_id", "pos")
+    found = computed(rows, "r", refined("piece", F.col("pos") - F.col("base"), "read")).filter("r.start IS NOT NULL")
     found = found.select("path_id", (F.col("r.start") + F.col("base")).cast("int").alias("start"), (F.col("r.end") + F.col("base")).cast("int").alias("end"), "r.part", "r.cigar")
     low, high = F.ceil(F.col("start") / window).cast("int"), F.floor(F.col("end") / window).cast("int") - 1
     covered = found.filter(low <= high).withColumn("windows", F.sequence(low, high))
     parts = covered.select("path_id", "windows", _slices("cigar", "start", "part", "windows", F.lit(window)).alias("parts"))
     each = parts.select("path_id", F.explode(F.arrays_zip("windows", "parts")).alias("z")).select("path_id", F.col("z.windows").alias("w"), F.col("z.parts").alias("part"))
 
-    voted = consensus_of(each, ["path_id", "w"], "part", "voted")
+    voted = consensus_of(kept(each), ["path_id", "w"], "part", "voted")
     whole = raw.filter(F.col("size") >= window).select("path_id", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / window).cast("int") - 1)).alias("w"))
     pieces = whole.select("path_id", "w", F.expr(f"substring(seq, w * {window} + 1, {window})").alias("raw")).join(voted, ["path_id", "w"], "left")
     listed = pieces.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("voted", "raw").alias("s")))).alias("s"))

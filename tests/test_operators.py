@@ -324,3 +324,15 @@ def test_tasks_of_units_and_overlaps_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(components, "TASK_ROWS", 500)
     for rows in (stand_ins.units(spark, "/root/testdata/sf0.001"), stand_ins.overlaps(spark, "/root/testdata/sf0.001"), __spark_entry__.queries()["merged_intervals"](spark, "/root/testdata/sf0.001")):
         assert rows.rdd.getNumPartitions() >= 12
+
+
+def test_parts_of_contigs_are_kept_for_the_vote(spark, monkeypatch):
+    """Reads are refined once, though the vote passes over their parts more than once."""
+    asked, keep = [], contigs.kept
+    monkeypatch.setattr(contigs, "kept", lambda df: asked.append(df.columns) or keep(df))
+    r = Random(8)
+    genome = sim.unique_seq(r, 900)
+    reads = spark.createDataFrame([(1, genome[:600], 600), (2, genome[300:], 600)], "read_id long, seq string, length int")
+    found = spark.createDataFrame([(1, 2, 0, 300, 600, 600, 0, 300, 600, 0.0)], OVERLAPS)
+    made = contigs.consensus_contigs(graph.simple_paths(graph.string_graph(found)), found, reads, 300)
+    assert {x["seq"] for x in made.collect()} <= {genome, revcomp(genome)} and ["path_id", "w", "part"] in asked

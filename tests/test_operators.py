@@ -335,4 +335,5 @@ def test_parts_of_contigs_are_kept_for_the_vote(spark, monkeypatch):
     reads = spark.createDataFrame([(1, genome[:600], 600), (2, genome[300:], 600)], "read_id long, seq string, length int")
     found = spark.createDataFrame([(1, 2, 0, 300, 600, 600, 0, 300, 600, 0.0)], OVERLAPS)
     made = contigs.consensus_contigs(graph.simple_paths(graph.string_graph(found)), found, reads, 300)
-    assert {x["seq"] for x in made.collect()} <= {genome, revcomp(genome)} and ["path_id", "w", "part"] in asked
+    seqs = {x["seq"] for x in made.collect()}
+    assert seqs and seqs <= {genome, revcomp(genome)} and ["path_id", "w", "part"] in asked

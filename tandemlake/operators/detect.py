@@ -9,25 +9,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlake.functions.kernels import unit_splits
-from tandemlake.functions.units import READ_TYPES, SelfAlignment, covering, repeat_spans, self_alignments, units_of
+from tandemlake.functions.units import READ_TYPES, SelfAlignment, covering, repeat_spans, self_alignments_of, units_of
 
 _CHOSEN = "read_id long, aln_ord int, ab int, ae int, bb int, be int, cigar string"
 
 
 def settings(read_type: str | None, given: dict) -> dict:
-    """Options of self_alignments: those of the read type (CLR or CCS), where one is named, and over them those given."""
+    """Options of self_alignments_of: those of the read type (CLR or CCS), where one is named, and over them those given."""
     if read_type is not None and read_type not in READ_TYPES:
         raise ValueError(f"unknown read type {read_type}; known are {', '.join(READ_TYPES)}")
     return {**READ_TYPES.get(read_type or "", {}), **given}
 
 
+#: Letters of the reads that are aligned with themselves at once, about.
+LETTERS = 1 << 22
+
+
+def _aligned(frames: Iterator[pd.DataFrame], options: dict) -> Iterator[tuple[list, list[list[SelfAlignment]]]]:
+    """Ids of reads and their self-alignments, LETTERS at a time."""
+    for frame in frames:
+        ids, seqs = frame["read_id"].tolist(), [s or "" for s in frame["seq"]]
+        begin = size = 0
+        for n, seq in enumerate(seqs, 1):
+            size += len(seq)
+            if size >= LETTERS or n == len(seqs):
+                yield ids[begin:n], self_alignments_of(seqs[begin:n], **options)
+                begin, size = n, 0
+
+
 def detect(reads: DataFrame, read_type: str | None = None, **options: float) -> DataFrame:
-    """Self-alignments (see schemas.SELF_ALIGNMENTS) of each read, with options of self_alignments."""
+    """Self-alignments (see schemas.SELF_ALIGNMENTS) of each read, with options of self_alignments_of."""
     options = settings(read_type, options)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, *x) for i, s in zip(frame["read_id"], frame["seq"], strict=True) if s for x in self_alignments(s, **options)]
+        for ids, found in _aligned(frames, options):
+            rows = [(i, *x) for i, alns in zip(ids, found, strict=True) for x in alns]
             yield pd.DataFrame(rows, columns=["read_id", "ab", "ae", "bb", "be", "cigar"])
 
     return reads.select("read_id", "seq").mapInPandas(run, "read_id long, ab int, ae int, bb int, be int, cigar string")
@@ -71,14 +87,13 @@ def cut_units(chosen: DataFrame, max_cv: float = 0.1) -> DataFrame:
 
 
 def find_units(reads: DataFrame, max_cv: float = 0.1, min_len: int = 1000, min_repeat: int = 500, read_type: str | None = None, **options: float) -> DataFrame:
-    """From reads to units in one narrow pass, with options of self_alignments."""
+    """From reads to units in one narrow pass, with options of self_alignments_of."""
     options = settings(read_type, options)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for ids, found in _aligned(frames, options):
             rows = []
-            for i, seq in zip(frame["read_id"], frame["seq"], strict=True):
-                alns = self_alignments(seq or "", **options)
+            for i, alns in zip(ids, found, strict=True):
                 rows += [(i, n, s, e, e - s) for n, (s, e) in enumerate(units_of(repeat_spans(alns, min_repeat), alns, max_cv, min_len))]
             yield pd.DataFrame(rows, columns=["read_id", "unit_ord", "start", "end", "ulen"])
 

@@ -95,6 +95,42 @@ def test_two_step_ways_go_round_hubs(spark, monkeypatch):
     assert passed[0] <= len(expected) + 5
 
 
+def test_transitive_reduction_shuffles_edges_once(spark, monkeypatch):
+    """What is grouped and stored is read again; no later step shuffles all edges for a join."""
+    plans = []
+    monkeypatch.setattr(graph, "stored", lambda df: plans.append(df) or components.stored(df))
+    r = Random(2)
+    edges = [(a, b, r.randint(1, 400)) for a in range(25) for b in range(25) if a != b and r.random() < 0.2]
+    found = graph.transitive_reduction(edges_of(spark, *((a, b, n, 0) for a, b, n in edges)))
+    assert {(x["src_id"], x["dst_id"]) for x in found.collect()} == sequential_reduction(edges, 100)
+    assert len(plans) == 2 and plans[0]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    # of edges that go by the ways only those that a filter lets through are stored, as pairs of numbers
+    assert dict(plans[1].dtypes)["v"] == "bigint" and "Exchange" not in plans[1]._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("far", [0, 1 << 62, -(1 << 63)])
+def test_transitive_reduction_of_any_ids_and_of_parallel_edges(spark, far):
+    """Ids that make no numbers of nodes, ties that names decide, edges twice in the table or of two lengths, and those from a node to itself."""
+    r = Random(8)
+    ids = [9, 10, 100, 11, -3, far, far + 1, far + 12]
+    edges = [(a, b, n) for a in ids for b in ids for n in r.sample((50, 120, 120, 300), 2) if r.random() < 0.45]
+    rows = [(a, x, b, x, n, d) for a, b, n in edges for x in "BE" for d in (1.0, 2.0)[: 1 + n % 3]] + [(9, "E", 10, "E", 50, None)] * 2
+    out = {}
+    for a, x, b, y, n, _ in rows:
+        out.setdefault(f"{a}:{x}", set()).add((n, f"{b}:{y}"))
+    gone = set()
+    for v, steps in out.items():
+        targets, longest, own = {w for _, w in steps}, max(n for n, _ in steps) + 100, set()
+        ways = [(n, w, x, m) for n, w in steps for m, x in out.get(w, ()) if x in targets]
+        for n, w in sorted(steps):
+            if w not in own:
+                own |= {x for k, u, x, m in ways if (k, u) == (n, w) and n + m <= longest}
+        gone |= {(v, w) for w in own | {x for _, _, x, m in ways if m < 100}}
+    expected = [e for e in rows if (f"{e[0]}:{e[1]}", f"{e[2]}:{e[3]}") not in gone]
+    found = [tuple(x) for x in graph.transitive_reduction(spark.createDataFrame(rows, EDGES)).collect()]
+    assert sorted(found, key=str) == sorted(expected, key=str) and 0 < len(expected) < len(rows)
+
+
 def test_equal_pairs_of_a_batch_are_aligned_once(monkeypatch):
     calls = []
     monkeypatch.setattr(kernels, "align", lambda q, t, mode: calls.append((q, t)) or align(q, t, mode))

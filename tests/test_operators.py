@@ -108,6 +108,13 @@ def test_transitive_reduction_shuffles_edges_once(spark, monkeypatch):
     assert dict(plans[1].dtypes)["v"] == "bigint" and "Exchange" not in plans[1]._jdf.queryExecution().executedPlan().toString()
 
 
+def test_contained_reads_are_made_before_overlaps_are_joined_with_them(spark):
+    """Overlaps aren't shuffled for a join with a few reads, whatever the planner takes these for; edges are shuffled once."""
+    rows = [(a, a + 1, 0, 30, 100, 100, 0, 70, 90, 1.0) for a in range(50)] + [(60, 3, 0, 0, 100, 100, 0, 100, 900, 1.0)]
+    plan = graph.string_graph(spark.createDataFrame(rows, OVERLAPS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("BroadcastHashJoin") == 2
+
+
 @pytest.mark.parametrize("far", [0, 1 << 62, -(1 << 63)])
 def test_transitive_reduction_of_any_ids_and_of_parallel_edges(spark, far):
     """Ids that make no numbers of nodes, ties that names decide, edges twice in the table or of two lengths, and those from a node to itself."""

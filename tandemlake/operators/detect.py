@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandemlake.functions.kernels import unit_splits
-from tandemlake.functions.units import READ_TYPES, SelfAlignment, covering, repeat_spans, self_alignments_of, units_of
+from tandemlake.functions.units import READ_TYPES, SelfAlignment, covering, repeat_spans, self_alignments_of, units_of_reads
 
 _CHOSEN = "read_id long, aln_ord int, ab int, ae int, bb int, be int, cigar string"
 
@@ -25,15 +25,15 @@ def settings(read_type: str | None, given: dict) -> dict:
 LETTERS = 1 << 22
 
 
-def _aligned(frames: Iterator[pd.DataFrame], options: dict) -> Iterator[tuple[list, list[list[SelfAlignment]]]]:
-    """Ids of reads and their self-alignments, LETTERS at a time."""
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and sequences of reads, LETTERS at a time."""
     for frame in frames:
         ids, seqs = frame["read_id"].tolist(), [s or "" for s in frame["seq"]]
         begin = size = 0
         for n, seq in enumerate(seqs, 1):
             size += len(seq)
             if size >= LETTERS or n == len(seqs):
-                yield ids[begin:n], self_alignments_of(seqs[begin:n], **options)
+                yield ids[begin:n], seqs[begin:n]
                 begin, size = n, 0
 
 
@@ -42,8 +42,8 @@ def detect(reads: DataFrame, read_type: str | None = None, **options: float) ->
     options = settings(read_type, options)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, found in _aligned(frames, options):
-            rows = [(i, *x) for i, alns in zip(ids, found, strict=True) for x in alns]
+        for ids, seqs in _batches(frames):
+            rows = [(i, *x) for i, alns in zip(ids, self_alignments_of(seqs, **options), strict=True) for x in alns]
             yield pd.DataFrame(rows, columns=["read_id", "ab", "ae", "bb", "be", "cigar"])
 
     return reads.select("read_id", "seq").mapInPandas(run, "read_id long, ab int, ae int, bb int, be int, cigar string")
@@ -91,10 +91,9 @@ def find_units(reads: DataFrame, max_cv: float = 0.1, min_len: int = 1000, min_r
     options = settings(read_type, options)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, found in _aligned(frames, options):
-            rows = []
-            for i, alns in zip(ids, found, strict=True):
-                rows += [(i, n, s, e, e - s) for n, (s, e) in enumerate(units_of(repeat_spans(alns, min_repeat), alns, max_cv, min_len))]
+        for ids, seqs in _batches(frames):
+            found = units_of_reads(seqs, max_cv, min_len, min_repeat, **options)
+            rows = [(i, n, s, e, e - s) for i, own in zip(ids, found, strict=True) for n, (s, e) in enumerate(own)]
             yield pd.DataFrame(rows, columns=["read_id", "unit_ord", "start", "end", "ulen"])
 
     return reads.select("read_id", "seq").mapInPandas(run, "read_id long, unit_ord int, start int, end int, ulen int")

@@ -438,7 +438,7 @@ def composition_likelihoods(spark, d):
 @query()
 def repeat_alignments(spark, d):
     """Self-alignments of the documents' letters a, c, g and t."""
-    return detect.measured(detect.detect(spread(V.reads(spark, d), "read_id"), k=8, min_hits=10)).drop("cigar")
+    return detect.measured(detect.detect(spread(V.reads(spark, d), "read_id"), k=8, min_hits=10, cigars=False)).drop("cigar")
 
 
 @query()
